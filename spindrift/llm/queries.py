@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.scale import bounded_broadcast
-from spindrift.llm import quantiles
+from spindrift.llm import leaks, quantiles
 from spindrift.sources.tables import table
 
 UNIT = ["recording_id", "unit"]
@@ -42,7 +42,21 @@ def p2_unit_percentiles_overall(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(table(spark, d, "spikes_time_adjusted"), ["unit"], "time", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unit_percentiles, p2_merged_by_day, p2_unit_percentiles_overall)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that give at least half of the words of a held-out passage, with its item."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "test_items")).select("doc_id", "item_id")
+
+
+def p7_leak_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per suite and source (lower case): leaked items, documents that give them away, and the mean part given."""
+    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "test_items"))
+    items = table(spark, d, "test_items").select("item_id", "suite")
+    sources = table(spark, d, "documents").select("doc_id", F.lower(F.translate("source", " ", "_")).alias("source"))
+    joined = found.join(bounded_broadcast(items), "item_id").join(sources, "doc_id")
+    return joined.groupBy("suite", "source").agg(F.countDistinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_documents"), F.round(F.avg("part"), 4).alias("mean_part"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unit_percentiles, p2_merged_by_day, p2_unit_percentiles_overall, p7_found, p7_leak_report)}
 
 _RANKED = """
 WITH r AS (SELECT recording_id, unit, time, row_number() OVER (PARTITION BY recording_id, unit ORDER BY time) AS k, count(*) OVER (PARTITION BY recording_id, unit) AS n
