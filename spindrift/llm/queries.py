@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.scale import bounded_broadcast
-from spindrift.llm import leaks, quantiles
+from spindrift.llm import leaks, packing, quantiles
 from spindrift.sources.tables import table
 
 UNIT = ["recording_id", "unit"]
@@ -42,6 +42,19 @@ def p2_unit_percentiles_overall(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(table(spark, d, "spikes_time_adjusted"), ["unit"], "time", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
 
 
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with tokens in a container of 1,024."""
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the least any packing needs, unused tokens, and documents split with and without need."""
+    filled = p6_pack(spark, d)
+    containers = filled.groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n"))
+    total = containers.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.sum(packing.CAPACITY - F.col("used")).alias("unused"), F.max("used").alias("fullest"), F.sum("n").alias("items"))
+    return total.withColumn("least", F.ceil(F.col("tokens") / packing.CAPACITY))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that give at least half of the words of a held-out passage, with its item."""
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "test_items")).select("doc_id", "item_id")
@@ -56,7 +69,7 @@ def p7_leak_report(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("suite", "source").agg(F.countDistinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_documents"), F.round(F.avg("part"), 4).alias("mean_part"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unit_percentiles, p2_merged_by_day, p2_unit_percentiles_overall, p7_found, p7_leak_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unit_percentiles, p2_merged_by_day, p2_unit_percentiles_overall, p6_pack, p6_summary, p7_found, p7_leak_report)}
 
 _RANKED = """
 WITH r AS (SELECT recording_id, unit, time, row_number() OVER (PARTITION BY recording_id, unit ORDER BY time) AS k, count(*) OVER (PARTITION BY recording_id, unit) AS n
