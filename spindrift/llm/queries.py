@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.scale import bounded_broadcast
-from spindrift.llm import leaks, packing, quantiles
+from spindrift.llm import leaks, packing, quantiles, subjects
 from spindrift.sources.tables import table
 
 UNIT = ["recording_id", "unit"]
@@ -69,7 +69,24 @@ def p7_leak_report(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("suite", "source").agg(F.countDistinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_documents"), F.round(F.avg("part"), 4).alias("mean_part"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unit_percentiles, p2_merged_by_day, p2_unit_percentiles_overall, p6_pack, p6_summary, p7_found, p7_leak_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects each document is about."""
+    return subjects.subjects(table(spark, d, "documents")).select("doc_id", "subject").distinct()
+
+
+def p8_topic_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Top terms of the fitted topics and the subject each topic is mapped to."""
+    return subjects.topic_terms(table(spark, d, "documents"))
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Make-up of the corpus by subject: documents, their characters, and the mean share of their sentences."""
+    sizes = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    per_subject = subjects.subjects(table(spark, d, "documents")).join(sizes, "doc_id").groupBy("subject")
+    return per_subject.agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_chars"), F.round(F.avg("share"), 3).alias("mean_share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unit_percentiles, p2_merged_by_day, p2_unit_percentiles_overall, p6_pack, p6_summary, p7_found, p7_leak_report, p8_found, p8_topic_terms, p8_composition)}
 
 _RANKED = """
 WITH r AS (SELECT recording_id, unit, time, row_number() OVER (PARTITION BY recording_id, unit ORDER BY time) AS k, count(*) OVER (PARTITION BY recording_id, unit) AS n
