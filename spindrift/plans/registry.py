@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["spindrift.plans.problems"]
+MODULES = ["spindrift.plans.problems", "spindrift.plans.q_geometry"]
 
 
 def collect() -> tuple[dict[str, Query], dict[str, str]]:
