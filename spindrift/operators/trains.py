@@ -72,8 +72,8 @@ def burst_stats(spikes: DataFrame, keys: Sequence[str], max_isi: int, min_spikes
 
 
 def sliding_rate(spikes: DataFrame, keys: Sequence[str], width: int, step: int, per_second: float) -> DataFrame:
-    """(*keys, k, time, rate): on the grid first, first + step, ... below the last spike, the spikes in [t - width/2, t + width/2]
-    per second. A train whose spikes share one time has no grid.
+    """(*keys, k, time, n, rate): on the grid first, first + step, ... below the last spike, the spikes in [t - width/2, t + width/2]
+    and their number per second. A train whose spikes share one time has no grid.
 
     A spike is counted where it is heard, at the at most width / step + 1 grid points around it: no order, no wide frame.
     """
@@ -86,7 +86,13 @@ def sliding_rate(spikes: DataFrame, keys: Sequence[str], width: int, step: int,
     a, b = F.greatest(F.ceil((rel - half) / step), F.lit(0)), F.least(F.floor((rel + half) / step), last)
     heard = rows.join(span, keys).where("hi > lo").withColumn("a", a).withColumn("b", b).where("a <= b").select(*keys, "n", F.explode(F.sequence("a", "b")).alias("k")).groupBy(*keys, "k").agg(F.sum("n").alias("n"))
     grid = span.where("hi > lo").select(*keys, "lo", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("k"))
-    return grid.join(heard, [*keys, "k"], "left").select(*keys, "k", (F.col("lo") + F.col("k") * step).alias("time"), (F.coalesce("n", F.lit(0)) * float(per_second) / float(width)).alias("rate"))
+    return grid.join(heard, [*keys, "k"], "left").select(*keys, "k", (F.col("lo") + F.col("k") * step).alias("time"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) * float(per_second) / float(width)).alias("rate"))
+
+
+def sliding_stats(rates: DataFrame, keys: Sequence[str], width: int, per_second: float) -> DataFrame:
+    """(*keys, mean_rate, max_rate, min_rate) of ``sliding_rate``; the mean comes from the whole counts."""
+    mean = F.sum("n") * float(per_second) / (F.count(F.lit(1)) * float(width))
+    return rates.groupBy(*keys).agg(mean.alias("mean_rate"), F.max("rate").alias("max_rate"), F.min("rate").alias("min_rate"))
 
 
 def binned(spikes: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -198,7 +204,7 @@ def patterns(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: fl
     keys = list(keys)
     stats = interval_stats(spikes, keys, row_id)
     span = spikes.where("time IS NOT NULL").groupBy(*keys).agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
-    rates = sliding_rate(spikes, keys, window, step, per_second).groupBy(*keys).agg(F.avg("rate").alias("mean_sliding"), F.max("rate").alias("max_sliding"), F.min("rate").alias("min_sliding"))
+    rates = sliding_stats(sliding_rate(spikes, keys, window, step, per_second), keys, window, per_second).withColumnsRenamed({f"{c}_rate": f"{c}_sliding" for c in ("mean", "max", "min")})
     found = burst_stats(spikes, keys, max_isi, min_spikes).drop("n_spikes")
     joined = stats.join(span, keys).join(rates, keys, "left").join(found, keys)
     joined = joined.join(dominant_frequencies(spikes, keys, width, per_second), keys, "left") if rhythm else joined.withColumn("dominant_frequency", F.lit(None).cast("double"))

@@ -1,15 +1,14 @@
-"""All queries and their SQL. The optional subpackage for text and model work is added where it is present."""
+"""All queries of the core and their SQL."""
 
 from __future__ import annotations
 
 import importlib
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["spindrift.plans.problems", "spindrift.plans.q_geometry"]
+MODULES = ["spindrift.plans.problems", *(f"spindrift.plans.q_{part}" for part in ("geometry", "psth", "trains", "activity", "spectra"))]
 
 
 def collect() -> tuple[dict[str, Query], dict[str, str]]:
