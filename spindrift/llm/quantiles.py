@@ -1,10 +1,10 @@
 """Percentiles per group with bounded rank error, from mergeable summaries (deterministic buffer collapsing).
 
-A summary is a set of rows (*keys, level, err, vals): buffers of ``SIZE`` sorted values that each stand for ``FAN_IN ** level``
+A summary is a set of rows (*keys, _level, _err, _vals): buffers of ``SIZE`` sorted values that each stand for ``FAN_IN ** level``
 rows, plus one shorter buffer of level 0 that holds the rest as it is. ``FAN_IN`` full buffers of a level collapse into one of
 the next: of their merged values every ``FAN_IN``-th is kept, starting in the middle, one position apart from call to call where
-there are two middles. A collapse moves no rank by more than half the new weight; ``err`` adds these halves up, so the
-sum of ``err`` over a group's buffers bounds the rank error of every percentile. Up to ``SIZE`` rows a group stays exact.
+there are two middles. A collapse moves no rank by more than half the new weight; ``_err`` adds these halves up, so the
+sum of ``_err`` over a group's buffers bounds the rank error of every percentile. Up to ``SIZE`` rows a group stays exact.
 
 The tree is built where the data lie: tasks summarise their own rows, only summaries are shuffled, and a task that merges
 a group reads its buffers as a stream and never holds more than about ``SIZE * FAN_IN`` values of a level.
@@ -107,15 +107,15 @@ class _Out:
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(self.values)))
         cols = [k.take(take) for k in keys]
         cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(self.level).astype(np.int32)), pa.array(np.concatenate(self.err)), lists], names=[*names, "level", "err", "vals"])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(self.level).astype(np.int32)), pa.array(np.concatenate(self.err)), lists], names=[*names, "_level", "_err", "_vals"])
 
 
 def _summarise(names: list[str], size: int, fan_in: int, run: int):
     def one(batches: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(batches)
-        t = t.sort_by([(c, "ascending") for c in [*names, "v"]]).combine_chunks()
+        t = t.sort_by([(c, "ascending") for c in [*names, "_v"]]).combine_chunks()
         keys = [t.column(c).combine_chunks() for c in names]
-        values = t.column("v").to_numpy()
+        values = t.column("_v").to_numpy()
         starts = _starts(keys, len(values))
         n = np.diff(starts)
         out = _Out()
@@ -163,10 +163,10 @@ def _merge(names: list[str], size: int, fan_in: int):
     def split(t: pa.Table) -> tuple[pa.RecordBatch | None, pa.Table]:
         """Every group of ``t`` reduced; the last, which may go on in the next batch, apart."""
         keys = [t.column(c).combine_chunks() for c in names]
-        lists = t.column("vals").combine_chunks()
+        lists = t.column("_vals").combine_chunks()
         offsets = lists.offsets.to_numpy()
         values = lists.values.to_numpy()
-        levels, errs = t.column("level").to_numpy(), t.column("err").to_numpy()
+        levels, errs = t.column("_level").to_numpy(), t.column("_err").to_numpy()
         starts = _starts(keys, t.num_rows)
         sizes = np.diff(offsets[starts])
         raw = np.maximum.reduceat(levels, starts[:-1]) == 0
@@ -211,12 +211,12 @@ def _read(names: list[str], qs: Sequence[float], fan_in: int):
 
     def percentiles(t: pa.Table) -> pa.RecordBatch:
         keys = [t.column(c).combine_chunks() for c in names]
-        lists = t.column("vals").combine_chunks()
+        lists = t.column("_vals").combine_chunks()
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        weight = np.power(np.int64(fan_in), t.column("level").to_numpy().astype(np.int64))
+        weight = np.power(np.int64(fan_in), t.column("_level").to_numpy().astype(np.int64))
         starts = _starts(keys, t.num_rows)
         n = np.add.reduceat(np.diff(offsets) * weight, starts[:-1])
-        err = np.add.reduceat(t.column("err").to_numpy(), starts[:-1])
+        err = np.add.reduceat(t.column("_err").to_numpy(), starts[:-1])
         rank = np.maximum(1, np.ceil(np.outer(n, qs) - 1e-9)).astype(np.int64)
         found = np.empty(rank.shape, np.int64)
         single = np.diff(starts) == 1
@@ -236,7 +236,7 @@ def _read(names: list[str], qs: Sequence[float], fan_in: int):
 
 def _state_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
     fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
-    return T.StructType([*fields, T.StructField("level", T.IntegerType()), T.StructField("err", T.LongType()), T.StructField("vals", T.ArrayType(T.LongType()))])
+    return T.StructType([*fields, T.StructField("_level", T.IntegerType()), T.StructField("_err", T.LongType()), T.StructField("_vals", T.ArrayType(T.LongType()))])
 
 
 def summarise(df: DataFrame, keys: Sequence[str], value: str, size: int = SIZE, fan_in: int = FAN_IN) -> DataFrame:
@@ -245,21 +245,21 @@ def summarise(df: DataFrame, keys: Sequence[str], value: str, size: int = SIZE,
     * Rows with a null value or a null key are left out; no rows, no summary. Repeated rows all count; ties are kept.
     """
     keys = list(keys)
-    plain = df.select(*(df[k] for k in keys), df[value].cast("bigint").alias("v")).dropna()
+    plain = df.select(*(df[k] for k in keys), df[value].cast("bigint").alias("_v")).dropna()
     out = plain.mapInArrow(_summarise(keys, size, fan_in, RUN), _state_schema(df, keys))
     if plain.rdd.getNumPartitions() > WIDE_INPUT:
-        salted = _state_schema(df, keys).add("salt", T.IntegerType())
-        salted = T.StructType([*salted.fields[: len(keys)], salted["salt"], *salted.fields[len(keys) : -1]])
-        by = [*keys, "salt"]
-        spread = out.withColumn("salt", F.spark_partition_id() % SALTS).select(*by, "level", "err", "vals")
-        out = spread.repartition(*by).sortWithinPartitions(*by).mapInArrow(_merge(by, size, fan_in), salted).drop("salt")
+        salted = _state_schema(df, keys).add("_salt", T.IntegerType())
+        salted = T.StructType([*salted.fields[: len(keys)], salted["_salt"], *salted.fields[len(keys) : -1]])
+        by = [*keys, "_salt"]
+        spread = out.withColumn("_salt", F.spark_partition_id() % SALTS).select(*by, "_level", "_err", "_vals")
+        out = spread.repartition(*by).sortWithinPartitions(*by).mapInArrow(_merge(by, size, fan_in), salted).drop("_salt")
     return out
 
 
 def merge(summaries: DataFrame, keys: Sequence[str], size: int = SIZE, fan_in: int = FAN_IN) -> DataFrame:
     """Summaries (of tasks, files or days, put together by union) merged to one a group, each in one partition and in order."""
     keys = list(keys)
-    placed = summaries.select(*keys, "level", "err", "vals").repartition(*keys).sortWithinPartitions(*keys)
+    placed = summaries.select(*keys, "_level", "_err", "_vals").repartition(*keys).sortWithinPartitions(*keys)
     return placed.mapInArrow(_merge(keys, size, fan_in), _state_schema(summaries, keys))
 
 
