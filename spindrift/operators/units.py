@@ -75,8 +75,12 @@ def to_microseconds(values: DataFrame, units: DataFrame) -> DataFrame:
     """``values`` (with recording_id and value) plus unit and ``value_us`` (double): the factors of ``recording_units`` joined.
 
     * A null value, or a recording that is unknown or has no known unit, gives a null ``value_us``; no row is lost.
+    * Columns of ``values`` named unit or value_us are replaced; all others are kept.
     """
-    return values.join(bounded_broadcast(units), "recording_id", "left").withColumn("value_us", F.col("value").cast("double") * F.col("num") / F.col("den"))
+    factors = bounded_broadcast(units).select(F.col("recording_id").alias("_rid"), F.struct("unit", "num", "den").alias("_factor"))
+    joined = values.join(factors, values["recording_id"] == F.col("_rid"), "left")
+    us = F.col("value").cast("double") * F.col("_factor.num") / F.col("_factor.den")
+    return joined.withColumns({"unit": F.col("_factor.unit"), "value_us": us}).drop("_rid", "_factor")
 
 
 def durations_to_microseconds(rows: DataFrame, text: str, start: str, end: str) -> DataFrame:
@@ -87,6 +91,7 @@ def durations_to_microseconds(rows: DataFrame, text: str, start: str, end: str)
     the median span of all rows.
 
     * Null, empty or numberless texts give null unit and value. Swapped ends count by their distance; a span of 0 is no span.
+    * Columns of ``rows`` named unit or value_us are replaced; all others are kept.
     """
     spans = F.abs(F.col(f"`{end}`").cast("double") - F.col(f"`{start}`").cast("double")) * 100 / 3
     typical = rows.select(spans.alias("s")).where("s > 0").agg(F.percentile_approx("s", 0.5)).first()[0] or 300_000.0
