@@ -75,7 +75,9 @@ class VoltageReader(DataSourceReader):
         step = max(1, PARTITION // self.n)
         return [Range(self.path, a, min(a + step, self.last)) for a in range(self.first, self.last, step)]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no range is left
+            return
         step = max(1, BATCH // self.n)
         channels = np.array(self.channels, np.int32)
         with open(part.path, "rb") as file:
