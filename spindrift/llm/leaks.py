@@ -190,7 +190,7 @@ class Matcher:
         first, hits = first[good], hits[good]
         out = []
         groups = np.flatnonzero(np.diff(pair[first], prepend=-1))
-        for g, h in zip(groups, np.append(groups[1:], len(first)), strict=True):
+        for g, h in zip(groups, np.append(groups, len(first))[1:], strict=True):
             at = first[g]
             if hits[g:h].sum() >= self.least[passage[at]]:
                 p, d = self.passages[passage[at]], doc[at]
