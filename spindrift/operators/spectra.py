@@ -145,3 +145,16 @@ def channel_band_matrix(powers: DataFrame, bands: Sequence[str] = tuple(BANDS))
 def long_voltage(rows: DataFrame, sample: str, values: str) -> DataFrame:
     """(sample, channel, v): rows of an array of channel values, channels from 0."""
     return rows.select(F.col(sample).alias("sample"), F.posexplode(values).alias("channel", "v"))
+
+
+def channel_analysis(voltage: DataFrame, rate: float, bands: dict[str, tuple[float, float]] = BANDS, method: str = "welch", segment: int | None = None, max_channels: int | None = None, mode: str = "correct") -> DataFrame:
+    """(channel, band_powers, peak_frequency, total_power): one row a channel, band powers as a map.
+
+    ``max_channels`` keeps the first so many channels (None or 0: all). A channel without a bin above 1 Hz has no peak.
+    """
+    if max_channels:
+        voltage = voltage.where(F.col("channel") < max_channels)
+    psd = power_spectrum(voltage, rate, method, segment)
+    spark = voltage.sparkSession
+    powers = band_power(psd, bands_table(spark, bands)).groupBy("channel").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("band", "power")))).alias("band_powers"))
+    return powers.join(peak_frequency(psd, mode), "channel", "left").join(total_power(psd), "channel").select("channel", "band_powers", "peak_frequency", "total_power")

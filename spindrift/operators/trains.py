@@ -50,15 +50,28 @@ def interval_stats(spikes: DataFrame, keys: Sequence[str], row_id: str, block: i
     return out.select(*keys, "n_spikes", "mean_isi", "std_isi", cv.alias("cv_isi"), F.col("_q")[1].alias("median_isi"), F.col("_q")[0].alias("p25_isi"), F.col("_q")[2].alias("p75_isi"))
 
 
-def bursts(spikes: DataFrame, keys: Sequence[str], max_isi: int, min_spikes: int = 3) -> DataFrame:
+def sum_before(rows: DataFrame, keys: Sequence[str], at: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
+    """``rows`` plus ``name``: the sum of ``value`` over the rows of the same keys with a smaller ``at`` (distinct within keys).
+
+    Sums run within blocks of ``at``; the blocks' totals are summed up by themselves and added.
+    """
+    keys = list(keys)
+    cut = rows.withColumn("_b", F.expr(f"({at} - pmod({at}, {block}L)) div {block}L"))
+    whole = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, "_b").agg(F.sum(value).alias("_n"))
+    before = totals.select(*keys, "_b", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*keys, "_b").orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    return cut.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(before, [*keys, "_b"]).withColumn(name, F.col(name) + F.col("_before")).drop("_b", "_before")
+
+
+def bursts(spikes: DataFrame, keys: Sequence[str], max_isi: int, min_spikes: int = 3, block: int = BLOCK) -> DataFrame:
     """(*keys, start_time, end_time, duration, spike_count, start_idx, end_idx): runs of at least ``min_spikes`` spikes no more than
     ``max_isi`` apart; indices count from 0 in the train.
 
     Runs are sessions of the train, and a run's first index is the number of spikes in the runs before it.
     """
     runs = sessions(spikes, keys, "time", max_isi, distinct_times=False)
-    before = W.partitionBy(*keys).orderBy("start_time").rowsBetween(W.unboundedPreceding, -1)
-    placed = runs.withColumn("start_idx", F.coalesce(F.sum("n_events").over(before), F.lit(0)))
+    placed = sum_before(runs, keys, "start_time", "n_events", "start_idx", block)
     return placed.where(F.col("n_events") >= min_spikes).select(*keys, "start_time", "end_time", "duration", F.col("n_events").alias("spike_count"), "start_idx", (F.col("start_idx") + F.col("n_events") - 1).alias("end_idx"))
 
 

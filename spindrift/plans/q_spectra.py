@@ -62,7 +62,19 @@ def welch_psd(spark: SparkSession, d: str) -> DataFrame:
     return S.welch_psd(voltage(spark, d), RATE, SEGMENT)
 
 
-QUERIES = {f.__name__: f for f in (dft_power, band_power, total_power, peak_frequency, mean_std_spectrum, channel_band_matrix, channel_voltage_corr, welch_psd)}
+def channel_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Welch bands, peak and total power of every channel in one row each."""
+    return S.channel_analysis(voltage(spark, d), RATE, segment=SEGMENT)
+
+
+def voltage_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Display histogram of each channel's values in 50 equal bins."""
+    from spindrift.operators.grids import histogram
+
+    return _rounded(histogram(voltage(spark, d), "v", 50, ["channel"]), "low", "high")
+
+
+QUERIES = {f.__name__: f for f in (dft_power, band_power, total_power, peak_frequency, mean_std_spectrum, channel_band_matrix, channel_voltage_corr, welch_psd, channel_analysis, voltage_histogram)}
 
 _PSD = f"""
 WITH v AS (SELECT vec_id AS sample, CAST(unnest(range(0, len(embedding))) AS INT) AS channel, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
@@ -74,6 +86,11 @@ power AS (SELECT c.channel, b.band, coalesce(sum((f2 - freq) * (p2 + psd) / 2),
 """
 
 ORACLES = {
+    "voltage_histogram": """
+WITH v AS (SELECT CAST(unnest(range(0, len(embedding))) AS INT) AS channel, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+e AS (SELECT channel, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo, CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM v GROUP BY channel),
+p AS (SELECT v.channel, least(floor((v - lo) / ((hi - lo) / 50)), 49) AS bin, count(*) AS n FROM v JOIN e ON v.channel = e.channel GROUP BY ALL), g AS (SELECT channel, lo, hi, unnest(range(0, 50)) AS bin FROM e)
+SELECT g.channel, CAST(g.bin AS INT) AS bin, round(lo + g.bin * ((hi - lo) / 50), 6) AS low, round(lo + (g.bin + 1) * ((hi - lo) / 50), 6) AS high, coalesce(n, 0) AS count FROM g LEFT JOIN p ON g.channel = p.channel AND g.bin = p.bin""",
     "dft_power": _PSD + "SELECT channel, k, round(freq, 6) AS freq, round(psd, 6) AS psd FROM psd",
     "band_power": _PSD + "SELECT channel, band, round(power, 6) AS power FROM power",
     "total_power": _PSD + "SELECT channel, round(sum((f2 - freq) * (p2 + psd) / 2), 6) AS total_power FROM (SELECT channel, freq, psd, lead(freq) OVER w AS f2, lead(psd) OVER w AS p2 FROM psd WINDOW w AS (PARTITION BY channel ORDER BY freq)) GROUP BY channel",
