@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.operators.grids import histogram, pearson
-from spindrift.operators.psth import Psth, modulation_summary
+from spindrift.operators import psth as P
+from spindrift.operators.psth import Psth
 from spindrift.plans.recording import SQL, TICKS_PER_SECOND, recording
 
 PER = TICKS_PER_SECOND
@@ -100,8 +101,8 @@ def psth_trial_raster(spark: SparkSession, d: str) -> DataFrame:
     return psth(spark, d).trials()
 
 
-def modulation_stats(spark: SparkSession, d: str) -> DataFrame:
-    out = modulation_summary(psth(spark, d).stats())
+def modulation_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = P.modulation_summary(psth(spark, d).stats())
     return _rounded(out, *out.columns)
 
 
@@ -121,7 +122,7 @@ def modulation_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     psth_hist, psth_rate, psth_rate_smoothed, psth_unit_stats, psth_response_class, psth_response_counts, psth_population_mean_sem, psth_population_sum, psth_channel, psth_channel_stats,
-    psth_channel_corr, psth_best_pair, max_offdiagonal_corr, psth_trial_raster, modulation_stats, top_modulated_units, modulation_histogram,
+    psth_channel_corr, psth_best_pair, max_offdiagonal_corr, psth_trial_raster, modulation_summary, top_modulated_units, modulation_histogram,
 )}
 
 
@@ -162,7 +163,7 @@ SELECT f.key AS unit, f.bin, f.bin_center, round(avg(r.rate), 6) AS firing_rate
     "max_offdiagonal_corr": _CORR + "SELECT round(max(corr), 6) AS max_corr FROM c WHERE i <> j",
     "psth_trial_raster": _sql() + f""", p AS (SELECT * FROM al WHERE rel BETWEEN {_FIRST} AND {_LAST}), t AS (SELECT *, dense_rank() OVER (PARTITION BY key ORDER BY interval_id) - 1 AS trial FROM p)
 SELECT key AS unit, CAST(trial AS INT) AS trial, interval_id, rel FROM t WHERE trial < 50""",
-    "modulation_stats": _sql() + """SELECT round(avg(baseline_rate), 6) AS mean_baseline, round(stddev_pop(baseline_rate), 6) AS std_baseline, round(avg(peak_rate), 6) AS mean_peak, round(stddev_pop(peak_rate), 6) AS std_peak,
+    "modulation_summary": _sql() + """SELECT round(avg(baseline_rate), 6) AS mean_baseline, round(stddev_pop(baseline_rate), 6) AS std_baseline, round(avg(peak_rate), 6) AS mean_peak, round(stddev_pop(peak_rate), 6) AS std_peak,
   round(avg(modulation_ratio), 6) AS mean_modulation, round(stddev_pop(modulation_ratio), 6) AS std_modulation FROM stats""",
     "top_modulated_units": _sql() + """SELECT rank, unit, modulation_ratio FROM (SELECT CAST(row_number() OVER (ORDER BY round(modulation_ratio, 6) DESC NULLS FIRST, key) AS INT) AS rank, key AS unit, round(modulation_ratio, 6) AS modulation_ratio FROM stats) WHERE rank <= 5 AND modulation_ratio IS NOT NULL""",
     "modulation_histogram": _sql() + """, v AS (SELECT round(modulation_ratio, 6) AS v FROM stats WHERE modulation_ratio < 10), e AS (SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo, CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM v),
