@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.scale import bounded_broadcast
+from spindrift.functions.scale import bounded_broadcast, written
 
 
 @dataclass(frozen=True)
@@ -86,16 +86,20 @@ class References:
 
     def orphan_rows(self, children: list[Child]) -> DataFrame:
         """(table_name, row_id, kind): the rows whose reference is an orphan."""
-        keys = bounded_broadcast(self.orphan_keys(children))
+        keys = self._written_keys(children)
         return self._all(children, keys).select("table_name", "row_id", "kind")
 
     def report(self, children: list[Child], period: str = "month") -> DataFrame:
         """(table_name, period, kind, n_rows, n_keys): orphan references by table and period of the instant (null: no instant)."""
-        keys = bounded_broadcast(self.orphan_keys(children))
+        keys = self._written_keys(children)
         rows = self._all(children, keys, F.date_trunc(period, F.col("at")).alias("period"))
         by_key = rows.groupBy("table_name", "period", "kind", "k").agg(F.count(F.lit(1)).alias("n"))
         return by_key.groupBy("table_name", "period", "kind").agg(F.sum("n").alias("n_rows"), F.count("k").alias("n_keys"))
 
+    def _written_keys(self, children: list[Child]) -> DataFrame:
+        """``orphan_keys``, found once: they are counted and joined to every child."""
+        return bounded_broadcast(written(self.orphan_keys(children), "orphan-keys"))
+
     def _all(self, children: list[Child], keys: DataFrame, *extra: Column) -> DataFrame:
         out = None
         for child in children:
