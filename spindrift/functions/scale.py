@@ -37,10 +37,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def fresh_name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` doesn't have (case-insensitively)."""
-    taken, name = {c.lower() for c in df.columns}, stem
-    while name.lower() in taken:
-        name += "_"
-    return name

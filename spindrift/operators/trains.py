@@ -164,36 +164,49 @@ def cross_correlogram(spikes: DataFrame, by: Sequence[str], first: int, second:
     return grid.join(counts, [*to, "lag"], "left").select(*to, "lag", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def dominant_frequencies(spikes: DataFrame, keys: Sequence[str], width: int, per_second: float, max_frequency: float = 100.0, least: int = 10) -> DataFrame:
-    """(*keys, dominant_frequency): the frequency above 0 and up to ``max_frequency`` with the most power in the Welch spectrum of
-    a train's bins; null for trains of fewer than ``least`` spikes or too short for a spectrum.
+def train_spectra(spikes: DataFrame, keys: Sequence[str], width: int, per_second: float, max_frequency: float = 100.0, least: int = 10, *, whole: bool = True) -> DataFrame:
+    """(*keys, dominant_frequency, frequencies, power): the Welch spectrum of a train's bins up to ``max_frequency`` as two arrays, and
+    the frequency above 0 with the most power, the lowest among equals. ``whole=False`` leaves the arrays out.
 
-    Only a train's occupied bins are shuffled; a task lays out one train of n_bins numbers at a time.
+    All null for trains of fewer than ``least`` spikes or too short for a spectrum. Only a train's occupied bins are shuffled; a
+    task lays out one train of n_bins numbers at a time.
     """
     keys = list(keys)
     trains = spikes.where("time IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     bins = binned(spikes.join(trains.where(F.col("n") >= least), keys, "left_semi"), keys, width)
     packed = bins.groupBy(*keys, "n_bins").agg(F.collect_list("bin").alias("bins"))
     fields = [packed.schema[k] for k in keys]
+    arrays = ["frequencies", "power"] if whole else []
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [_dominant(np.asarray(b), int(n), per_second / width, max_frequency) for b, n in zip(f["bins"], f["n_bins"], strict=True)]
-            yield f[keys].assign(dominant_frequency=pd.Series(found, dtype=float, index=f.index))
+            found = [_spectrum(np.asarray(b), int(n), per_second / width, max_frequency) for b, n in zip(f["bins"], f["n_bins"], strict=True)]
+            out = f[keys].assign(dominant_frequency=pd.Series([x and x[0] for x in found], dtype=float, index=f.index))
+            for i, name in enumerate(arrays, 1):
+                out[name] = pd.Series([x and x[i] for x in found], dtype=object, index=f.index)
+            yield out
+
+    schema = T.StructType([*fields, T.StructField("dominant_frequency", T.DoubleType()), *(T.StructField(a, T.ArrayType(T.DoubleType())) for a in arrays)])
+    found = packed.mapInPandas(task, schema)
+    dominant = F.when(~F.isnan("dominant_frequency"), F.col("dominant_frequency"))
+    return trains.select(*keys).join(found.withColumn("dominant_frequency", dominant), keys, "left")
 
-    found = packed.mapInPandas(task, T.StructType([*fields, T.StructField("dominant_frequency", T.DoubleType())]))
-    return trains.select(*keys).join(found.withColumn("dominant_frequency", F.when(~F.isnan("dominant_frequency"), F.col("dominant_frequency"))), keys, "left")
 
+def dominant_frequencies(spikes: DataFrame, keys: Sequence[str], width: int, per_second: float, max_frequency: float = 100.0, least: int = 10) -> DataFrame:
+    """(*keys, dominant_frequency) of ``train_spectra``."""
+    return train_spectra(spikes, keys, width, per_second, max_frequency, least, whole=False)
 
-def _dominant(bins: np.ndarray, n: int, rate: float, max_frequency: float) -> float | None:
+
+def _spectrum(bins: np.ndarray, n: int, rate: float, max_frequency: float) -> tuple[float, np.ndarray, np.ndarray] | None:
     segment = min(2048, n // 4)
     if segment < 2:
         return None
     train = np.zeros(n)
     train[bins] = 1
     frequencies, power = welch(train, rate, segment)
-    power = power[frequencies <= max_frequency]
-    return float(frequencies[np.argmax(power[1:]) + 1]) if len(power) > 1 else None
+    keep = frequencies <= max_frequency
+    frequencies, power = frequencies[keep], power[keep]
+    return (float(frequencies[np.argmax(power[1:]) + 1]), frequencies, power) if len(power) > 1 else None
 
 
 def classes(features: DataFrame) -> DataFrame:
@@ -224,3 +237,20 @@ def patterns(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: fl
     rate = F.try_divide(F.col("n_spikes") * float(per_second), F.col("hi") - F.col("lo"))
     out = classes(joined.withColumn("mean_rate", rate)).drop("lo", "hi")
     return out.withColumn("error", F.when(F.col("n_spikes") < 2, "Not enough spikes for analysis"))
+
+
+def pattern_records(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: float, max_isi: int, min_spikes: int = 3, window: int = 600_000, step: int = 300_000, **parameters) -> DataFrame:
+    """``patterns`` with what they were found in, packed by train: isi (array), rates (array of time and rate) and bursts (array of
+    start, end, count and indices), each in order of time and empty where there is none. Made for export, a record a train."""
+    keys = list(keys)
+    base = patterns(spikes, keys, row_id, per_second, max_isi, min_spikes, window=window, step=step, **parameters)
+
+    def packed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    isi = packed(intervals(spikes, keys, row_id).where("isi IS NOT NULL"), "isi", "time", row_id, "isi").withColumn("isi", F.transform("isi", lambda x: x["isi"]))
+    rates = packed(sliding_rate(spikes, keys, window, step, per_second), "rates", "time", "rate")
+    found = packed(bursts(spikes, keys, max_isi, min_spikes), "bursts", "start_time", "end_time", "duration", "spike_count", "start_idx", "end_idx")
+    for part, name in ((isi, "isi"), (rates, "rates"), (found, "bursts")):
+        base = base.join(part, keys, "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return base

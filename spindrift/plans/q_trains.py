@@ -95,6 +95,16 @@ def pattern_analysis(spark: SparkSession, d: str) -> DataFrame:
     return T.patterns(_spikes(spark, d), TRAIN, "spike_id", PER, MAX_ISI, MIN_SPIKES, BIN, WINDOW, STEP)
 
 
+def train_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """The spectrum of every train as arrays."""
+    return T.train_spectra(_spikes(spark, d), TRAIN, BIN, PER, max_frequency=50.0)
+
+
+def pattern_records(spark: SparkSession, d: str) -> DataFrame:
+    """The analysis of every train with its intervals, rates and bursts packed for export."""
+    return T.pattern_records(_spikes(spark, d), TRAIN, "spike_id", PER, MAX_ISI, MIN_SPIKES, window=WINDOW, step=STEP, rhythm=False)
+
+
 def pattern_class_counts(spark: SparkSession, d: str) -> DataFrame:
     """Trains of each class, their part in percent, and mean and spread of rate and interval variation, bursts in all."""
     rows = pattern_features(spark, d).where("error IS NULL")
@@ -105,7 +115,7 @@ def pattern_class_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    isi, isi_stats, isi_histogram, bursts, burst_stats, sliding_rate, sliding_rate_stats, autocorrelogram, cross_correlogram, xcorr_peak, train_dominant_frequency, pattern_features, pattern_analysis, pattern_class_counts,
+    isi, isi_stats, isi_histogram, bursts, burst_stats, sliding_rate, sliding_rate_stats, autocorrelogram, cross_correlogram, xcorr_peak, train_dominant_frequency, pattern_features, pattern_analysis, pattern_class_counts, train_spectrum, pattern_records,
 )}
 
 _ISI = SQL + ", isi AS (SELECT recording_id, unit, spike_id, time, time - lag(time) OVER (PARTITION BY recording_id, unit ORDER BY time, spike_id) AS isi FROM spikes)\n"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,12 @@ SECONDS = "time double, unit int, electrode int"
 TICKS = "time bigint, unit int, electrode int"
 
 
+def local_path(path: str) -> str:
+    """A path with a drive letter as the place where a Linux subsystem mounts the drive; any other path as it is."""
+    drive = re.match(r"([A-Za-z]):[\\/]*", path)
+    return f"/mnt/{drive[1].lower()}/" + path[drive.end() :].replace("\\", "/") if drive else path
+
+
 def read_spikes(spark: SparkSession, path: str, *, ticks: bool = False, third: str = "electrode") -> DataFrame:
     """(time, unit, <third>) of a CSV without a header; blanks after commas are ignored. ``ticks``: whole 30 kHz ticks instead of
     seconds. A missing file is an AnalysisException; a line that doesn't parse gives nulls."""

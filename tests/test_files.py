@@ -29,6 +29,10 @@ def test_spike_files_round_trip(spark, tmp_path):
         readers.read_spikes(spark, str(tmp_path / "none.csv"))
 
 
+def test_local_paths():
+    assert readers.local_path("C:\\data\\a b\\x.dat") == "/mnt/c/data/a b/x.dat" and readers.local_path("d:/x") == "/mnt/d/x" and readers.local_path("/data/x") == "/data/x"
+
+
 def test_half_even_ticks(spark):
     got = readers.adjust_to_ticks(spark.createDataFrame([(0.5,), (1.5,), (2.5,), (-0.5,)], "time double"), per_second=1)
     assert [r.time for r in got.collect()] == [0, 2, 2, 0]

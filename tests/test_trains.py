@@ -127,6 +127,20 @@ def test_dominant_frequency(spark):
     assert got[1] == pytest.approx(25, abs=0.6) and got[2] is None
 
 
+def test_spectra_and_records(spark):
+    rows = [(1, 40 * i, 1, None) for i in range(400)] + [(1, 5, 2, None)]
+    got = {r.unit: r for r in T.train_spectra(spikes(spark, rows), ["recording_id", "unit"], 1, 1000.0, max_frequency=60).collect()}
+    assert got[2].frequencies is None and max(got[1].frequencies) <= 60 and len(got[1].power) == len(got[1].frequencies)
+    assert got[1].frequencies[int(np.argmax(got[1].power[1:])) + 1] == got[1].dominant_frequency
+    rows = random_rows(3) + [(7, 5, 1, None)]
+    records = {(r.recording_id, r.unit): r for r in T.pattern_records(spikes(spark, rows), ["recording_id", "unit"], "spike_id", 1000, 9, window=100, step=30, rhythm=False).collect()}
+    for k, v in trains(rows).items():
+        r = records[k]
+        assert r.isi == np.diff(v).tolist() and [(b.start_time, b.end_time, b.spike_count) for b in r.bursts] == [b[:3] for b in burst_loop(v, 9, 3)]
+        assert [x.time for x in r.rates] == list(range(v[0], v[-1], 30)) and r.n_bursts == len(r.bursts)
+    assert records[7, 1].error and records[7, 1].isi == [] and records[7, 1].bursts == [] and records[7, 1].pattern_type == "insufficient_data"
+
+
 def test_classes(spark):
     rows = [(9, 0.9, 50.0, 0.1), (20, 0.2, 50.0, 0.1), (20, 0.05, 11.0, 0.1), (20, 0.05, 10.0, 0.1), (20, 0.05, None, 2.5), (20, 0.05, None, 1.0), (20, 0.0, None, None)]
     df = spark.createDataFrame(rows, "n_spikes bigint, burst_ratio double, dominant_frequency double, cv_isi double")
