@@ -1,6 +1,6 @@
 """Checked broadcasts, written tables and the plans they lead to."""
 
-from spindrift.functions.scale import bounded_broadcast, shared_dir, written
+from spindrift.functions.scale import bounded_broadcast, scanned_bytes, shared_dir, written
 from spindrift.operators.ranges import band_join
 
 
@@ -35,3 +35,8 @@ def test_scans_are_pruned_and_filtered(spark, small):
     text = p1_found(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "loaded_at" not in text and "spike_id" not in text and "EqualTo(spikes_time_unit,ticks)" in text
     assert "loaded_at" not in p5_found(spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scanned_bytes(spark):
+    assert scanned_bytes(spark.range(1000)) == 8000
+    assert scanned_bytes(spark.range(1000).join(spark.range(10), "id").where("id > 3")) == 8080
