@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrift.functions.scale import scanned_bytes
+
 SIZE = 1024
 FAN_IN = 16
 #: Rows a task sorts at once.
 RUN = 1_000_000
-#: From this many input partitions on, summaries are merged in two rounds, SALTS partial groups a group first.
-WIDE_INPUT, SALTS = 512, 64
+#: From this many bytes of input on, summaries are merged in two rounds, SALTS partial groups a group first.
+WIDE_INPUT, SALTS = 64 * 2**30, 64
 
 Buffer = tuple[int, int, np.ndarray]
 
@@ -247,7 +249,7 @@ def summarise(df: DataFrame, keys: Sequence[str], value: str, size: int = SIZE,
     keys = list(keys)
     plain = df.select(*(df[k] for k in keys), df[value].cast("bigint").alias("_v")).dropna()
     out = plain.mapInArrow(_summarise(keys, size, fan_in, RUN), _state_schema(df, keys))
-    if plain.rdd.getNumPartitions() > WIDE_INPUT:
+    if scanned_bytes(plain) > WIDE_INPUT:
         salted = _state_schema(df, keys).add("_salt", T.IntegerType())
         salted = T.StructType([*salted.fields[: len(keys)], salted["_salt"], *salted.fields[len(keys) : -1]])
         by = [*keys, "_salt"]
