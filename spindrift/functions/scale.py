@@ -42,4 +42,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def scanned_bytes(df: DataFrame) -> int:
     """Estimated bytes of the tables ``df`` reads, from its plan; nothing is run."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
