@@ -143,7 +143,28 @@ WITH keys AS (SELECT 'unit' AS key_column, CAST(unit AS BIGINT) AS key_value, re
   UNION ALL SELECT 'electrode', CAST(electrode AS BIGINT), recording_id, time FROM spikes_time_adjusted)
 """
 
+# The SQL side finds a recording's unit from its largest value and its length alone, and reads durations by pattern.
+_CLOCK = "CASE WHEN {r} < 4472 THEN 'ms' WHEN {r} < 22360 THEN 'smp20k' WHEN {r} < 27386 THEN 'smp25k' WHEN {r} < 173205 THEN 'ticks' ELSE 'us' END"
+_US = "CAST({v} AS DOUBLE) * CASE {u} WHEN 'ms' THEN 1000 WHEN 'smp20k' THEN 50 WHEN 'smp25k' THEN 40 WHEN 'us' THEN 1 WHEN 's' THEN 1000000 WHEN 'ticks' THEN 100 END / CASE {u} WHEN 'ticks' THEN 3 ELSE 1 END"
+_UNITS = f"""
+WITH spike_clock AS (SELECT s.recording_id, {_CLOCK.format(r='max(time) / max(duration_s)')} AS unit FROM spikes_time_adjusted s JOIN recordings r ON r.recording_id = s.recording_id WHERE time IS NOT NULL GROUP BY s.recording_id),
+pico_clock AS (SELECT p.recording_id, {_CLOCK.format(r='max(greatest("Start", "End")) / max(duration_s)')} AS unit FROM pico p JOIN recordings r ON r.recording_id = p.recording_id GROUP BY p.recording_id),
+ends AS (SELECT recording_id, interval_id, 'Start' AS field_name, "Start" AS v FROM pico UNION ALL SELECT recording_id, interval_id, 'End', "End" FROM pico),
+texts AS (SELECT semi_id, abs("pico_Interval End" - "pico_Interval Start") * 100 / 3.0::DOUBLE AS span, lower("pico_Interval Duration") AS t FROM semi_from_table_designer),
+typical AS (SELECT quantile_cont(span, 0.5) AS m FROM texts WHERE span > 0),
+parts AS (SELECT semi_id, CASE WHEN span > 0 THEN span ELSE m END AS span, regexp_extract(t, '[0-9][0-9.,]*(e[0-9]+)?') AS n,
+  CASE WHEN regexp_matches(t, 'khz|tick|tk') THEN 'ticks' WHEN regexp_matches(t, '(us|µs|μs|usec|microseconds)$') THEN 'us' WHEN regexp_matches(t, '(ms|msec|millisec.*)$') THEN 'ms' WHEN regexp_matches(t, '[0-9 ](s|sec|seconds)$') THEN 's' END AS told FROM texts CROSS JOIN typical),
+numbers AS (SELECT semi_id, span, told, CAST(CASE WHEN told = 'us' THEN replace(n, ',', '') ELSE replace(n, ',', '.') END AS DOUBLE) AS v FROM parts WHERE n <> ''),
+readings AS (SELECT semi_id, v, span, u.unit FROM numbers JOIN (VALUES ('ticks'), ('ms'), ('us'), ('s')) AS u(unit) ON told IS NULL OR told = u.unit),
+durations AS (SELECT semi_id, unit, us FROM (SELECT semi_id, unit, us, row_number() OVER (PARTITION BY semi_id ORDER BY abs(ln(us / span))) AS k FROM (SELECT semi_id, span, unit, {_US.format(v='v', u='unit')} AS us FROM readings) WHERE us > 0) WHERE k = 1),
+vals AS (SELECT 'spikes_time_adjusted' AS table_name, 'time' AS field_name, spike_id AS row_id, unit, {_US.format(v='time', u='c.unit')} AS us FROM (SELECT recording_id, spike_id, time FROM spikes_time_adjusted) s LEFT JOIN spike_clock c ON c.recording_id = s.recording_id
+  UNION ALL SELECT 'pico', field_name, interval_id, unit, {_US.format(v='v', u='c.unit')} FROM ends e LEFT JOIN pico_clock c ON c.recording_id = e.recording_id
+  UNION ALL SELECT 'semi_from_table_designer', 'pico_Interval Duration', t.semi_id, d.unit, d.us FROM texts t LEFT JOIN durations d ON d.semi_id = t.semi_id)
+"""
+
 ORACLES = {
+    "p3_found": _UNITS + "SELECT table_name, field_name, row_id, CAST(round(us) AS BIGINT) AS value_us FROM vals WHERE unit <> 'ticks' AND us IS NOT NULL",
+    "p3_unit_summary": _UNITS + "SELECT table_name, field_name, unit, count(*) AS n_rows, count(us) AS n_values, round(max(us) / 1e6, 3) AS max_s FROM vals GROUP BY ALL",
     "p1_found": _SESSIONS + "SELECT recording_id, unit, start_time, end_time FROM s WHERE n_events >= 3",
     "p1_sessions": _SESSIONS + "SELECT * FROM s",
     "p1_unit_summary": _SESSIONS + "SELECT unit, count(*) AS n_sessions, CAST(sum(n_events) AS BIGINT) AS n_events, max(duration) AS longest, CAST(sum(duration) AS BIGINT) AS total_duration FROM s GROUP BY unit",

@@ -59,7 +59,9 @@ def channel_voltage_corr(spark: SparkSession, d: str) -> DataFrame:
 
 
 def welch_psd(spark: SparkSession, d: str) -> DataFrame:
-    return S.welch_psd(voltage(spark, d), RATE, SEGMENT)
+    """Welch spectra in millionths, to four decimals."""
+    out = S.welch_psd(voltage(spark, d), RATE, SEGMENT)
+    return out.select("channel", "k", "freq", F.round(F.col("psd") * 1e6, 4).alias("psd"))
 
 
 def channel_analysis(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +88,13 @@ power AS (SELECT c.channel, b.band, coalesce(sum((f2 - freq) * (p2 + psd) / 2),
 """
 
 ORACLES = {
+    "welch_psd": f"""
+WITH v AS (SELECT vec_id AS sample, CAST(unnest(range(0, len(embedding))) AS INT) AS channel, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+s AS (SELECT v.*, g.segment, sample - segment * {SEGMENT // 2} AS i FROM v JOIN (SELECT unnest(range(0, (count(*) - {SEGMENT}) // {SEGMENT // 2} + 1)) AS segment FROM embeddings) g ON sample BETWEEN segment * {SEGMENT // 2} AND segment * {SEGMENT // 2} + {SEGMENT - 1}),
+w AS (SELECT channel, segment, i, (v - avg(v) OVER (PARTITION BY channel, segment)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / {SEGMENT})) AS x FROM s),
+k AS (SELECT CAST(unnest(range(0, {SEGMENT // 2 + 1})) AS INT) AS k), hann AS (SELECT sum(power(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / {SEGMENT}), 2)) AS h FROM (SELECT unnest(range(0, {SEGMENT})) AS i)),
+p AS (SELECT channel, segment, k, power(sum(x * cos(2 * pi() * ((k * i) % {SEGMENT}) / {SEGMENT})), 2) + power(sum(x * sin(2 * pi() * ((k * i) % {SEGMENT}) / {SEGMENT})), 2) AS p FROM w CROSS JOIN k GROUP BY ALL)
+SELECT channel, k, k * {RATE}::DOUBLE / {SEGMENT} AS freq, round(avg(p) * CASE WHEN k IN (0, {SEGMENT // 2}) THEN 1 ELSE 2 END / ({RATE}::DOUBLE * any_value(h)) * 1e6, 4) AS psd FROM p CROSS JOIN hann GROUP BY channel, k""",
     "voltage_histogram": """
 WITH v AS (SELECT CAST(unnest(range(0, len(embedding))) AS INT) AS channel, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
 e AS (SELECT channel, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo, CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM v GROUP BY channel),
