@@ -42,7 +42,7 @@ _CODE = np.zeros(256, np.uint8)
 _CODE[48:58] = np.arange(1, 11)
 _CODE[97:123] = np.arange(11, 37)
 _BASE = 37
-_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&#?[A-Za-z0-9]{1,8};")
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&#?[A-Za-z0-9]{1,8};")
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -105,7 +105,7 @@ WORDS, SENTENCE, SHARE = 4, 1.0, 0.17
 #: Tokens inferred at once: few enough that their arrays stay in the cache and are reused, which takes a tenth of the time.
 BATCH = 16_000
 
-_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&#?[A-Za-z0-9]{1,8};")
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&#?[A-Za-z0-9]{1,8};")
 _TOKEN = re.compile(r"[^\W\d_]{3,}|[.!?]+(?=\s|$)|\n")
 BREAK = 0
 
