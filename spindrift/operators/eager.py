@@ -21,15 +21,15 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, on: str, keys: Seque
     ``left``; with ``left`` a left row without a partner makes one pair whose right sums are null.
 
     * A null key value is a group of its own; a null ``on`` joins nothing.
-    * Sums skip nulls and are null where all values are; empty inputs give no rows.
+    * Sums skip nulls and are null where all values are; sums of whole numbers are decimals of 38 digits. Empty inputs give no rows.
     * Other columns may clash: only the named ones are read.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     k = [f"_k{i}" for i in range(len(keys))]
-    a = left.select(left[on].alias("j"), *(left[c].cast("bigint").alias(x) for c, x in zip(keys, k, strict=True)), *(left[c].alias(f"_l{i}") for i, c in enumerate(left_sums)))
+    a = left.select(left[on].alias("j"), *(left[c].cast("bigint").alias(x) for c, x in zip(keys, k, strict=True)), *(_summable(left, c).alias(f"_l{i}") for i, c in enumerate(left_sums)))
     a = a.groupBy("j", *k).agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"_l{i}").alias(f"_l{i}") for i in range(len(left_sums))))
-    b = right.select(right[on].alias("j"), *(right[c].alias(f"_r{i}") for i, c in enumerate(right_sums)))
+    b = right.select(right[on].alias("j"), *(_summable(right, c).alias(f"_r{i}") for i, c in enumerate(right_sums)))
     b = b.where("j IS NOT NULL").groupBy("j").agg(F.count(F.lit(1)).alias("m"), *(F.sum(f"_r{i}").alias(f"_r{i}") for i in range(len(right_sums))))
     m = F.coalesce("m", F.lit(1))
     joined = a.join(b, "j", how).select(
@@ -51,6 +51,12 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, on: str, keys: Seque
     )
 
 
+def _summable(df: DataFrame, name: str) -> Column:
+    """The column, whole numbers as decimals, so that sums times counts don't overflow."""
+    whole = df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long")
+    return df[name].cast("decimal(20,0)") if whole else df[name]
+
+
 def shares(counts: DataFrame, count: str = "n_left") -> DataFrame:
     """``counts`` with ``n_total`` and ``share`` of all rows of its key column (null keys count in the total)."""
     totals = counts.groupBy("key_column").agg(F.sum(count).alias("n_total"))

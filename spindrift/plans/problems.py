@@ -112,7 +112,7 @@ def p5_stimulus_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Spike-by-interval pairs of each unit and electrode within recordings, counted without building a pair."""
     pico = table(spark, d, "pico").select("recording_id", (F.col("End") - F.col("Start")).alias("span"))
     out = eager.eager_join_aggregate(table(spark, d, "spikes_time_adjusted"), pico, "recording_id", ["unit", "electrode"], left_sums=["time"], right_sums=["span"])
-    return out.select("key_column", "key_value", "n_pairs", F.col("sum_time").cast("decimal(38,0)").cast("double").alias("sum_time"), F.col("sum_span").alias("sum_span"))
+    return out.select("key_column", "key_value", "n_pairs", F.col("sum_time").cast("double").alias("sum_time"), F.col("sum_span").cast("bigint").alias("sum_span"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p1_unit_summary, p3_found, p3_unit_summary, p4_found, p4_orphans_by_month, p5_found, p5_key_rates, p5_unit_intervals, p5_stimulus_pairs)}
