@@ -38,8 +38,8 @@ def with_geometry(rates: DataFrame, geometry: DataFrame, by: Sequence[str]) -> D
 
     The geometry is a fixed small table: it is packed into one array that each group explodes, then rates are joined by key.
     """
-    probe = geometry.agg(F.array_sort(F.collect_list(F.struct("electrode", "poly", "x", "y"))).alias("probe")).withColumn("one", F.lit(1))
-    groups = rates.select(*by).distinct().withColumn("one", F.lit(1)).join(F.broadcast(probe), "one")
+    probe = geometry.agg(F.array_sort(F.collect_list(F.struct("electrode", "poly", "x", "y"))))
+    groups = rates.select(*by).distinct().withColumn("probe", probe.scalar())
     all_ = groups.select(*by, F.explode("probe").alias("e")).select(*by, "e.*")
     return all_.join(rates.select(*by, "electrode", "firing_rate"), [*by, "electrode"], "left").select(*by, "poly", "electrode", "x", "y", F.coalesce("firing_rate", F.lit(0.0)).alias("firing_rate"))
 

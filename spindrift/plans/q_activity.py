@@ -41,16 +41,14 @@ def interval_categories(spark: SparkSession, d: str) -> DataFrame:
 
 def category_share(spark: SparkSession, d: str) -> DataFrame:
     counts = _rows(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("all")).withColumn("one", F.lit(1))
-    return counts.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("category", "n", F.round(100 * F.col("n") / F.col("all"), 6).alias("percent"))
+    return counts.select("category", "n", F.round(100 * F.col("n") / counts.agg(F.sum("n")).scalar(), 6).alias("percent"))
 
 
 def duration_counts(spark: SparkSession, d: str) -> DataFrame:
     """The ten shortest lengths that occur, with their number and part of all rows."""
     rows = table(spark, d, "semi_from_table_designer").select((F.col(f"`{END}`") - F.col(f"`{START}`")).alias("duration"))
-    total = rows.agg(F.count(F.lit(1)).alias("all")).withColumn("one", F.lit(1))
     ten = rows.where("duration IS NOT NULL").groupBy("duration").agg(F.count(F.lit(1)).alias("n")).orderBy("duration").limit(10)
-    return ten.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("duration", "n", F.round(100 * F.col("n") / F.col("all"), 6).alias("percent"))
+    return ten.select("duration", "n", F.round(100 * F.col("n") / rows.agg(F.count(F.lit(1))).scalar(), 6).alias("percent"))
 
 
 def unit_activity(spark: SparkSession, d: str) -> DataFrame:
@@ -124,8 +122,7 @@ def dataset_overview(spark: SparkSession, d: str) -> DataFrame:
     order = lambda sign: F.min_by("unit", F.struct((F.col("active_intervals") * sign).alias("a"), F.col("unit").alias("u")))
     units = A.unit_activity(long).agg(F.count(F.lit(1)).alias("n_units"), F.round(F.avg("rate_percent"), 6).alias("mean_rate_percent"), order(-1).alias("most_active"), order(1).alias("least_active"))
     counts = A.spike_count_stats(long).agg(F.sum("total_spikes").alias("total_spikes"), F.round(F.avg("total_spikes"), 6).alias("mean_unit_spikes"))
-    one = lambda df: df.withColumn("one", F.lit(1))
-    return one(rows).join(one(units), "one").join(one(counts), "one").drop("one")
+    return rows.withColumns({c: df.select(c).scalar() for df in (units, counts) for c in df.columns})
 
 
 QUERIES = {f.__name__: f for f in (

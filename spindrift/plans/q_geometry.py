@@ -92,9 +92,9 @@ def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
     r = recording(spark, d)
     per = r.spikes.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"), (F.max("time") - F.min("time")).alias("ticks"))
     total = per.agg(F.count(F.lit(1)).alias("n_recordings"), F.sum("n").alias("n_spikes"), F.round(F.sum("ticks") / float(PER), 4).alias("seconds"))
-    kinds = r.spikes.agg(F.countDistinct("unit").alias("n_units"), F.countDistinct("electrode").alias("n_electrodes")).withColumn("one", F.lit(1))
-    probe = r.geometry.agg(F.count(F.lit(1)).alias("n_configured")).withColumn("one", F.lit(1))
-    return total.withColumn("one", F.lit(1)).join(kinds, "one").join(probe, "one").drop("one")
+    kinds = r.spikes.agg(F.countDistinct("unit").alias("n_units"), F.countDistinct("electrode").alias("n_electrodes"))
+    probe = r.geometry.agg(F.count(F.lit(1)).alias("n_configured"))
+    return total.withColumns({c: df.select(c).scalar() for df in (kinds, probe) for c in df.columns})
 
 
 def time_range(spark: SparkSession, d: str) -> DataFrame:
@@ -147,9 +147,8 @@ def qc_rankings(spark: SparkSession, d: str) -> DataFrame:
 
     s = recording(spark, d).spikes
     span = s.groupBy("recording_id").agg((F.max("time") - F.min("time")).alias("ticks"))
-    total = span.agg(F.sum("ticks").alias("ticks")).withColumn("one", F.lit(1))
     counts = eager_join_aggregate(s, span, "recording_id", ["unit", "electrode"]).where("key_value IS NOT NULL")
-    rows = counts.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("key_column", "key_value", F.col("n_left").alias("n_spikes"), F.round(F.col("n_left") * float(PER) / F.col("ticks"), 6).alias("rate"))
+    rows = counts.select("key_column", "key_value", F.col("n_left").alias("n_spikes"), F.round(F.col("n_left") * float(PER) / span.agg(F.sum("ticks")).scalar(), 6).alias("rate"))
     return G.top(rows, ["key_column"], [F.col("n_spikes").desc(), F.col("key_value")], 2**31 - 1)
 
 

@@ -54,8 +54,7 @@ def psth_response_class(spark: SparkSession, d: str) -> DataFrame:
 def psth_response_counts(spark: SparkSession, d: str) -> DataFrame:
     """Units of each response class and their part of all units in percent."""
     counts = psth(spark, d).response_classes().groupBy("response").agg(F.count(F.lit(1)).alias("n_units"))
-    total = counts.agg(F.sum("n_units").alias("all")).withColumn("one", F.lit(1))
-    return counts.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("response", "n_units", F.round(100 * F.col("n_units") / F.col("all"), 6).alias("percent"))
+    return counts.select("response", "n_units", F.round(100 * F.col("n_units") / counts.agg(F.sum("n_units")).scalar(), 6).alias("percent"))
 
 
 def psth_population_mean_sem(spark: SparkSession, d: str) -> DataFrame:

@@ -109,8 +109,7 @@ def pattern_class_counts(spark: SparkSession, d: str) -> DataFrame:
     """Trains of each class, their part in percent, and mean and spread of rate and interval variation, bursts in all."""
     rows = pattern_features(spark, d).where("error IS NULL")
     counts = rows.groupBy("pattern_type").agg(F.count(F.lit(1)).alias("n_trains"), F.avg("mean_rate").alias("mean_rate"), F.stddev_pop("mean_rate").alias("std_rate"), F.avg("cv_isi").alias("mean_cv"), F.stddev_pop("cv_isi").alias("std_cv"), F.sum("n_bursts").alias("n_bursts"))
-    total = counts.agg(F.sum("n_trains").alias("all")).withColumn("one", F.lit(1))
-    out = counts.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").withColumn("percent", 100 * F.col("n_trains") / F.col("all")).drop("one", "all")
+    out = counts.withColumn("percent", 100 * F.col("n_trains") / counts.agg(F.sum("n_trains")).scalar())
     return out.withColumns({c: F.round(c, 4) for c in ("mean_rate", "std_rate", "mean_cv", "std_cv", "percent")})
 
 
