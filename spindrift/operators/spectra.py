@@ -104,8 +104,8 @@ def band_power(psd: DataFrame, bands: DataFrame) -> DataFrame:
     """(channel, band, power): the trapezoid integral over each band's bins, ends included; 0 where a band has no two bins, for
     every channel and band. The bands are a parameter, a handful of rows."""
     every_band = bands.agg(F.collect_list(F.struct("band", "low", "high"))).scalar()
-    holding = F.filter(every_band, lambda b: F.col("freq").between(b["low"], b["high"]))
-    inside = psd.select("channel", "freq", "psd", F.explode(holding).alias("b")).select("channel", "b.band", "freq", "psd")
+    each = psd.select("channel", "freq", "psd", F.explode(every_band).alias("b"))
+    inside = each.where(F.col("freq").between(F.col("b.low"), F.col("b.high"))).select("channel", "b.band", "freq", "psd")
     found = trapezoid(inside, "freq", "psd", ["channel", "band"], "power")
     every = psd.select("channel").distinct().withColumn("all", bands.agg(F.collect_list("band")).scalar()).select("channel", F.explode("all").alias("band"))
     return every.join(found, ["channel", "band"], "left").select("channel", "band", F.coalesce("power", F.lit(0.0)).alias("power"))
