@@ -105,7 +105,7 @@ def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, token_start, n_tokens, container): every item of ``sizes`` (doc_id, n_tokens) in containers of ``capacity``.
+    """(doc_id, piece, token_start, n_tokens, container_id): every item of ``sizes`` (doc_id, n_tokens) in containers of ``capacity``.
 
     * An item beyond ``capacity`` is cut into pieces of ``capacity`` and a rest; no other item is ever split.
     * Items of null, zero or negative size take no room and get no row. Repeated ids are items of their own.
@@ -129,7 +129,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = spark.createDataFrame([tuple(s) for s in slots], "length bigint, first bigint, n bigint, start bigint, each bigint")
     mine = (F.col("n_tokens") == F.col("length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
     container = F.col("start") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))
-    return ranked.join(F.broadcast(table), mine).select("doc_id", "piece", "token_start", "n_tokens", container.alias("container"))
+    return ranked.join(F.broadcast(table), mine).select("doc_id", "piece", "token_start", "n_tokens", container.alias("container_id"))
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:

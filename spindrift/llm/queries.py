@@ -50,7 +50,7 @@ def p6_pack(spark: SparkSession, d: str) -> DataFrame:
 def p6_summary(spark: SparkSession, d: str) -> DataFrame:
     """Containers used, the least any packing needs, unused tokens, and documents split with and without need."""
     filled = p6_pack(spark, d)
-    containers = filled.groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n"))
+    containers = filled.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n"))
     total = containers.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.sum(packing.CAPACITY - F.col("used")).alias("unused"), F.max("used").alias("fullest"), F.sum("n").alias("items"))
     return total.withColumn("least", F.ceil(F.col("tokens") / packing.CAPACITY))
 

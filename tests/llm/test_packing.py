@@ -56,7 +56,7 @@ def test_pack(spark, monkeypatch):
     full = Counter()
     by_doc = {}
     for r in rows:
-        full[r.container] += r.n_tokens
+        full[r.container_id] += r.n_tokens
         by_doc.setdefault(r.doc_id, []).append((r.piece, r.token_start, r.n_tokens))
     assert max(full.values()) <= 100 and set(full) == set(range(len(full)))
     for i in {i for i, n in sizes if n and n > 0} - {5}:
