@@ -115,25 +115,26 @@ def term_id(term: str) -> int:
     return (zlib.crc32(term.encode()) >> 1) or 1
 
 
+class _Numbers(dict):
+    """Token -> number, found when first asked for."""
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = term_id(token) if token[0].isalpha() else BREAK
+        return number
+
+
 class Tokeniser:
     """Texts as numbers of lower-case words of three letters and more, ``BREAK`` between sentences and lines."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> np.ndarray:
         if "<" in text or "&" in text:
             text = _MARKUP.sub(" ", text)
-        out = []
-        known = self.known
-        for token in _TOKEN.findall(text.lower()):
-            number = known.get(token)
-            if number is None:
-                number = known[token] = term_id(token) if token[0].isalpha() else BREAK
-            out.append(number)
-        if len(known) > 2_000_000:
-            known.clear()
-        return out
+        if len(self.known) > 2_000_000:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, _TOKEN.findall(text.lower())), np.int32)
 
 
 @dataclass
@@ -226,7 +227,9 @@ def tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         tokenise = Tokeniser()
         for batch in batches:
             lists = [tokenise(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            offsets = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+            values = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "ids"])
 
     rows = documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[text].alias("text")).where("doc_id IS NOT NULL AND text <> ''")
     return rows.mapInArrow(task, TOKENS)
@@ -242,12 +245,19 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def document_frequencies(rows: DataFrame) -> DataFrame:
     """(id, n): in how many documents each token number occurs."""
 
+    def distinct(pairs: np.ndarray) -> np.ndarray:
+        pairs.sort()
+        return pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, doc = _flat(batch)
-            pairs = np.unique(doc[ids != BREAK].astype(np.int64) << 32 | ids[ids != BREAK])
-            number, n = np.unique(pairs & 0xFFFFFFFF, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(n.astype(np.int64))], names=["id", "n"])
+            doc, ids = doc[ids != BREAK], ids[ids != BREAK]
+            held = [distinct(doc[a:b].astype(np.int64) << 32 | ids[a:b]) & 0xFFFFFFFF for a, b in _chunks(doc)]
+            numbers = np.sort(np.concatenate(held)) if held else np.empty(0, np.int64)
+            first = np.flatnonzero(np.diff(numbers, prepend=-1))
+            n = np.diff(np.append(first, len(numbers)))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["id", "n"])
 
     return rows.mapInArrow(task, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 

@@ -17,11 +17,18 @@ def test_digamma():
 
 def test_tokeniser():
     t = S.Tokeniser()
-    assert t("The <b>unit</b> is DRIFTING.\nNo 5") == [S.term_id("the"), S.term_id("unit"), S.term_id("drifting"), S.BREAK, S.BREAK]
-    assert t("") == [] and t("... ?") == [S.BREAK, S.BREAK]
+    assert t("The <b>unit</b> is DRIFTING.\nNo 5").tolist() == [S.term_id("the"), S.term_id("unit"), S.term_id("drifting"), S.BREAK, S.BREAK]
+    assert t("").tolist() == [] and t("... ?").tolist() == [S.BREAK, S.BREAK]
     assert S.term_id("unit") == S.Tokeniser()("Unit")[0] > 0
 
 
+def test_document_frequencies(spark, monkeypatch):
+    texts = ["spike spike unit. unit", "unit", "", "...", "probe spike"]
+    rows = S.tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1))
+    got = {r.id: r.n for r in S.document_frequencies(rows).collect()}
+    assert got == {S.term_id("spike"): 2, S.term_id("unit"): 2, S.term_id("probe"): 1}
+
+
 def test_lookup():
     rng = np.random.default_rng(1)
     for n in (1, 5, 2000):
