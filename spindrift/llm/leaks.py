@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, BLOCK = 12, 4
-#: A window is a pattern if at most so many passages hold it; a passage all of whose windows are more common keeps all of them.
+#: A window is a pattern if at most so many passages hold it; a passage most of whose windows are more common keeps all of them.
 SHARED = 3
 #: Windows that must lie on about one diagonal to count, and the part of a passage's patterns that must count in all, before
 #: the passage is laid along a document. A copy of half a passage with every tenth word changed keeps about a quarter.
@@ -151,7 +151,8 @@ class Matcher:
         number: dict[bytes, int] = {}
         posts: list[list[tuple[int, int]]] = []
         for p, own in enumerate(windows):
-            rare = {w: ats for w, ats in own.items() if holders[w] <= SHARED} or own
+            rare = {w: ats for w, ats in own.items() if holders[w] <= SHARED}
+            rare = rare if 2 * len(rare) >= len(own) else own
             self.passages[p].n_patterns = sum(map(len, rare.values()))
             for w, ats in rare.items():
                 i = number.setdefault(w, len(number))

@@ -60,6 +60,14 @@ def test_what_is_a_leak():
     assert found(items, docs) == {(0, 0), (1, 3), (3, 5), (4, 6), (5, 7), (6, 8)}
 
 
+def test_passages_that_share_most_of_their_windows():
+    rng = random.Random(6)
+    common = passage(rng, 50)
+    items = [(i, f"{common} {passage(rng, 6)}") for i in range(6)]
+    got = found(items, [f"so {common} it", items[2][1]])
+    assert {(0, i) for i in range(6)} <= got and (1, 2) in got
+
+
 def test_operator_edges(spark):
     rng = random.Random(3)
     p = passage(rng)
