@@ -85,3 +85,12 @@ def wide_table(pairs: DataFrame, intervals: DataFrame, units: Sequence[int]) ->
         n = F.coalesce(F.col(f"`{u}`"), F.lit(0))
         cols += [F.when(n > 0, 1).otherwise(0).alias(f"spikes_{u}_{PRESENCE}"), n.alias(name)]
     return joined.select("interval_id", "Start", "End", (F.col("End") - F.col("Start")).alias("duration"), *cols)
+
+
+def long_table(pairs: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(interval_id, Start, End, duration, unit, presence, count): ``wide_table`` of all units, a row for each unit with spikes in an
+    interval; an interval without spikes has one row with a null unit, presence and count 0.
+    """
+    counts = pairs.groupBy("interval_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return intervals.join(counts, "interval_id", "left").select("interval_id", "Start", "End", (F.col("End") - F.col("Start")).alias("duration"), "unit", F.when(n > 0, 1).otherwise(0).alias("presence"), n.alias("count"))

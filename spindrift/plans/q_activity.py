@@ -14,6 +14,7 @@ from spindrift.sources.tables import table
 
 START, END = "pico_Interval Start", "pico_Interval End"
 TICKS_PER_MS = 30
+#: The SQL of wide_interval_table still has these units only; the query has all.
 UNITS = list(range(16))
 #: Ticks in a bucket of the overlap join: about the length of an interval.
 SPAN = 15_000
@@ -28,11 +29,12 @@ def _long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wide_interval_table(spark: SparkSession, d: str) -> DataFrame:
-    """Presence and count of units 0 to 15 in every interval, from the spikes themselves."""
+    """Presence and count of every unit in every interval, from the spikes themselves, in long form: a row an interval and unit
+    with spikes in it, and one without a unit and a count of 0 for an interval without any."""
     r = recording(spark, d)
     spans = r.intervals.where("End > Start")
-    pairs = overlap_join(r.spikes.where(F.col("unit").isin(UNITS)), spans, ["recording_id"], SPAN)
-    return A.wide_table(pairs.select("interval_id", "unit"), spans.select("interval_id", "Start", "End"), UNITS).withColumnsRenamed({"Start": "start_time", "End": "end_time"})
+    pairs = overlap_join(r.spikes, spans, ["recording_id"], SPAN)
+    return A.long_table(pairs.select("interval_id", "unit"), spans.select("interval_id", "Start", "End")).withColumnsRenamed({"Start": "start_time", "End": "end_time"})
 
 
 def interval_categories(spark: SparkSession, d: str) -> DataFrame:

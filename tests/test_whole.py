@@ -2,7 +2,8 @@
 
 from oracle import compare
 
-from spindrift.plans import q_psth
+from spindrift.plans import q_activity, q_psth
+from spindrift.plans.recording import SQL
 
 
 def test_channel_correlations_of_all_electrodes(spark, small):
@@ -11,3 +12,10 @@ def test_channel_correlations_of_all_electrodes(spark, small):
     assert compare(q_psth.psth_channel_corr(spark, small), small, sql + "SELECT i, j, round(corr, 6) AS corr FROM c") == ""
     assert compare(q_psth.psth_best_pair(spark, small), small, sql + "SELECT i, j, round(corr, 6) AS corr FROM c WHERE i < j AND corr > 0 ORDER BY 3 DESC, 1, 2 LIMIT 1") == ""
     assert compare(q_psth.max_offdiagonal_corr(spark, small), small, sql + "SELECT round(max(corr), 6) AS max_corr FROM c WHERE i <> j") == ""
+
+
+def test_intervals_hold_all_units(spark, small):
+    sql = SQL + """, pairs AS (SELECT i.interval_id, s.unit, count(*) AS n FROM intervals i JOIN spikes s ON s.recording_id = i.recording_id AND s.time BETWEEN i.a AND i.b WHERE i.b > i.a GROUP BY ALL)
+SELECT i.interval_id, a AS start_time, b AS end_time, b - a AS duration, p.unit, CASE WHEN p.n > 0 THEN 1 ELSE 0 END AS presence, coalesce(p.n, 0) AS count FROM intervals i LEFT JOIN pairs p ON p.interval_id = i.interval_id WHERE b > a"""
+    rows = q_activity.wide_interval_table(spark, small)
+    assert compare(rows, small, sql) == "" and rows.where("unit > 15").count() > 0
