@@ -165,10 +165,9 @@ def units_per_channel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unit_channel_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Spikes of each unit on channels 1 to 16, 0 where it has none."""
-    states = recording(spark, d).spikes.groupBy("unit", "electrode").agg(F.count(F.lit(1)).alias("n"))
-    channels = list(range(1, 17))
-    return states.groupBy("unit").pivot("electrode", channels).agg(F.sum("n")).fillna(0).select("unit", *(F.col(str(c)).alias(f"ch_{c}") for c in channels))
+    """Spikes of each unit on each channel where it has any, a row each instead of a column a channel; the channel of spikes
+    without one is null."""
+    return recording(spark, d).spikes.groupBy("unit", "electrode").agg(F.count(F.lit(1)).alias("n_spikes"))
 
 
 def unit_spike_counts_topn(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from oracle import compare
 
-from spindrift.plans import q_activity, q_psth
+from spindrift.plans import q_activity, q_geometry, q_psth
 from spindrift.plans.recording import SQL
 
 
@@ -19,3 +19,9 @@ def test_intervals_hold_all_units(spark, small):
 SELECT i.interval_id, a AS start_time, b AS end_time, b - a AS duration, p.unit, CASE WHEN p.n > 0 THEN 1 ELSE 0 END AS presence, coalesce(p.n, 0) AS count FROM intervals i LEFT JOIN pairs p ON p.interval_id = i.interval_id WHERE b > a"""
     rows = q_activity.wide_interval_table(spark, small)
     assert compare(rows, small, sql) == "" and rows.where("unit > 15").count() > 0
+
+
+def test_units_on_all_channels(spark, small):
+    rows = q_geometry.unit_channel_pivot(spark, small)
+    assert compare(rows, small, SQL + "SELECT unit, electrode, count(*) AS n_spikes FROM spikes GROUP BY ALL") == ""
+    assert rows.where("electrode NOT BETWEEN 1 AND 16").count() > 0
