@@ -9,6 +9,7 @@ from spindrift.functions.scale import bounded_broadcast
 from spindrift.operators import eager, units
 from spindrift.operators.orphans import Child, References
 from spindrift.operators.sessions import sessions
+from spindrift.plans.recording import in_ticks
 from spindrift.sources.tables import table
 
 GAP = 3_000
@@ -22,12 +23,23 @@ def tick_spikes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "spikes_time_adjusted").join(bounded_broadcast(plain), "recording_id", "left_semi")
 
 
+def clocked_spikes(spark: SparkSession, d: str) -> DataFrame:
+    """(recording_id, unit, electrode, time) of the spikes of all recordings, times in ticks; unit and electrode may be null."""
+    spikes = table(spark, d, "spikes_time_adjusted").where("time IS NOT NULL")
+    clocks = units.recording_units(table(spark, d, "recordings"), "spikes_time_unit", "spikes", spikes.select("recording_id", F.col("time").alias("value")))
+    clocks = bounded_broadcast(clocks.select("recording_id", F.col("unit").alias("clock")))
+    return spikes.join(clocks, "recording_id").select("recording_id", "unit", "electrode", in_ticks(F.col("time"), F.col("clock")).alias("time")).where("time IS NOT NULL")
+
+
 def p1_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return sessions(tick_spikes(spark, d), ["recording_id", "unit"], "time", GAP)
+    """The sessions of every unit in every recording."""
+    return sessions(clocked_spikes(spark, d), ["recording_id", "unit"], "time", GAP)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_sessions(spark, d).where("n_events >= 3").select("recording_id", "unit", "start_time", "end_time")
+    """Of the plain tick recordings only."""
+    plain = sessions(tick_spikes(spark, d), ["recording_id", "unit"], "time", GAP)
+    return plain.where("n_events >= 3").select("recording_id", "unit", "start_time", "end_time")
 
 
 def p1_unit_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -104,8 +116,11 @@ def p5_key_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_unit_intervals(spark: SparkSession, d: str) -> DataFrame:
-    out = eager.interval_states(tick_spikes(spark, d), ["unit"], ["recording_id"], "time", INTERVAL_BLOCK)
-    return out.select("unit", "n_events", "n_trains", "n_intervals", "sum_interval", "min_interval", "max_interval", F.round("mean_interval", 6).alias("mean_interval"))
+    """Intervals between the spikes of each unit and of each electrode within recordings, all recordings in ticks."""
+    keyed = F.explode(F.array(*(F.struct(F.lit(c).alias("key_column"), F.col(c).cast("bigint").alias("key_value")) for c in ("unit", "electrode"))))
+    rows = clocked_spikes(spark, d).select("recording_id", "time", keyed.alias("x")).select("recording_id", "time", "x.*")
+    out = eager.interval_states(rows, ["key_column", "key_value"], ["recording_id"], "time", INTERVAL_BLOCK)
+    return out.select("key_column", "key_value", "n_events", "n_trains", "n_intervals", "sum_interval", "min_interval", "max_interval", F.round("mean_interval", 6).alias("mean_interval"))
 
 
 def p5_stimulus_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from oracle import compare
 
-from spindrift.plans import q_activity, q_geometry, q_psth
+from spindrift.plans import problems, q_activity, q_geometry, q_psth
 from spindrift.plans.recording import SQL
 
 
@@ -25,3 +25,19 @@ def test_units_on_all_channels(spark, small):
     rows = q_geometry.unit_channel_pivot(spark, small)
     assert compare(rows, small, SQL + "SELECT unit, electrode, count(*) AS n_spikes FROM spikes GROUP BY ALL") == ""
     assert rows.where("electrode NOT BETWEEN 1 AND 16").count() > 0
+
+
+def test_sessions_and_intervals_of_all_recordings(spark, small):
+    spikes = SQL.replace("WHERE time IS NOT NULL AND unit IS NOT NULL)", "WHERE time IS NOT NULL)")
+    assert spikes != SQL
+    intervals = spikes + """, k AS (SELECT 'unit' AS key_column, CAST(unit AS BIGINT) AS key_value, recording_id, time FROM spikes UNION ALL SELECT 'electrode', CAST(electrode AS BIGINT), recording_id, time FROM spikes),
+d AS (SELECT *, time - lag(time) OVER (PARTITION BY key_column, key_value, recording_id ORDER BY time) AS d FROM k WHERE key_value IS NOT NULL)
+SELECT key_column, key_value, count(*) AS n_events, count(DISTINCT recording_id) AS n_trains, count(d) AS n_intervals, CAST(coalesce(sum(d), 0) AS BIGINT) AS sum_interval,
+  min(d) AS min_interval, max(d) AS max_interval, round(avg(d), 6) AS mean_interval FROM d GROUP BY ALL"""
+    assert compare(problems.p5_unit_intervals(spark, small), small, intervals) == ""
+    sessions = SQL + f""", t AS (SELECT DISTINCT recording_id, unit, time FROM spikes),
+g AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY recording_id, unit ORDER BY time) <= {problems.GAP} THEN 0 ELSE 1 END AS first_one FROM t),
+i AS (SELECT *, sum(first_one) OVER (PARTITION BY recording_id, unit ORDER BY time) AS session FROM g),
+s AS (SELECT recording_id, unit, min(time) AS start_time, max(time) AS end_time, max(time) - min(time) AS duration, count(*) AS n_events FROM i GROUP BY recording_id, unit, session)\n"""
+    assert compare(problems.p1_sessions(spark, small), small, sessions + "SELECT * FROM s") == ""
+    assert compare(problems.p1_unit_summary(spark, small), small, sessions + "SELECT unit, count(*) AS n_sessions, CAST(sum(n_events) AS BIGINT) AS n_events, max(duration) AS longest, CAST(sum(duration) AS BIGINT) AS total_duration FROM s GROUP BY unit") == ""
