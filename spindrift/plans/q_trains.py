@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.operators import trains as T
@@ -85,8 +86,8 @@ def train_dominant_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pattern_features(spark: SparkSession, d: str) -> DataFrame:
-    """The analysis of every train by all features but rhythm."""
-    out = T.patterns(_spikes(spark, d), TRAIN, "spike_id", PER, MAX_ISI, MIN_SPIKES, BIN, WINDOW, STEP, rhythm=False)
+    """The main features of every train and its class, rhythm included."""
+    out = pattern_analysis(spark, d)
     return _rounded(out.select(*TRAIN, "n_spikes", "cv_isi", "mean_rate", "mean_sliding", "n_bursts", "burst_ratio", "pattern_type", "confidence", "error"), "cv_isi", "mean_rate", "burst_ratio", "confidence")
 
 
@@ -102,14 +103,14 @@ def train_spectrum(spark: SparkSession, d: str) -> DataFrame:
 
 def pattern_records(spark: SparkSession, d: str) -> DataFrame:
     """The analysis of every train with its intervals, rates and bursts packed for export."""
-    return T.pattern_records(_spikes(spark, d), TRAIN, "spike_id", PER, MAX_ISI, MIN_SPIKES, window=WINDOW, step=STEP, rhythm=False)
+    return T.pattern_records(_spikes(spark, d), TRAIN, "spike_id", PER, MAX_ISI, MIN_SPIKES, width=BIN, window=WINDOW, step=STEP)
 
 
 def pattern_class_counts(spark: SparkSession, d: str) -> DataFrame:
     """Trains of each class, their part in percent, and mean and spread of rate and interval variation, bursts in all."""
     rows = pattern_features(spark, d).where("error IS NULL")
     counts = rows.groupBy("pattern_type").agg(F.count(F.lit(1)).alias("n_trains"), F.avg("mean_rate").alias("mean_rate"), F.stddev_pop("mean_rate").alias("std_rate"), F.avg("cv_isi").alias("mean_cv"), F.stddev_pop("cv_isi").alias("std_cv"), F.sum("n_bursts").alias("n_bursts"))
-    out = counts.withColumn("percent", 100 * F.col("n_trains") / counts.agg(F.sum("n_trains")).scalar())
+    out = counts.withColumn("percent", 100 * F.col("n_trains") / F.sum("n_trains").over(W.partitionBy(F.lit(1))))
     return out.withColumns({c: F.round(c, 4) for c in ("mean_rate", "std_rate", "mean_cv", "std_cv", "percent")})
 
 

@@ -1,8 +1,11 @@
 """Queries do the whole job: every electrode, unit, recording and class."""
 
+from collections import Counter
+
+import numpy as np
 from oracle import compare
 
-from spindrift.plans import problems, q_activity, q_geometry, q_psth
+from spindrift.plans import problems, q_activity, q_geometry, q_psth, q_trains
 from spindrift.plans.recording import SQL
 
 
@@ -41,3 +44,40 @@ i AS (SELECT *, sum(first_one) OVER (PARTITION BY recording_id, unit ORDER BY ti
 s AS (SELECT recording_id, unit, min(time) AS start_time, max(time) AS end_time, max(time) - min(time) AS duration, count(*) AS n_events FROM i GROUP BY recording_id, unit, session)\n"""
     assert compare(problems.p1_sessions(spark, small), small, sessions + "SELECT * FROM s") == ""
     assert compare(problems.p1_unit_summary(spark, small), small, sessions + "SELECT unit, count(*) AS n_sessions, CAST(sum(n_events) AS BIGINT) AS n_events, max(duration) AS longest, CAST(sum(duration) AS BIGINT) AS total_duration FROM s GROUP BY unit") == ""
+
+
+def _class(times, width=q_trains.BIN, per=q_trains.PER):
+    """The class of a train in a plain loop."""
+    n = len(times)
+    if n < 10:
+        return "insufficient_data"
+    runs = np.split(times, np.flatnonzero(np.diff(times) > q_trains.MAX_ISI) + 1)
+    if sum(len(r) >= q_trains.MIN_SPIKES for r in runs) / n > 0.1:
+        return "bursting"
+    bins = (times[-1] - times[0]) // width
+    train = np.zeros(bins)
+    at = (times - times[0]) // width
+    train[at[at < bins]] = 1
+    size = min(2048, bins // 4)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    power = np.mean([np.abs(np.fft.rfft((x - x.mean()) * window)) ** 2 for x in (train[i : i + size] for i in range(0, bins - size + 1, size - size // 2))], axis=0)
+    power[1 : None if size % 2 else -1] *= 2
+    frequencies = np.fft.rfftfreq(size, width / per)
+    power = power[frequencies <= 100]
+    if frequencies[np.argmax(power[1:]) + 1] > 10:
+        return "rhythmic"
+    cv = np.std(np.diff(times)) / np.mean(np.diff(times))
+    return "regular" if cv < 0.5 else "irregular" if cv > 1.5 else "tonic"
+
+
+def test_classes_with_rhythm(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    trains = {1: np.arange(400) * 1200, 2: np.cumsum(rng.integers(30_000, 36_000, 60)), 3: np.array([5, 900]), 4: (np.arange(40)[:, None] * 30_000 + np.arange(4) * 90).ravel(), 5: np.sort(rng.choice(3_000_000, 120, False))}
+    df = spark.createDataFrame([(u * 1000 + i, 1, int(t), u, None) for u, ts in trains.items() for i, t in enumerate(ts)], "spike_id bigint, recording_id int, time bigint, unit int, electrode int")
+    monkeypatch.setattr(q_trains, "_spikes", lambda spark, d: df)
+    want = {u: _class(ts) for u, ts in trains.items()}
+    assert want[1] == "rhythmic" and want[4] == "bursting"
+    for query in (q_trains.pattern_features, q_trains.pattern_records, q_trains.pattern_analysis):
+        assert {r.unit: r.pattern_type for r in query(spark, "").collect()} == want
+    counts = {r.pattern_type: (r.n_trains, r.percent) for r in q_trains.pattern_class_counts(spark, "").collect()}
+    assert counts == {c: (n, 20.0 * n) for c, n in Counter(want.values()).items()}
