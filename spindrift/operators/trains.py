@@ -91,15 +91,31 @@ def sliding_rate(spikes: DataFrame, keys: Sequence[str], width: int, step: int,
     A spike is counted where it is heard, at the at most width / step + 1 grid points around it: no order, no wide frame.
     """
     keys = list(keys)
+    span, heard = _heard(spikes, keys, width, step)
+    grid = span.select(*keys, "lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("k"))
+    return grid.join(heard, [*keys, "k"], "left").select(*keys, "k", (F.col("lo") + F.col("k") * step).alias("time"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) * float(per_second) / float(width)).alias("rate"))
+
+
+def _heard(spikes: DataFrame, keys: list[str], width: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """(*keys, lo, hi, last) of trains with a grid, ``last`` its last point, and (*keys, k, n) of the points at which spikes are heard."""
     half = width / 2
     rows = spikes.where("time IS NOT NULL").groupBy(*keys, "time").agg(F.count(F.lit(1)).alias("n"))
-    span = rows.groupBy(*keys).agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
-    last = F.ceil((F.col("hi") - F.col("lo")) / step) - 1
+    span = rows.groupBy(*keys).agg(F.min("time").alias("lo"), F.max("time").alias("hi")).where("hi > lo").withColumn("last", F.ceil((F.col("hi") - F.col("lo")) / step) - 1)
     rel = F.col("time") - F.col("lo")
-    a, b = F.greatest(F.ceil((rel - half) / step), F.lit(0)), F.least(F.floor((rel + half) / step), last)
-    heard = rows.join(span, keys).where("hi > lo").withColumn("a", a).withColumn("b", b).where("a <= b").select(*keys, "n", F.explode(F.sequence("a", "b")).alias("k")).groupBy(*keys, "k").agg(F.sum("n").alias("n"))
-    grid = span.where("hi > lo").select(*keys, "lo", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("k"))
-    return grid.join(heard, [*keys, "k"], "left").select(*keys, "k", (F.col("lo") + F.col("k") * step).alias("time"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) * float(per_second) / float(width)).alias("rate"))
+    a, b = F.greatest(F.ceil((rel - half) / step), F.lit(0)), F.least(F.floor((rel + half) / step), F.col("last"))
+    heard = rows.join(span, keys).withColumn("a", a).withColumn("b", b).where("a <= b").select(*keys, "n", F.explode(F.sequence("a", "b")).alias("k")).groupBy(*keys, "k").agg(F.sum("n").alias("n"))
+    return span, heard
+
+
+def sliding_rate_stats(spikes: DataFrame, keys: Sequence[str], width: int, step: int, per_second: float) -> DataFrame:
+    """``sliding_stats`` of ``sliding_rate`` over the whole grid, without laying out the points at which nothing is heard."""
+    keys = list(keys)
+    span, heard = _heard(spikes, keys, width, step)
+    found = heard.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("points"), F.min("n").alias("least"), F.max("n").alias("most"))
+    points = F.col("last") + 1
+    least = F.when(F.col("points") < points, F.lit(0)).otherwise(F.col("least"))
+    rate = lambda n: n * float(per_second) / float(width)
+    return span.join(found, keys).select(*keys, (F.col("n") * float(per_second) / (points * float(width))).alias("mean_rate"), rate(F.col("most")).alias("max_rate"), rate(least).alias("min_rate"))
 
 
 def sliding_stats(rates: DataFrame, keys: Sequence[str], width: int, per_second: float) -> DataFrame:
@@ -221,7 +237,7 @@ def classes(features: DataFrame) -> DataFrame:
     return features.withColumn("pattern_type", kind).withColumn("confidence", sure)
 
 
-def patterns(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: float, max_isi: int, min_spikes: int = 3, width: int = 300, window: int = 600_000, step: int = 300_000, rhythm: bool = True) -> DataFrame:
+def patterns(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: float, max_isi: int, min_spikes: int = 3, width: int = 300, window: int = 30_000, step: int = 3_000, rhythm: bool = True) -> DataFrame:
     """One row a train: interval, sliding-rate and burst statistics, dominant frequency, class and confidence, and ``error`` (null,
     or why there is no analysis: fewer than two spikes).
 
@@ -230,7 +246,7 @@ def patterns(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: fl
     keys = list(keys)
     stats = interval_stats(spikes, keys, row_id)
     span = spikes.where("time IS NOT NULL").groupBy(*keys).agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
-    rates = sliding_stats(sliding_rate(spikes, keys, window, step, per_second), keys, window, per_second).withColumnsRenamed({f"{c}_rate": f"{c}_sliding" for c in ("mean", "max", "min")})
+    rates = sliding_rate_stats(spikes, keys, window, step, per_second).withColumnsRenamed({f"{c}_rate": f"{c}_sliding" for c in ("mean", "max", "min")})
     found = burst_stats(spikes, keys, max_isi, min_spikes).drop("n_spikes")
     joined = stats.join(span, keys).join(rates, keys, "left").join(found, keys)
     joined = joined.join(dominant_frequencies(spikes, keys, width, per_second), keys, "left") if rhythm else joined.withColumn("dominant_frequency", F.lit(None).cast("double"))
@@ -239,7 +255,7 @@ def patterns(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: fl
     return out.withColumn("error", F.when(F.col("n_spikes") < 2, "Not enough spikes for analysis"))
 
 
-def pattern_records(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: float, max_isi: int, min_spikes: int = 3, window: int = 600_000, step: int = 300_000, **parameters) -> DataFrame:
+def pattern_records(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: float, max_isi: int, min_spikes: int = 3, window: int = 30_000, step: int = 3_000, **parameters) -> DataFrame:
     """``patterns`` with what they were found in, packed by train: isi (array), rates (array of time and rate) and bursts (array of
     start, end, count and indices), each in order of time and empty where there is none. Made for export, a record a train."""
     keys = list(keys)

@@ -13,7 +13,7 @@ from spindrift.plans.recording import SQL, TICKS_PER_SECOND, recording
 PER = TICKS_PER_SECOND
 TRAIN = ["recording_id", "unit"]
 MAX_ISI, MIN_SPIKES = PER // 100, 3
-WINDOW, STEP = 20 * PER, 10 * PER
+WINDOW, STEP = PER, PER // 10
 #: Ticks in a bin of rhythm and correlograms (10 ms), and lags looked at.
 BIN, LAGS = PER // 100, 100
 MAX_LAG = 20
@@ -54,8 +54,7 @@ def sliding_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sliding_rate_stats(spark: SparkSession, d: str) -> DataFrame:
-    rates = T.sliding_rate(_spikes(spark, d), TRAIN, WINDOW, STEP, PER)
-    return T.sliding_stats(rates, TRAIN, WINDOW, PER)
+    return T.sliding_rate_stats(_spikes(spark, d), TRAIN, WINDOW, STEP, PER)
 
 
 def autocorrelogram(spark: SparkSession, d: str) -> DataFrame:

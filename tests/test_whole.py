@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from oracle import compare
 
 from spindrift.plans import problems, q_activity, q_geometry, q_psth, q_trains
@@ -81,3 +82,17 @@ def test_classes_with_rhythm(spark, monkeypatch):
         assert {r.unit: r.pattern_type for r in query(spark, "").collect()} == want
     counts = {r.pattern_type: (r.n_trains, r.percent) for r in q_trains.pattern_class_counts(spark, "").collect()}
     assert counts == {c: (n, 20.0 * n) for c, n in Counter(want.values()).items()}
+
+
+def test_sliding_rates_of_a_second_by_tenths(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    trains = {1: np.sort(rng.integers(0, 900_000, 80)), 2: np.cumsum(rng.integers(1, 9_000, 150)), 3: np.array([7, 3_007]), 4: np.array([5, 5])}
+    df = spark.createDataFrame([(u * 1000 + i, 1, int(t), u, None) for u, ts in trains.items() for i, t in enumerate(ts)], "spike_id bigint, recording_id int, time bigint, unit int, electrode int")
+    monkeypatch.setattr(q_trains, "_spikes", lambda spark, d: df)
+    want = {u: [int(((g - 15_000 <= ts) & (ts <= g + 15_000)).sum()) for g in range(int(ts[0]), int(ts[-1]), 3_000)] for u, ts in trains.items()}
+    got = {}
+    for r in q_trains.sliding_rate(spark, "").orderBy("unit", "k").collect():
+        got.setdefault(r.unit, []).append(r.n)
+    assert got == {u: n for u, n in want.items() if n}
+    stats = {r.unit: (r.mean_rate, r.max_rate, r.min_rate) for r in q_trains.sliding_rate_stats(spark, "").collect()}
+    assert stats == {u: (pytest.approx(np.mean(n)), max(n), min(n)) for u, n in want.items() if n} and stats[1][2] == 0 < stats[2][2]
