@@ -237,7 +237,7 @@ def classes(features: DataFrame) -> DataFrame:
     return features.withColumn("pattern_type", kind).withColumn("confidence", sure)
 
 
-def patterns(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: float, max_isi: int, min_spikes: int = 3, width: int = 300, window: int = 30_000, step: int = 3_000, rhythm: bool = True) -> DataFrame:
+def patterns(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: float, max_isi: int, min_spikes: int = 3, width: int = 30, window: int = 30_000, step: int = 3_000, rhythm: bool = True) -> DataFrame:
     """One row a train: interval, sliding-rate and burst statistics, dominant frequency, class and confidence, and ``error`` (null,
     or why there is no analysis: fewer than two spikes).
 

@@ -14,9 +14,10 @@ PER = TICKS_PER_SECOND
 TRAIN = ["recording_id", "unit"]
 MAX_ISI, MIN_SPIKES = PER // 100, 3
 WINDOW, STEP = PER, PER // 10
-#: Ticks in a bin of rhythm and correlograms (10 ms), and lags looked at.
-BIN, LAGS = PER // 100, 100
-MAX_LAG = 20
+#: Ticks in a bin of rhythm and correlograms (1 ms), and lags looked at.
+BIN, LAGS = PER // 1000, 1000
+MAX_LAG = 100
+MAX_FREQUENCY = 100.0
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -81,7 +82,7 @@ def xcorr_peak(spark: SparkSession, d: str) -> DataFrame:
 
 
 def train_dominant_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return T.dominant_frequencies(_spikes(spark, d), TRAIN, BIN, PER, max_frequency=50.0)
+    return T.dominant_frequencies(_spikes(spark, d), TRAIN, BIN, PER, max_frequency=MAX_FREQUENCY)
 
 
 def pattern_features(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +98,7 @@ def pattern_analysis(spark: SparkSession, d: str) -> DataFrame:
 
 def train_spectrum(spark: SparkSession, d: str) -> DataFrame:
     """The spectrum of every train as arrays."""
-    return T.train_spectra(_spikes(spark, d), TRAIN, BIN, PER, max_frequency=50.0)
+    return T.train_spectra(_spikes(spark, d), TRAIN, BIN, PER, max_frequency=MAX_FREQUENCY)
 
 
 def pattern_records(spark: SparkSession, d: str) -> DataFrame:

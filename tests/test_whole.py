@@ -96,3 +96,26 @@ def test_sliding_rates_of_a_second_by_tenths(spark, monkeypatch):
     assert got == {u: n for u, n in want.items() if n}
     stats = {r.unit: (r.mean_rate, r.max_rate, r.min_rate) for r in q_trains.sliding_rate_stats(spark, "").collect()}
     assert stats == {u: (pytest.approx(np.mean(n)), max(n), min(n)) for u, n in want.items() if n} and stats[1][2] == 0 < stats[2][2]
+
+
+def test_fast_rhythms_and_lags_of_a_millisecond(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    fast = np.arange(4000) * 375  # 80 spikes a second
+    jitter = np.sort(rng.choice(fast[-1], 1000, False))
+    trains = {1: fast, 2: fast + 130, 3: jitter}
+    df = spark.createDataFrame([(u * 10_000 + i, 1, int(t), u, None) for u, ts in trains.items() for i, t in enumerate(ts)], "spike_id bigint, recording_id int, time bigint, unit int, electrode int")
+    monkeypatch.setattr(q_trains, "_spikes", lambda spark, d: df)
+    found = {r.unit: r.dominant_frequency for r in q_trains.train_dominant_frequency(spark, "").collect()}
+    assert found[1] == pytest.approx(80, abs=0.3)
+    spectrum = {r.unit: r for r in q_trains.train_spectrum(spark, "").collect()}[1]
+    assert 99 < max(spectrum.frequencies) <= 100 and spectrum.dominant_frequency == found[1]
+    lags = {r.lag: r.value for r in q_trains.autocorrelogram(spark, "").where("unit = 3").collect()}
+    at = np.unique((jitter - jitter[0]) // 30)
+    at = at[at < (jitter[-1] - jitter[0]) // 30]
+    assert lags == {k: pytest.approx(np.isin(at + k, at).sum() / len(at), abs=1e-6) for k in range(1000)}
+    assert {r.lag for r in q_trains.cross_correlogram(spark, "").collect()} == set(range(-100, 101))
+    lo, hi = fast[0] + 130, fast[-1]
+    x, y = ({int(t - lo) // 30 for t in trains[u] if lo <= t <= hi and (t - lo) // 30 < (hi - lo) // 30} for u in (1, 2))
+    counts = {lag: sum(b + lag in x for b in y) for lag in range(-100, 101)}
+    peak = q_trains.xcorr_peak(spark, "").first()
+    assert (peak.peak_lag, peak.peak_correlation) == (min(counts, key=lambda k: (-counts[k], k)), max(counts.values()))
