@@ -69,20 +69,24 @@ def p7_leak_report(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("suite", "source").agg(F.countDistinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_documents"), F.round(F.avg("part"), 4).alias("mean_part"))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(*(table(spark, d, name) for name in ("documents", "subject_areas", "doc_labels")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """The subjects each document is about."""
-    return subjects.subjects(table(spark, d, "documents")).select("doc_id", "subject").distinct()
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
 
 
 def p8_topic_terms(spark: SparkSession, d: str) -> DataFrame:
     """Top terms of the fitted topics and the subject each topic is mapped to."""
-    return subjects.topic_terms(table(spark, d, "documents"))
+    return subjects.topic_terms(*(table(spark, d, name) for name in ("documents", "subject_areas", "doc_labels")))
 
 
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     """Make-up of the corpus by subject: documents, their characters, and the mean share of their sentences."""
     sizes = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
-    per_subject = subjects.subjects(table(spark, d, "documents")).join(sizes, "doc_id").groupBy("subject")
+    per_subject = _subjects(spark, d).join(sizes, "doc_id").groupBy("subject")
     return per_subject.agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_chars"), F.round(F.avg("share"), 3).alias("mean_share"))
 
 

@@ -1,17 +1,22 @@
 """Subject areas of documents by latent Dirichlet topic models.
 
-A topic model is fitted to the whole corpus by distributed variational inference: tasks infer the topic proportions of their
-documents and the expected topic-word counts, whose sums (topics times vocabulary, nothing that grows with the corpus) make
-the next model. The topics of the first model lean towards terms inspected for each subject; after the fit each topic is
-mapped to the subject its top terms belong to, or to none. Of a document, every sentence is given the topic proportions of its
-words, and a subject is assigned where the sentences that are about it make up enough of all.
+A topic model is fitted to the whole corpus without being told of any subject. Its topics begin from anchor terms: terms that keep
+the same company are grouped by their co-occurrence profiles (random projections of the terms they share documents with, one
+pass over the corpus), and the terms nearest to the middle of a group lean towards its topic. Rounds of distributed
+variational inference follow: tasks infer the topic proportions of their documents and the expected topic-term counts, whose
+sums (topics times vocabulary, nothing that grows with the corpus) make the next model.
+
+What the top terms of a topic are about is looked up in data: the rows of the subject table and a bounded sample of documents
+with labels say how much more often a term comes with a subject than any does. A topic is mapped to the subject of its top
+terms, or to none. Of a document, every sentence is given the topic proportions of its words, and a subject is assigned where
+the sentences that are about it make up enough of all.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,89 +26,27 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.scale import written
 
-# Terms of each subject, found by inspecting the top terms of topics fitted to texts of the kind.
-TERMS = {
-    "spike_sorting": (
-        "spike sorter sorting cluster clusters snippet waveform whitening refractory autocorrelogram isolation contamination template merge merged putative "
-        "curated amplitude unit threshold re-clustered clustered relabelled bimodal bursting isolated detection curation autokorrelogramm refraktärzeit "
-        "rauschcluster isolationsgüte schablone einzelzelle isoliert autocorrelograma plantilla aislamiento espiga aislada reagrupada contaminada interspike "
-        "trough crossing multi principal component cloud space feature identity neighbouring flagged scored split silent truncated spiking contaminated badly "
-        "matched separate verletzung verworfen trennen verunreinigt zusammengeführt getrennt sortiert unidad dividida onda descartada inestable calidad "
-    ),
-    "stimulation": (
-        "stimulus whisker deflection tone cue puff texture wheel grating piezo onset sham catch licking evoked adaptation interval reward rewarded interleaved "
-        "withheld contralateral peri ramped deflected jittered tuning reizbeginn reizintervall abstimmkurve vibrissenreiz luftstoß piezopuls antwortlatenz "
-        "leerprobe gereizt adaptierend estímulo vibrisa soplo sintonía emparejado latencia ensayo pause visual direction selective preferred curve velocity "
-        "sensitive delivered suppressed through sustained blocks expected predictable presented slowly paired shortened offset air adapting latency "
-        "richtungsabhängig reizgekoppelt gepaart ausgelöst dargeboten schwach repetido azar presentado vacío aire adaptativo débil respuesta "
-    ),
-    "animal_care": (
-        "animal animals surgery anaesthesia anaesthetised isoflurane craniotomy implant wound vet veterinary analgesic antibiotic saline ointment grooming cage "
-        "recovery handling habituation habituated enrichment litter humane weight water restriction sutured underweight swollen healed narkosetiefe wundnaht "
-        "tierarztvisite aufwachkäfig körpergewicht weichfutter schmerzmittel kraniotomie untergewichtig anestesia craneotomía herida jaula suturada analgésico "
-        "peso corporal eye cap dental cement food soft dose injection chart visit examined tunnel mate breathing gas fluids pain treated shaved cleaned calm "
-        "holder alert eating swelling infection dehydrated wake endpoint implanted behaviour skull screw operative genäht verheilt betäubt gewogen munter "
-        "ausgetrocknet gehalten recuperación pesado curado anestesiado despierto deshidratado "
-    ),
-    "software": (
-        "software script code repository library import file files folder header csv parquet notebook pipeline commit merge branch pull build compiled "
-        "refactored cached memory leak scheduler queue config encoding parsing vectorised serialised deprecated programmbibliothek importskript "
-        "konfigurationsdatei dateikodierung speicherfehler zwischenspeicher komponententest hauptzweig zurückgerollt archivo archivos biblioteca código "
-        "importación rama compilado reproducible unitaria type conversion checksum request export backup flag virtual environment partition path conflict "
-        "undocumented logged rolled release tag thread safe idempotent retried nightly lazily job disk missing imported parsed plotting stack command loader "
-        "failing backward compatible coded pushed working directory dependent routine übersetzt umgeschrieben veraltet langsam reproduzierbar verdrahtet lento "
-        "fuga memoria obsoleto pruebas cubierto configuración reescrito "
-    ),
-    "hardware": (
-        "hardware probe amplifier headstage board cable cables connector ground grounding grounded wire impedance adapter plate supply power battery fan "
-        "shielding solder soldered plating gold camera grabber lens digitiser commutator hum mains micromanipulator vorverstärker steckverbindung siliziumsonde "
-        "netzbrummen lötstelle netzteil erdungskabel übersteuert preamplificador conector soldadura fuente alimentación sonda silicio saturado shank optical "
-        "electrode sync pack reading sampling clock temperature drifting clipped rail frequency sampled spare stock circuit shorted lowered unplugged rewired "
-        "calibrated mechanically plug loose megaohm bath infrared lamp motor silicon joint insertion bent stecker geerdet locker abgeschirmt hochohmig "
-        "ausgetauscht gelötet blindado tierra flojo mecánicamente sustituido soldado "
-    ),
-    "statistics": (
-        "statistics variance estimate effect size permutation regression slope covariate residual likelihood prior posterior bootstrap bootstrapped poisson "
-        "confidence hierarchical mixed model null distribution dispersion fitted underpowered overfitted outlier correlation matrix regressed varianzschätzung "
-        "permutationstest regressionssteigung konfidenzintervall nullverteilung effektgröße überangepasst kreuzvalidiert permutación regresión confianza "
-        "sobreajustado sesgado varianza calculation discovery false multiple comparison intercept random freedom degrees goodness assumption biased sided "
-        "tailed nested robust outliers chance consistent simulated estimated pooled transformed shuffled thousand validated significant independent heavy "
-        "normally distributed confounded mehrfachtests normalverteilt simuliert logarithmiert signifikant gemischte simulado efecto comparaciones múltiples "
-        "corregido mixto significativo validado cruzada "
-    ),
-    "anatomy": (
-        "anatomy histology cortex thalamic nucleus hippocampal fissure callosum colliculus zona incerta laminar septal striatal pia midline dye tracer stain "
-        "nissl soma axon antibody atlas slice sliced vibratome aldehyde confocal microscope tissue labelled stained schichtgrenze thalamuskern hirnrinde "
-        "hirnatlas farbstoffspur gewebeschnitt faserbündel hirnregion ungefärbt corteza tálamo núcleo tinción tejido corte barrel column coronal section "
-        "sections bundle ventral pathway dorsal white matter tract layer counted density target projected projection boundary wall track lesion fixed fixation "
-        "registered shrunk cleared outlined reconstructed imaged fluorescent dimensions micron densely superior reciprocally connected unstained visible "
-        "surface caudal border sparsely myelinated fixiert geschrumpft mittellinie markiert gefärbt färbung mikroskop gezählt geschnitten capa teñido marcado "
-        "fijado haz fibras microscopio "
-    ),
-    "administration": (
-        "administration permit permits ethics committee contract budget purchase order invoice grant licence compliance training liability clause consortium "
-        "agreement audit archived retention travel claim approval amendment overhead signature reimbursable confidential overdue rechnung ethikkommission "
-        "haushaltsposten aufbewahrungsfrist tierversuchsgenehmigung arbeitsvertrag bestellung fristgerecht contrato factura permiso presupuesto comité ética "
-        "pedido vencido procurement inspection oversight protection centre annual staff waste disposal letter submission formal grounds legal binding deadline "
-        "period tax exempt required law signed parties filed authority submitted refused extended valid revoked charged budgeted approved mandatory anew "
-        "quarter amended covered invoiced unterschrieben rechtlich bindend eingereicht überfällig vertraulich förderbericht bewilligt laboral pendiente firmado "
-    ),
-}
-#: Topics that lean to no subject at first: everyday and general wording, other matters, other languages.
-FREE_TOPICS = 8
 #: Terms in at least this part and at most that part of the documents make the vocabulary.
 LEAST_DF, MOST_DF = 0.001, 0.2
+#: Numbers of a term's profile; groups of terms sought in all, and once more in a group that holds this part of the terms (a
+#: language, as a rule); terms a group must have; anchor terms of a topic, and how much more weight they have at first.
+PROFILE, GROUPS, INNER, WIDE_GROUP, LEAST_GROUP, ANCHORS, LEAN = 64, 24, 20, 0.1, 4, 20, 5.0
+#: Topics that no group of terms begins: general wording.
+FREE_TOPICS = 4
 #: Rounds over the corpus, steps of inference in a document, and the priors of topics in documents and of terms in topics.
-ROUNDS, STEPS, ALPHA, ETA = 3, 5, 0.1, 0.02
-#: How much more weight a topic's own terms have in the first model.
-LEAN = 50.0
-#: Top terms a topic is mapped by, and the part of their weight that must belong to the subject.
-TOP, MAPPED = 30, 0.25
+ROUNDS, STEPS, ALPHA, ETA = 3, 3, 0.1, 0.02
+#: Labelled documents looked at, and what a row of the subject table and the prior count as, in documents.
+LABELLED, AREA_WEIGHT, PRIOR = 20_000, 3.0, 3.0
+#: Top terms a topic is mapped by; how near they must come to the subject, as a part of the nearest any topic comes; and how
+#: much nearer than to the next subject.
+TOP, MAPPED, CLEAR = 30, 0.15, 2.0
 #: A sentence has at least so many words; it is about the subject that has at least this weight of words in it, and at least half
 #: of what all subjects have. A subject needs this part of the sentences, and more than one where another subject has more.
-WORDS, SENTENCE, SHARE = 4, 1.0, 0.17
+WORDS, SENTENCE, SHARE = 4, 1.5, 0.17
 #: Tokens inferred at once: few enough that their arrays stay in the cache and are reused, which takes a tenth of the time.
-BATCH = 16_000
+BATCH = 8_000
+#: Terms whose sums travel in one row, and partial sums a block of terms is added up from in the first of two steps.
+BLOCK, SALTS = 64, 32
 
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&#?[A-Za-z0-9]{1,8};")
 _TOKEN = re.compile(r"[^\W\d_]{3,}|[.!?]+(?=\s|$)|\n")
@@ -143,6 +86,7 @@ class Model:
 
     vocabulary: np.ndarray
     weights: np.ndarray
+    subjects: list[str]
     subject_of: np.ndarray  # topic -> index in subjects, -1 for none
 
 
@@ -162,58 +106,115 @@ def expected(counts: np.ndarray) -> np.ndarray:
     return np.exp(_digamma(counts) - _digamma(counts.sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def infer(weights: np.ndarray, terms: np.ndarray, starts: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """(topic weight of each token, topic counts of each document) for tokens (vocabulary indices) of documents that begin at
-    ``starts`` (none empty)."""
+def infer(weights: np.ndarray, terms: np.ndarray, counts: np.ndarray, starts: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """(topic weight of each term of a document, as often as it occurs, topic counts of each document) for the distinct terms
+    (vocabulary indices, with counts) of documents that begin at ``starts`` (none empty)."""
     b = np.ascontiguousarray(weights.T)[terms]
     lengths = np.diff(np.append(starts, len(terms)))
     gamma = np.full((len(starts), weights.shape[0]), 1.0, np.float32)
     phi = b
+    counts = counts.astype(np.float32)
     ones = np.ones(weights.shape[0], np.float32)
     for _ in range(steps):
         theta = np.exp(_digamma(gamma + ALPHA)).astype(np.float32)
         phi = np.repeat(theta, lengths, axis=0)
         phi *= b
-        phi *= (1 / (phi @ ones + 1e-30))[:, None]
+        phi *= (counts / (phi @ ones + 1e-30))[:, None]
         gamma = np.add.reduceat(phi, starts, axis=0)
     return phi, gamma
 
 
-def first_counts(vocabulary: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Topic-term counts to begin with: the terms' frequencies, a subject's own terms ``LEAN`` times as heavy in its topic and
-    hardly there in others; free topics differ by a fixed pseudo-random factor."""
-    subjects = list(TERMS)
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+
+
+def cluster(rows: np.ndarray, weight: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """The group of each unit row, by cosine: the heaviest row and then always the one heaviest and farthest from all so far begin
+    a group each; groups move to the weighted mean of what is nearest to them."""
+    k = min(k, len(rows))
+    first = [int(np.argmax(weight))]
+    far = 1 - rows @ rows[first[0]]
+    while len(first) < k:
+        first.append(int(np.argmax(far * weight)))
+        far = np.minimum(far, 1 - rows @ rows[first[-1]])
+    middle = rows[first].copy()
+    for _ in range(rounds):
+        near = np.argmax(rows @ middle.T, axis=1)
+        sums = np.zeros_like(middle)
+        np.add.at(sums, near, rows * weight[:, None])
+        held = np.linalg.norm(sums, axis=1) > 0
+        middle[held] = _unit(sums[held])
+    return np.argmax(rows @ middle.T, axis=1)
+
+
+def anchors(profiles: np.ndarray, company: np.ndarray) -> list[np.ndarray]:
+    """The anchor terms of each group of terms, from their profiles and the number of terms these were averaged over.
+
+    Groups that are wide, such as the words of a language, are divided once more by what sets their terms apart from each other.
+    """
+    noise = np.sqrt(profiles.shape[1] / np.maximum(company, 1.0))
+    weight = np.maximum(company, 1e-9)
+    general = np.average(profiles, axis=0, weights=weight)
+
+    def strength(at: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        return np.log1p(np.linalg.norm(profiles[at] - middle, axis=1) / noise[at])
+
+    def divide(at: np.ndarray, k: int, again: bool) -> list[np.ndarray]:
+        middle = np.average(profiles[at], axis=0, weights=weight[at])
+        group = cluster(_unit(profiles[at] - middle), strength(at, middle), k)
+        out = []
+        for g in range(k):
+            mine = at[group == g]
+            if again and len(mine) >= WIDE_GROUP * len(profiles):
+                out += divide(mine, INNER, False)
+            elif len(mine) >= LEAST_GROUP:
+                out.append(mine)
+        return out
+
+    out = []
+    for mine in divide(np.arange(len(profiles)), GROUPS, True) if len(profiles) else []:
+        middle = np.average(profiles[mine], axis=0, weights=weight[mine])
+        near = _unit(profiles[mine] - general) @ _unit((middle - general)[None])[0]
+        out.append(mine[np.argsort(-near * strength(mine, general), kind="stable")][:ANCHORS])
+    return out
+
+
+def first_counts(df: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
+    """Topic-term counts to begin with: the terms' frequencies, a group's anchors ``LEAN`` times as heavy in its topic and hardly
+    there in others; free topics differ by a fixed pseudo-random factor."""
     base = df / df.sum() * len(df)
     rng = np.random.default_rng(7)
-    counts = np.tile(base, (len(subjects) + FREE_TOPICS, 1))
-    counts[len(subjects) :] *= rng.uniform(0.5, 1.5, (FREE_TOPICS, len(df)))
-    counts[: len(subjects)] *= 0.2
-    for s, terms in enumerate(TERMS.values()):
-        at = np.flatnonzero(np.isin(vocabulary, [term_id(t) for t in terms.split()]))
+    counts = np.tile(base, (len(groups) + FREE_TOPICS, 1))
+    counts[len(groups) :] *= rng.uniform(0.5, 1.5, (FREE_TOPICS, len(df)))
+    counts[: len(groups)] *= 0.2
+    for k, at in enumerate(groups):
         counts[:, at] *= 0.05
-        counts[s, at] = np.maximum(base[at], 1.0) * LEAN
+        counts[k, at] = np.maximum(base[at], 1.0) * LEAN
     return counts + ETA
 
 
-def map_topics(vocabulary: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The subject each topic's top terms belong to, by the part of their weight that inspected terms have; -1 for none."""
-    owner = {}
-    for s, terms in enumerate(TERMS.values()):
-        for t in terms.split():
-            owner.setdefault(term_id(t), s)
-    # how much more frequent a term is in the topic than overall
+def top_terms(counts: np.ndarray, n: int = TOP) -> tuple[np.ndarray, np.ndarray]:
+    """(vocabulary index, weight) of the ``n`` top terms of each topic: how often a term is in the topic, times how much more often
+    than in all topics (logarithm)."""
     share = counts / counts.sum(axis=1, keepdims=True)
-    overall = counts.sum(axis=0) / counts.sum()
+    score = share * np.log(share / (counts.sum(axis=0) / counts.sum()))
+    order = np.argsort(-score, axis=1, kind="stable")[:, :n]
+    return order, np.take_along_axis(score, order, axis=1)
+
+
+def map_topics(counts: np.ndarray, nearness: np.ndarray) -> np.ndarray:
+    """The subject each topic's top terms are nearest to (terms x subjects); -1 where they are near to none, or to several."""
     out = np.full(len(counts), -1)
-    for k in range(len(counts)):
-        score = share[k] * np.log(share[k] / overall)
-        top = np.argsort(-score)[:TOP]
-        weight = np.zeros(len(TERMS))
-        for i in top:
-            if (s := owner.get(int(vocabulary[i]))) is not None:
-                weight[s] += score[i]
-        if weight.max() >= MAPPED * score[top].sum() > 0:
-            out[k] = weight.argmax()
+    if not nearness.size:
+        return out
+    order, weight = top_terms(counts)
+    weight = np.maximum(weight, 0)
+    near = np.einsum("kt,kts->ks", weight, nearness[order]) / np.maximum(weight.sum(axis=1), 1e-30)[:, None]
+    best = near.argmax(axis=1)
+    most = near.max(axis=1)
+    rest = np.sort(near, axis=1)[:, -2] if near.shape[1] > 1 else np.zeros(len(near))
+    clear = (most > 0) & (most >= MAPPED * near.max()) & (most >= CLEAR * rest)
+    out[clear] = best[clear]
     return out
 
 
@@ -283,7 +284,7 @@ class Lookup:
 
 
 def _chunks(doc: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of about ``BATCH`` tokens that hold whole documents."""
+    """Ranges of about ``BATCH`` numbers that hold whole documents."""
     ends = np.append(np.flatnonzero(np.diff(doc)) + 1, len(doc)) if len(doc) else np.empty(0, np.int64)
     begin = 0
     while begin < len(doc):
@@ -292,65 +293,183 @@ def _chunks(doc: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def _counts(vocabulary: np.ndarray, weights: np.ndarray):
-    """Each task's expected topic-term counts, one row a topic."""
+def _distinct(doc: np.ndarray, at: np.ndarray, inverse: bool = False) -> tuple[np.ndarray, ...]:
+    """(document, term, count of the pair) in order, and, if asked for, the pair of each token."""
+    pairs = doc.astype(np.int64) << 32 | at
+    if inverse:
+        found, which, n = np.unique(pairs, return_inverse=True, return_counts=True)
+        return found >> 32, found & 0xFFFFFFFF, n, which
+    found, n = np.unique(pairs, return_counts=True)
+    return found >> 32, found & 0xFFFFFFFF, n
+
+
+BAGS = "doc_id bigint, terms array<int>, counts array<int>"
+
+
+def bags(rows: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(doc_id, terms, counts): the distinct vocabulary terms of each document that has any, as vocabulary indices, and how often
+    they occur. A document has at most the vocabulary's length of them, whatever its own."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(weights.shape, np.float64)
         lookup = Lookup(vocabulary)
         for batch in batches:
             ids, doc = _flat(batch)
             at, there = lookup(ids)
             at, doc = at[there], doc[there]
             for a, b in _chunks(doc):
-                phi, _ = infer(weights, at[a:b], np.flatnonzero(np.diff(doc[a:b], prepend=-1)))
-                order = np.argsort(at[a:b], kind="stable")
-                terms = at[a:b][order]
-                first = np.flatnonzero(np.diff(terms, prepend=-1))
-                total[:, terms[first]] += np.add.reduceat(phi[order], first, axis=0).T
-        yield _topic_rows(dict(enumerate(total)))
+                d, terms, n = _distinct(doc[a:b], at[a:b])
+                first = np.flatnonzero(np.diff(d, prepend=-1))
+                offsets = pa.array(np.append(first, len(d)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (terms, n)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d[first])), *lists], names=["doc_id", "terms", "counts"])
 
-    return task
+    return rows.mapInArrow(task, BAGS)
 
 
-def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for topic, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            values = row.values.to_numpy()
-            total[topic] = total[topic] + values if topic in total else values
-    yield _topic_rows(total)
+def _flat_bags(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, counts, document of each) of a batch of bags."""
+    lists = batch.column("terms"), batch.column("counts")
+    offsets = lists[0].offsets.to_numpy()
+    terms, counts = (x.values.to_numpy()[x.offsets.to_numpy()[0] : x.offsets.to_numpy()[-1]] for x in lists)
+    return terms, counts, np.repeat(np.arange(batch.num_rows), np.diff(offsets))
 
 
-def _topic_rows(rows: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array(list(rows.values()), pa.list_(pa.float64()))], names=["topic", "counts"])
+def _sum_over(rows: DataFrame, n_terms: int, width: int, add: Callable[[np.ndarray, pa.RecordBatch], None]) -> np.ndarray:
+    """The sum over all tasks of what ``add`` puts into a (n_terms, width) matrix for each batch.
 
+    Rows of ``BLOCK`` terms travel; they are added up in two steps, so that no task reads a row of every other task.
+    """
+    kind = "block int, values array<double>"
+
+    def rows_of(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.reshape(-1) for v in total.values()], pa.list_(pa.float64()))], names=["block", "values"])
 
-def fit(rows: DataFrame) -> tuple[Model, np.ndarray, int]:
-    """The model of token rows, its topic-term counts, and the number of documents.
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_terms, width))
+        for batch in batches:
+            if batch.num_rows:
+                add(total, batch)
+        blocks = {i // BLOCK: total[i : i + BLOCK] for i in range(0, n_terms, BLOCK)}
+        yield rows_of({b: v for b, v in blocks.items() if v.any()})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                numbers = values.values.to_numpy()
+                total[block] = total[block] + numbers if block in total else numbers
+        yield rows_of(total)
+
+    parts = rows.mapInArrow(task, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    some = parts.repartition("block", "salt").select("block", "values").mapInArrow(merge, kind)
+    out = np.zeros((n_terms, width))
+    for r in some.repartition("block").mapInArrow(merge, kind).collect():  # vocabulary x width numbers
+        values = np.array(r["values"]).reshape(-1, width)
+        out[r.block * BLOCK : r.block * BLOCK + len(values)] += values
+    return out
+
+
+def _by_term(terms: np.ndarray, values: np.ndarray, total: np.ndarray) -> None:
+    """Adds rows of ``values`` to the rows of ``total`` that ``terms`` name."""
+    order = np.argsort(terms, kind="stable")
+    first = np.flatnonzero(np.diff(terms[order], prepend=-1))
+    total[terms[order][first]] += np.add.reduceat(values[order], first, axis=0)
+
+
+def term_profiles(bag_rows: DataFrame, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(profile of each term, number of terms it was averaged over): the mean of fixed pseudo-random signs of the terms a term shares
+    a document with, which keeps the angles between the terms' rows of co-occurrences."""
+    signs = np.random.default_rng(1).choice(np.array([-1, 1], np.float32), (n_terms, PROFILE))
+
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        terms, _, doc = _flat_bags(batch)
+        for a, b in _chunks(doc):
+            first = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
+            n = np.diff(np.append(first, b - a))
+            mine = signs[terms[a:b]]
+            others = np.repeat(np.add.reduceat(mine, first, axis=0), n, axis=0) - mine
+            _by_term(terms[a:b], np.column_stack([others, np.repeat(n - 1, n)]), total)
+
+    total = _sum_over(bag_rows, n_terms, PROFILE + 1, add)
+    return total[:, :-1] / np.maximum(total[:, -1:], 1), total[:, -1]
+
+
+def _round(bag_rows: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """Topic-term counts after a round of inference over all documents."""
+    weights = expected(counts)
+
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        terms, n, doc = _flat_bags(batch)
+        for a, b in _chunks(doc):
+            phi, _ = infer(weights, terms[a:b], n[a:b], np.flatnonzero(np.diff(doc[a:b], prepend=-1)))
+            _by_term(terms[a:b], phi, total)
+
+    return _sum_over(bag_rows, counts.shape[1], len(counts), add).T + ETA
+
+
+def nearness(bag_rows: DataFrame, vocabulary: np.ndarray, areas: list[tuple[str, str]], labels: DataFrame | None) -> np.ndarray:
+    """How much more likely a subject is with a term than without knowing any (terms x subjects; 1 at most, 0 for a term that says
+    nothing): from ``areas`` (subject, text), each counting as ``AREA_WEIGHT`` documents, and ``LABELLED`` labelled documents at
+    most, those whose ids have the smallest hashes. A document of several subjects counts as a part of one for each."""
+    names = [s for s, _ in areas]
+    found = np.zeros((len(vocabulary), len(names) + 1))
+    total = np.zeros(len(names))
+    if labels is not None:
+        wanted = labels.where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+        sample = F.broadcast(wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))
+        number = {s: i for i, s in enumerate(names)}
+
+        def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+            terms, _, doc = _flat_bags(batch)
+            held = np.zeros((batch.num_rows, len(names) + 1))
+            for i, mine in enumerate(batch.column("subjects").to_pylist()):
+                held[i, [number[s] for s in mine]] = 1 / len(mine)
+            held[:, -1] = 1
+            _by_term(terms, held[doc], total)
+
+        found = _sum_over(bag_rows.join(sample, "doc_id"), len(vocabulary), len(names) + 1, add)
+        for r in wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).select(F.explode("subjects").alias("s"), F.size("subjects").alias("n")).groupBy("s").agg(F.sum(1 / F.col("n")).alias("n")).collect():
+            total[number[r.s]] = r.n
+    tokenise = Tokeniser()
+    place = {int(t): i for i, t in enumerate(vocabulary)}
+    for s, (_, text) in enumerate(areas):
+        mine = [place[t] for t in set(tokenise(text).tolist()) if t in place]
+        found[mine, s] += AREA_WEIGHT
+        found[mine, -1] += AREA_WEIGHT
+        total[s] += AREA_WEIGHT
+    overall = total / total.sum()
+    likely = (found[:, :-1] + PRIOR * overall) / (found[:, -1:] + PRIOR)
+    return (likely - overall) / np.maximum(1 - overall, 1e-9)
+
+
+def fit(rows: DataFrame, areas: DataFrame, labels: DataFrame | None = None, rounds: int = ROUNDS) -> tuple[Model, np.ndarray]:
+    """The model of token rows and its topic-term counts.
 
     The driver holds topics x vocabulary numbers; the vocabulary is bounded by the mean number of different words in a
-    document over ``LEAST_DF``. Rows should be written before, as every round reads them.
+    document over ``LEAST_DF``. Rows should be written before, as they are read again to assign subjects.
     """
     n = rows.count()
     frequent = document_frequencies(rows).where((F.col("n") >= max(3, LEAST_DF * n)) & (F.col("n") <= max(MOST_DF * n, 3))).orderBy("id").collect()
     vocabulary, df = np.array([r.id for r in frequent], np.int32), np.array([r.n for r in frequent], np.float64)
-    if not len(vocabulary):
-        empty = np.zeros((len(TERMS) + FREE_TOPICS, 0))
-        return Model(vocabulary, empty, np.full(len(empty), -1)), empty, n
-    counts = first_counts(vocabulary, df)
-    for _ in range(ROUNDS):
-        parts = rows.mapInArrow(_counts(vocabulary, expected(counts)), "topic int, counts array<double>")
-        new = np.full(counts.shape, ETA)
-        for r in parts.repartition(len(counts), "topic").mapInArrow(_add_counts, "topic int, counts array<double>").collect():
-            new[r.topic] += np.array(r.counts)
-        counts = new
-    return Model(vocabulary, expected(counts), map_topics(vocabulary, counts)), counts, n
+    text = F.concat_ws(" ", F.translate("subject", "_", " "), "title", "description")
+    known = [(r.subject, r.text) for r in areas.where("subject IS NOT NULL").select("subject", text.alias("text")).dropDuplicates(["subject"]).orderBy("subject").collect()]
+    names = [s for s, _ in known]
+    if not len(vocabulary) or not names:
+        empty = np.zeros((FREE_TOPICS, 0))
+        return Model(vocabulary[:0], empty, names, np.full(len(empty), -1)), empty
+    bag_rows = written(bags(rows, vocabulary), "subject-bags")
+    counts = first_counts(df, anchors(*term_profiles(bag_rows, len(vocabulary))))
+    for _ in range(rounds):
+        counts = _round(bag_rows, counts)
+    return Model(vocabulary, expected(counts), names, map_topics(counts, nearness(bag_rows, vocabulary, known, labels))), counts
 
 
 def assign(rows: DataFrame, model: Model) -> DataFrame:
     """(doc_id, subject, n_about, n_sentences, share): the subjects of each document."""
-    names = np.array(list(TERMS), dtype=object)
+    names = np.array(model.subjects, dtype=object)
+    owner_of = np.zeros((len(model.subject_of), len(names)), np.float32)
+    mapped = np.flatnonzero(model.subject_of >= 0)
+    owner_of[mapped, model.subject_of[mapped]] = 1
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(model.vocabulary)
@@ -364,17 +483,15 @@ def assign(rows: DataFrame, model: Model) -> DataFrame:
         words = np.bincount(sentence[ids != BREAK], minlength=n)
         owner = np.zeros(n, np.int64)
         owner[sentence] = doc
-        at, there = lookup(ids) if len(model.vocabulary) else (ids, np.zeros(len(ids), bool))
+        at, there = lookup(ids)
         at, inside, doc = at[there], sentence[there], doc[there]
-        weight = np.zeros((n, len(names) + 1))
+        weight = np.zeros((n, len(names)))
         for a, b in _chunks(doc):
-            phi, _ = infer(model.weights, at[a:b], np.flatnonzero(np.diff(doc[a:b], prepend=-1)))
-            by = np.zeros((b - a, len(names) + 1), np.float32)
-            for k, s in enumerate(model.subject_of):
-                by[:, s] += phi[:, k]
+            d, terms, count, which = _distinct(doc[a:b], at[a:b], inverse=True)
+            phi, _ = infer(model.weights, terms, count, np.flatnonzero(np.diff(d, prepend=-1)))
+            by = (phi @ owner_of / count[:, None])[which]
             first = np.flatnonzero(np.diff(inside[a:b], prepend=-1))
             weight[inside[a:b][first]] = np.add.reduceat(by, first, axis=0)
-        weight = weight[:, :-1]
         full = words >= WORDS
         most = weight.max(axis=1) if n else np.empty(0)
         about = full & (most >= SENTENCE) & (most >= 0.5 * weight.sum(axis=1))
@@ -388,28 +505,35 @@ def assign(rows: DataFrame, model: Model) -> DataFrame:
             names=["doc_id", "subject", "n_about", "n_sentences", "share"],
         )
 
-    return rows.mapInArrow(task, "doc_id bigint, subject string, n_about bigint, n_sentences bigint, share double")
+    if not len(model.vocabulary) or not len(names):
+        return rows.sparkSession.createDataFrame([], ASSIGNED)
+    return rows.mapInArrow(task, ASSIGNED)
 
 
-def subjects(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, subject, n_about, n_sentences, share): fits the model to the documents and assigns their subjects.
+ASSIGNED = "doc_id bigint, subject string, n_about bigint, n_sentences bigint, share double"
+
+
+def subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, subject, n_about, n_sentences, share): fits the model to the documents and assigns subjects of ``areas`` (subject, title,
+    description). ``labels`` (doc_id, subject), if there are any, help to tell what topics are about; no document is assigned
+    by its own label.
 
     * Null and empty texts, texts without a sentence of ``WORDS`` words, and documents off all subjects get no row.
     * Repeated documents count as often as they occur; equal rows may come out more than once. Null ids are left out.
-    * No documents, or none with a vocabulary, give no rows. Other columns are ignored.
+    * No documents, none with a vocabulary, or no areas give no rows. Labels of other subjects or documents tell nothing. Other
+      columns are ignored.
     """
     rows = written(tokens(documents, doc_id, text), "subject-tokens")
-    return assign(rows, fit(rows)[0])
+    return assign(rows, fit(rows, areas, labels)[0])
 
 
-def topic_terms(documents: DataFrame, top: int = TOP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def topic_terms(documents: DataFrame, areas: DataFrame, labels: DataFrame | None = None, top: int = TOP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(topic, subject, rank, term, weight): the top terms of each fitted topic and the subject it is mapped to (null: none)."""
     spark = documents.sparkSession
     rows = written(tokens(documents, doc_id, text), "subject-tokens")
-    model, counts, _ = fit(rows)
-    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-30)
-    wanted = {k: np.argsort(-share[k] * np.log((share[k] + 1e-30) / (counts.sum(axis=0) / counts.sum())), kind="stable")[:top] for k in range(len(counts))} if counts.size else {}
-    numbers = {int(model.vocabulary[i]) for at in wanted.values() for i in at}
+    model, counts = fit(rows, areas, labels)
+    order = top_terms(counts, top)[0] if counts.size else np.empty((0, 0), np.int64)
+    numbers = {int(i) for i in model.vocabulary[np.unique(order)]} if order.size else set()
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenise = Tokeniser()
@@ -424,6 +548,7 @@ def topic_terms(documents: DataFrame, top: int = TOP, doc_id: str = "doc_id", te
     spelled: dict[int, str] = {}
     for r in texts.mapInArrow(spell, "term string").distinct().collect():  # at most topics x top terms, and what collides with them
         spelled[term_id(r.term)] = min(r.term, spelled.get(term_id(r.term), r.term))
-    names = list(TERMS)
-    out = [(k, names[model.subject_of[k]] if model.subject_of[k] >= 0 else None, i + 1, spelled.get(int(model.vocabulary[w])), float(share[k, w])) for k, at in wanted.items() for i, w in enumerate(at)]
+    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-30)
+    name = lambda k: model.subjects[model.subject_of[k]] if model.subject_of[k] >= 0 else None
+    out = [(k, name(k), i + 1, spelled.get(int(model.vocabulary[w])), float(share[k, w])) for k, at in enumerate(order) for i, w in enumerate(at)]
     return spark.createDataFrame(out, "topic int, subject string, rank int, term string, weight double")
