@@ -106,7 +106,9 @@ def test_sums_over_tasks(spark, monkeypatch):
     assert S._sum_over(spark.range(0), 10, 2, add).tolist() == [[0, 0]] * 10
 
 
-def test_groups_of_terms():
+def test_groups_of_terms(monkeypatch):
+    monkeypatch.setattr(S, "GROUPS", 6)
+    monkeypatch.setattr(S, "WIDE_GROUP", 0.3)
     rng = np.random.default_rng(3)
     middles = rng.choice([-1.0, 1.0], (6, S.PROFILE))
     profiles = np.repeat(middles, 20, axis=0) + rng.normal(0, 0.2, (120, S.PROFILE))
