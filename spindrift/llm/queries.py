@@ -30,18 +30,48 @@ def p2_unit_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(table(spark, d, "spikes_time_adjusted"), UNIT, "time", qs)
 
 
+def _merged_by_day(spark: SparkSession, d: str, qs: dict[str, float]) -> DataFrame:
+    # a row that doesn't say when it was loaded belongs to a day of its own
+    day = F.coalesce(F.to_date("loaded_at").cast("string"), F.lit("none"))
+    daily = table(spark, d, "spikes_time_adjusted").select(*UNIT, day.alias("day"), "time")
+    summaries = quantiles.merge(quantiles.summarise(daily, [*UNIT, "day"], "time"), [*UNIT, "day"])
+    return quantiles.read_percentiles(quantiles.merge(summaries, UNIT), UNIT, qs)
+
+
 def p2_merged_by_day(spark: SparkSession, d: str) -> DataFrame:
     """The same medians from summaries made day by day and put together afterwards, with the rank error that can be proved."""
-    daily = table(spark, d, "spikes_time_adjusted").select(*UNIT, F.to_date("loaded_at").alias("day"), "time")
-    summaries = quantiles.merge(quantiles.summarise(daily, [*UNIT, "day"], "time"), [*UNIT, "day"])
-    return quantiles.read_percentiles(quantiles.merge(summaries, UNIT), UNIT, {"p50": 0.5})
+    return _merged_by_day(spark, d, {"p50": 0.5})
 
 
 def p2_unit_percentiles_overall(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of a unit over all recordings: the largest groups, where buffers do collapse."""
+    """Percentiles of a unit over all recordings: the largest groups."""
     return quantiles.percentiles(table(spark, d, "spikes_time_adjusted"), ["unit"], "time", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
 
 
+def p2_rate_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of the firing rates of each electrode, which are fractions."""
+    return quantiles.percentiles(table(spark, d, "electrode_firing_rates"), ["electrode"], "firing_rate", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+
+
+def p2_rank_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """For every group of the queries above, whether its percentiles lie within the rank error proved for them, and that within
+    1 % of the group's rows; by counting all rows below and up to each."""
+    spikes = table(spark, d, "spikes_time_adjusted")
+    qs = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    rates = table(spark, d, "electrode_firing_rates").withColumn("electrode", F.col("electrode").cast("int"))
+    checked = [
+        ("unit in recording", UNIT, quantiles.rank_bounds(spikes, quantiles.percentiles(spikes, UNIT, "time", qs), UNIT, "time", qs)),
+        ("merged by day", UNIT, quantiles.rank_bounds(spikes, _merged_by_day(spark, d, qs), UNIT, "time", qs)),
+        ("unit", ["unit"], quantiles.rank_bounds(spikes, quantiles.percentiles(spikes, ["unit"], "time", qs), ["unit"], "time", qs)),
+        ("rate of electrode", ["electrode"], quantiles.rank_bounds(rates, quantiles.percentiles(rates, ["electrode"], "firing_rate", qs), ["electrode"], "firing_rate", qs)),
+    ]
+    out = None
+    for kind, keys, rows in checked:
+        part = rows.select(F.lit(kind).alias("kind"), F.concat_ws(" ", *(F.col(k).cast("string") for k in keys)).alias("key"), "n", "q", (F.col("off") <= F.col("rank_error")).alias("within"), (F.col("rank_error") * 100 <= F.col("n")).alias("close"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     """Every document with tokens in a container of 1,024."""
     return packing.pack_documents(table(spark, d, "documents"))
@@ -90,7 +120,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return per_subject.agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_chars"), F.round(F.avg("share"), 3).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unit_percentiles, p2_merged_by_day, p2_unit_percentiles_overall, p6_pack, p6_summary, p7_found, p7_leak_report, p8_found, p8_topic_terms, p8_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unit_percentiles, p2_merged_by_day, p2_unit_percentiles_overall, p2_rate_percentiles, p2_rank_bounds, p6_pack, p6_summary, p7_found, p7_leak_report, p8_found, p8_topic_terms, p8_composition)}
 
 _RANKED = """
 WITH r AS (SELECT recording_id, unit, time, row_number() OVER (PARTITION BY recording_id, unit ORDER BY time) AS k, count(*) OVER (PARTITION BY recording_id, unit) AS n
@@ -101,6 +131,13 @@ _AT = "max(CASE WHEN k = greatest(1, CAST(ceil({q} * n - 1e-9) AS BIGINT)) THEN
 ORACLES = {
     "p2_found": _RANKED + f""", p AS (SELECT recording_id, unit, max(n) AS n, {_AT.format(q=0.05)} AS p05, {_AT.format(q=0.95)} AS p95 FROM r GROUP BY recording_id, unit)
 SELECT recording_id, unit FROM p JOIN recordings USING (recording_id) WHERE spikes_time_unit = 'ticks' AND n >= 60 AND (p95 < duration_s * 15000 OR p05 > duration_s * 15000)""",
-    "p2_unit_percentiles": _RANKED + "SELECT recording_id, unit, max(n) AS n, CAST(0 AS BIGINT) AS rank_error, " + ", ".join(f"{_AT.format(q=q)} AS p{round(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM r GROUP BY recording_id, unit",
-    "p2_merged_by_day": _RANKED + f"SELECT recording_id, unit, max(n) AS n, CAST(0 AS BIGINT) AS rank_error, {_AT.format(q=0.5)} AS p50 FROM r GROUP BY recording_id, unit",
+    "p2_rank_bounds": """
+WITH g AS (SELECT 'unit in recording' AS kind, concat_ws(' ', recording_id, unit) AS key, count(*) AS n FROM spikes_time_adjusted WHERE recording_id IS NOT NULL AND unit IS NOT NULL AND time IS NOT NULL GROUP BY recording_id, unit
+  UNION ALL SELECT 'merged by day', concat_ws(' ', recording_id, unit), count(*) FROM spikes_time_adjusted WHERE recording_id IS NOT NULL AND unit IS NOT NULL AND time IS NOT NULL GROUP BY recording_id, unit
+  UNION ALL SELECT 'unit', CAST(unit AS VARCHAR), count(*) FROM spikes_time_adjusted WHERE unit IS NOT NULL AND time IS NOT NULL GROUP BY unit
+  UNION ALL SELECT 'rate of electrode', CAST(CAST(electrode AS INT) AS VARCHAR), count(*) FROM electrode_firing_rates WHERE electrode IS NOT NULL AND firing_rate IS NOT NULL GROUP BY electrode)
+SELECT kind, key, n, CAST(q AS DOUBLE) AS q, true AS within, true AS close FROM g, (VALUES (0.05), (0.5), (0.95)) AS v(q)""",
+    "p2_rate_percentiles": """
+WITH r AS (SELECT electrode, firing_rate, row_number() OVER (PARTITION BY electrode ORDER BY firing_rate) AS k, count(*) OVER (PARTITION BY electrode) AS n FROM electrode_firing_rates WHERE electrode IS NOT NULL AND firing_rate IS NOT NULL)
+SELECT electrode, max(n) AS n, CAST(0 AS BIGINT) AS rank_error, """ + ", ".join(f"max(CASE WHEN k = greatest(1, CAST(ceil({q} * n - 1e-9) AS BIGINT)) THEN firing_rate END) AS p{round(q * 100)}" for q in (0.25, 0.5, 0.75)) + " FROM r GROUP BY electrode",
 }

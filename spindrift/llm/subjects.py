@@ -152,6 +152,8 @@ def anchors(profiles: np.ndarray, company: np.ndarray) -> list[np.ndarray]:
 
     Groups that are wide, such as the words of a language, are divided once more by what sets their terms apart from each other.
     """
+    if not len(profiles):
+        return []
     noise = np.sqrt(profiles.shape[1] / np.maximum(company, 1.0))
     weight = np.maximum(company, 1e-9)
     general = np.average(profiles, axis=0, weights=weight)
@@ -172,7 +174,7 @@ def anchors(profiles: np.ndarray, company: np.ndarray) -> list[np.ndarray]:
         return out
 
     out = []
-    for mine in divide(np.arange(len(profiles)), GROUPS, True) if len(profiles) else []:
+    for mine in divide(np.arange(len(profiles)), GROUPS, True):
         middle = np.average(profiles[mine], axis=0, weights=weight[mine])
         near = _unit(profiles[mine] - general) @ _unit((middle - general)[None])[0]
         out.append(mine[np.argsort(-near * strength(mine, general), kind="stable")][:ANCHORS])
