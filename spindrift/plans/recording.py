@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrift.functions.scale import bounded_broadcast, written
+from spindrift.functions.scale import bounded_broadcast, state_of, written
 from spindrift.operators.units import recording_units
 from spindrift.sources.tables import table
 
@@ -20,7 +20,9 @@ TICKS_PER_SECOND = 30_000
 #: Ticks in one unit, as a fraction.
 IN_TICKS = {"ticks": (1, 1), "smp20k": (3, 2), "smp25k": (6, 5), "ms": (30, 1), "us": (3, 100)}
 
-_kept: dict[tuple[str, str], Recording] = {}
+#: What was written for a session and folder, and the state of the files it was written from.
+_kept: dict[tuple[str, str], tuple[list, Recording]] = {}
+SOURCES = ("recordings", "spikes_time_adjusted", "pico", "electrode_cfg")
 
 
 @dataclass(frozen=True)
@@ -48,11 +50,15 @@ def geometry(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("k = 1").select("poly", "electrode", "x", "y")
 
 
-def recording(spark: SparkSession, d: str) -> Recording:
+def recording(spark: SparkSession, d: str, refresh: bool = False) -> Recording:
     """The recordings of folder ``d``. Spikes without a time, unit or recording are left out, as are intervals without a start
-    or end; swapped ends are put in order; an electrode may be null."""
+    or end; swapped ends are put in order; an electrode may be null.
+
+    What was written is used again in the session until a file of the folder changes, or ``refresh`` asks for a new copy.
+    """
     key = (spark.sparkContext.applicationId, d)
-    if key not in _kept:
+    state = [state_of(spark, f"{d}/{name}.parquet") for name in SOURCES]
+    if refresh or key not in _kept or _kept[key][0] != state:
         recordings = table(spark, d, "recordings")
         raw = table(spark, d, "spikes_time_adjusted").select("spike_id", "recording_id", F.col("time").alias("value"), F.col("unit").alias("u"), "electrode").where("value IS NOT NULL AND u IS NOT NULL")
         units = recording_units(recordings, "spikes_time_unit", "spikes", raw.select("recording_id", "value"))
@@ -60,8 +66,8 @@ def recording(spark: SparkSession, d: str) -> Recording:
         pico = table(spark, d, "pico").select("interval_id", "recording_id", F.least("Start", "End").alias("a"), F.greatest("Start", "End").alias("b")).where("Start IS NOT NULL AND End IS NOT NULL")
         units = recording_units(recordings, "pico_time_unit", "pico", pico.select("recording_id", F.col("b").alias("value")))
         intervals = pico.join(bounded_broadcast(units), "recording_id").select("interval_id", "recording_id", in_ticks(F.col("a"), F.col("unit")).alias("Start"), in_ticks(F.col("b"), F.col("unit")).alias("End")).where("Start IS NOT NULL")
-        _kept[key] = Recording(written(spikes, "spikes"), written(intervals, "intervals"), geometry(spark, d))
-    return _kept[key]
+        _kept[key] = state, Recording(written(spikes, "spikes"), written(intervals, "intervals"), geometry(spark, d))
+    return _kept[key][1]
 
 
 def _unit_sql(rate: str) -> str:
