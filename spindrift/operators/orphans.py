@@ -8,10 +8,12 @@ the distinct non-null references are (key, epoch) pairs, few whatever the number
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.functions.scale import bounded_broadcast, written
 
@@ -48,25 +50,32 @@ class References:
     * A null instant: nothing can be said about its time, so it is an orphan (``missing``) only if the key never exists.
     * A parent row with a null key or a null ``valid_from`` is never in force; repeated parent rows count once.
     * ``kind``: ``missing`` the key never exists, ``late`` all its rows begin after the instant, else ``removed``.
-    * Keys are compared as bigint, doubles like 5.0 included; a fractional or unparsable key is no reference.
+    * Keys are compared in the common type of all key columns (``key_type``): whole numbers as bigint, with decimals as
+      decimals, with floats as doubles (5.0 is 5, 5.5 a key like any other; NaN refers to nothing), texts as they are, and
+      texts with numbers by the number they spell, else as they are. Row ids stay bigint if all are whole numbers.
     """
 
     def __init__(self, parents: DataFrame, key: str, valid_from: str, valid_to: str) -> None:
-        self.parents = (
-            parents.select(_as_key(parents[key]).alias("k"), parents[valid_from].alias("valid_from"), parents[valid_to].alias("valid_to"))
-            .where("k IS NOT NULL AND valid_from IS NOT NULL")
-            .distinct()
-        )
+        self.given = parents.select(parents[key].alias("k"), parents[valid_from].alias("valid_from"), parents[valid_to].alias("valid_to"))
+
+    def _begin(self, children: list[Child]) -> None:
+        """Brings the parents' keys to the type they share with the children's."""
+        kinds = [self.given.schema["k"].dataType, *(c.rows.schema[c.key].dataType for c in children)]
+        self.as_key = key_type(kinds)
+        self.id_type = "bigint" if all(c.rows.schema[c.row_id].dataType.typeName() in WHOLE for c in children) else "string"
+        self.parents = self.given.withColumn("k", self.as_key(self.given["k"], kinds[0])).where("k IS NOT NULL AND valid_from IS NOT NULL").distinct()
         self.borders = bounded_broadcast(_borders(self.parents))
 
     def _placed(self, child: Child, *extra: Column) -> DataFrame:
         rows = child.rows
-        refs = rows.select(F.lit(child.name).alias("table_name"), rows[child.row_id].cast("bigint").alias("row_id"), _as_key(rows[child.key]).alias("k"), rows[child.at].alias("at"), *extra).where("k IS NOT NULL")
+        key = self.as_key(rows[child.key], rows.schema[child.key].dataType)
+        refs = rows.select(F.lit(child.name).alias("table_name"), rows[child.row_id].cast(self.id_type).alias("row_id"), key.alias("k"), rows[child.at].alias("at"), *extra).where("k IS NOT NULL")
         joined = refs.join(self.borders, "k", "left")
         return joined.withColumn("epoch", _epoch(F.col("borders"), F.col("at"))).drop("borders")
 
     def orphan_keys(self, children: list[Child]) -> DataFrame:
         """(k, epoch, kind): the distinct references without a parent in force."""
+        self._begin(children)
         distinct = None
         for child in children:
             part = self._placed(child).select("k", "epoch").distinct()
@@ -110,6 +119,21 @@ class References:
         return out
 
 
-def _as_key(column: Column) -> Column:
-    whole = column.try_cast("bigint")
-    return F.when(whole.cast("double") == column.try_cast("double"), whole)
+WHOLE = ("byte", "short", "integer", "long")
+
+
+def key_type(kinds: list[T.DataType]) -> Callable[[Column, T.DataType], Column]:
+    """A function that brings a key column of one of ``kinds`` to the type all of them can be compared in."""
+    names = {k.typeName() for k in kinds}
+    number = lambda c, kind: F.when(~F.isnan(c), c + F.lit(0.0)) if kind.typeName() in ("float", "double") else c
+    if names <= {*WHOLE}:
+        return lambda c, kind: c.cast("bigint")
+    if names <= {*WHOLE, "decimal"}:
+        scale = max(k.scale for k in kinds if isinstance(k, T.DecimalType))
+        return lambda c, kind: c.cast(f"decimal(38,{scale})")
+    if names <= {*WHOLE, "decimal", "float", "double"}:
+        return lambda c, kind: number(c, kind).cast("double")
+    if len(names) == 1:
+        return lambda c, kind: c.cast("string")
+    spelled = lambda c: F.coalesce((F.trim(c).try_cast("double") + F.lit(0.0)).cast("string"), c)
+    return lambda c, kind: number(c, kind).cast("double").cast("string") if kind.typeName() in (*WHOLE, "decimal", "float", "double") else spelled(c.cast("string"))

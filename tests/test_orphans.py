@@ -41,9 +41,9 @@ def test_report_edges_and_clashing_columns(spark):
     rows = [(1, 1.0, day(5)), (2, 1.0, day(10)), (3, 2.0, day(5)), (4, 7.0, day(5)), (5, 7.0, day(40)), (6, None, day(5)), (7, 1.5, day(5)), (8, 1.0, None), (9, 7.0, None), (10, 1.0, day(0))]
     c = Child("c", spark.createDataFrame([(*r, *"abcde") for r in rows], schema), "id", "e", "at")
     refs = References(p, "e", "f", "t")
-    assert {(r.row_id, r.kind) for r in refs.orphan_rows([c]).collect()} == {(2, "removed"), (3, "late"), (4, "missing"), (5, "missing"), (9, "missing")}
+    assert {(r.row_id, r.kind) for r in refs.orphan_rows([c]).collect()} == {(2, "removed"), (3, "late"), (4, "missing"), (5, "missing"), (7, "missing"), (9, "missing")}
     report = {(r.table_name, r.period and r.period.month, r.kind): (r.n_rows, r.n_keys) for r in refs.report([c]).collect()}
-    assert report == {("c", 1, "removed"): (1, 1), ("c", 1, "late"): (1, 1), ("c", 1, "missing"): (1, 1), ("c", 2, "missing"): (1, 1), ("c", None, "missing"): (1, 1)}
+    assert report == {("c", 1, "removed"): (1, 1), ("c", 1, "late"): (1, 1), ("c", 1, "missing"): (2, 2), ("c", 2, "missing"): (1, 1), ("c", None, "missing"): (1, 1)}
 
 
 def test_empty_tables(spark):
@@ -52,3 +52,20 @@ def test_empty_tables(spark):
     assert [tuple(r) for r in References(p, "e", "f", "t").orphan_rows([Child("c", c, "id", "e", "at")]).collect()] == [("c", 1, "missing")]
     full = spark.createDataFrame([(3, day(0), None)], "e int, f timestamp, t timestamp")
     assert References(full, "e", "f", "t").orphan_rows([Child("c", c.limit(0), "id", "e", "at")]).collect() == []
+
+
+def test_keys_of_any_type(spark):
+    def found(parent_keys, parent_type, child_keys, child_type, id_type="bigint"):
+        p = spark.createDataFrame([(k, day(0)) for k in parent_keys], "e string, f timestamp").selectExpr(f"CAST(e AS {parent_type}) AS e", "f", "CAST(NULL AS timestamp) AS t")
+        c = spark.createDataFrame([(i, k, day(1)) for i, k in enumerate(child_keys)], "id bigint, e string, at timestamp").selectExpr(f"CAST(id AS {id_type}) AS id", f"CAST(e AS {child_type}) AS e", "at")
+        return {r.row_id for r in References(p, "e", "f", "t").orphan_rows([Child("c", c, "id", "e", "at")]).collect()}
+
+    assert found(["a", "B", None], "string", ["a", "b", "B", "", None, " a"], "string") == {1, 3, 5}
+    assert found(["05"], "string", ["5", "05"], "string") == {0}
+    assert found(["5", "6"], "int", ["5", "05", " 6", "7", "x", "5.5", None], "string") == {3, 4, 5}
+    assert found(["5", "x", "2.50"], "string", ["5", "6", "2.5"], "double") == {1}
+    assert found(["5"], "int", ["5", "5.5", "NaN", None, "-5"], "double") == {1, 4}
+    assert found(["5.5", "0"], "double", ["5.5", "5", "-0.0"], "float") == {1}
+    assert found(["5.50", "7"], "decimal(9,2)", ["5.5", "7", "7.125"], "decimal(12,3)") == {2}
+    assert found(["5.50"], "decimal(9,2)", ["5", "6"], "bigint", "string") == {"0", "1"}
+    assert found(["9007199254740993"], "bigint", ["9007199254740992", "9007199254740993"], "bigint") == {0}
