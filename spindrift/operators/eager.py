@@ -13,47 +13,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def eager_join_aggregate(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str], left_sums: Sequence[str] = (), right_sums: Sequence[str] = (), how: str = "inner") -> DataFrame:
-    """(key_column, key_value, n_pairs, n_left, sum_<c>...): for each value of each of ``keys`` (columns of ``left``), what
-    ``left JOIN right USING (on)`` aggregates to, without building the join.
+WHOLE = ("byte", "short", "integer", "long")
 
-    ``n_pairs`` counts joined pairs, ``n_left`` the left rows, ``sum_<c>`` sums ``c`` over the pairs. ``how`` is ``inner`` or
-    ``left``; with ``left`` a left row without a partner makes one pair whose right sums are null.
 
-    * A null key value is a group of its own; a null ``on`` joins nothing.
+def eager_join_aggregate(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str], left_sums: Sequence[str] = (), right_sums: Sequence[str] = (), how: str = "inner", right_once: Sequence[str] = ()) -> DataFrame:
+    """(key_column, key_value, n_pairs, n_left, n_groups, sum_<c>..., once_<c>...): for each value of each of ``keys`` (columns of
+    ``left``), what ``left JOIN right USING (on)`` aggregates to, without building the join.
+
+    ``n_pairs`` counts joined pairs, ``n_left`` the left rows, ``n_groups`` the values of ``on`` they have, ``sum_<c>`` sums ``c`` over
+    the pairs, and ``once_<c>`` sums the right ``c`` once for each of these values of ``on``. ``how`` is ``inner`` or ``left``; with
+    ``left`` a left row without a partner makes one pair whose right sums are null.
+
+    * A null key value is a group of its own; a null ``on`` joins nothing. Whole-number keys come out as bigint; if a key
+      column is of another type, all come out as strings.
     * Sums skip nulls and are null where all values are; sums of whole numbers are decimals of 38 digits. Empty inputs give no rows.
     * Other columns may clash: only the named ones are read.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
+    kind = "bigint" if all(left.schema[c].dataType.typeName() in WHOLE for c in keys) else "string"
     k = [f"_k{i}" for i in range(len(keys))]
-    a = left.select(left[on].alias("j"), *(left[c].cast("bigint").alias(x) for c, x in zip(keys, k, strict=True)), *(_summable(left, c).alias(f"_l{i}") for i, c in enumerate(left_sums)))
-    a = a.groupBy("j", *k).agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"_l{i}").alias(f"_l{i}") for i in range(len(left_sums))))
-    b = right.select(right[on].alias("j"), *(_summable(right, c).alias(f"_r{i}") for i, c in enumerate(right_sums)))
-    b = b.where("j IS NOT NULL").groupBy("j").agg(F.count(F.lit(1)).alias("m"), *(F.sum(f"_r{i}").alias(f"_r{i}") for i in range(len(right_sums))))
-    m = F.coalesce("m", F.lit(1))
-    joined = a.join(b, "j", how).select(
-        *k, "n", (F.col("n") * m).alias("pairs"),
-        *((F.col(f"_l{i}") * m).alias(f"_l{i}") for i in range(len(left_sums))),
-        *((F.col(f"_r{i}") * F.col("n")).alias(f"_r{i}") for i in range(len(right_sums))),
-    )
+    ls, rs, once = ([f"_{side}{i}" for i in range(len(cols))] for side, cols in (("l", left_sums), ("r", right_sums), ("o", right_once)))
+    add = lambda names: [F.sum(c).alias(c) for c in names]
+    a = left.select(left[on].alias("j"), *(left[c].cast(kind).alias(x) for c, x in zip(keys, k, strict=True)), *(_summable(left, c).alias(x) for c, x in zip(left_sums, ls, strict=True)))
+    a = a.groupBy("j", *k).agg(F.count(F.lit(1)).alias("n"), *add(ls))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("key_column"), F.col(x).alias("key_value")) for c, x in zip(keys, k, strict=True))))
+    a = a.select("j", "n", *ls, each.alias("x")).select("j", "n", *ls, "x.*").groupBy("j", "key_column", "key_value").agg(F.sum("n").alias("n"), *add(ls))
+    b = right.select(right[on].alias("j"), *(_summable(right, c).alias(x) for c, x in zip((*right_sums, *right_once), (*rs, *once), strict=True)))
+    b = b.where("j IS NOT NULL").groupBy("j").agg(F.count(F.lit(1)).alias("m"), *add([*rs, *once]))
+    m = F.coalesce("m", F.lit(1))
     return (
-        joined.select("*", each.alias("x"))
-        .select("*", "x.key_column", "x.key_value")
+        a.join(b, "j", how)
+        .select("key_column", "key_value", "n", (F.col("n") * m).alias("pairs"), *((F.col(c) * m).alias(c) for c in ls), *((F.col(c) * F.col("n")).alias(c) for c in rs), *once)
         .groupBy("key_column", "key_value")
         .agg(
-            F.sum("pairs").alias("n_pairs"),
-            F.sum("n").alias("n_left"),
-            *(F.sum(f"_l{i}").alias(f"sum_{c}") for i, c in enumerate(left_sums)),
-            *(F.sum(f"_r{i}").alias(f"sum_{c}") for i, c in enumerate(right_sums)),
+            F.sum("pairs").alias("n_pairs"), F.sum("n").alias("n_left"), F.count(F.lit(1)).alias("n_groups"),
+            *(F.sum(x).alias(f"sum_{c}") for c, x in zip((*left_sums, *right_sums), (*ls, *rs), strict=True)),
+            *(F.sum(x).alias(f"once_{c}") for c, x in zip(right_once, once, strict=True)),
         )
-    )
+    )
 
 
 def _summable(df: DataFrame, name: str) -> Column:
     """The column, whole numbers as decimals, so that sums times counts don't overflow."""
-    whole = df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long")
+    whole = df.schema[name].dataType.typeName() in WHOLE
     return df[name].cast("decimal(20,0)") if whole else df[name]
 
 

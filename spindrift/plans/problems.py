@@ -9,7 +9,7 @@ from spindrift.functions.scale import bounded_broadcast
 from spindrift.operators import eager, units
 from spindrift.operators.orphans import Child, References
 from spindrift.operators.sessions import sessions
-from spindrift.plans.recording import in_ticks
+from spindrift.plans.recording import SQL, in_ticks
 from spindrift.sources.tables import table
 
 GAP = 3_000
@@ -93,26 +93,27 @@ def p4_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
     return references.report(children).select("table_name", F.col("period").cast("date").alias("month"), "kind", "n_rows", "n_keys")
 
 
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    """(recording_id, duration_s), a row a recording."""
+    return table(spark, d, "recordings").groupBy("recording_id").agg(F.max("duration_s").alias("duration_s"))
+
+
 def key_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Per value of unit and electrode: rows, share of all rows, and the recorded seconds its rows lie in, pair by pair."""
-    counts = eager.eager_join_aggregate(table(spark, d, "spikes_time_adjusted"), table(spark, d, "recordings"), "recording_id", ["unit", "electrode"], right_sums=["duration_s"], how="left")
-    return eager.shares(counts)
+    """Per value of unit and electrode: its pairs with recordings (a spike without one makes a pair by itself, so that every spike
+    counts once), and their share of all."""
+    counts = eager.eager_join_aggregate(table(spark, d, "spikes_time_adjusted"), _lengths(spark, d), "recording_id", ["unit", "electrode"], how="left")
+    return eager.shares(counts, "n_pairs")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    hot = key_counts(spark, d).where("key_value IS NOT NULL AND n_left * 40 >= n_total")
+    hot = key_counts(spark, d).where("key_value IS NOT NULL AND n_pairs * 40 >= n_total")
     return hot.select("key_column", F.col("key_value").cast("int").alias("key_value"))
 
 
 def p5_key_rates(spark: SparkSession, d: str) -> DataFrame:
     """Spikes and mean rate of each unit and electrode over the recordings it occurs in."""
-    spikes = table(spark, d, "spikes_time_adjusted")
-    per_recording = spikes.groupBy("recording_id", "unit", "electrode").agg(F.count(F.lit(1)).alias("n"))
-    keyed = F.explode(F.array(*(F.struct(F.lit(c).alias("key_column"), F.col(c).cast("bigint").alias("key_value")) for c in ("unit", "electrode"))))
-    states = per_recording.select("recording_id", "n", keyed.alias("x")).select("recording_id", "n", "x.*").where("key_value IS NOT NULL").groupBy("recording_id", "key_column", "key_value").agg(F.sum("n").alias("n"))
-    lengths = table(spark, d, "recordings").groupBy("recording_id").agg(F.max("duration_s").alias("seconds"))
-    rates = states.join(lengths, "recording_id").groupBy("key_column", "key_value")
-    return rates.agg(F.sum("n").alias("n_spikes"), F.count(F.lit(1)).alias("n_recordings"), F.round(F.sum("n") / F.sum("seconds"), 6).alias("rate"))
+    out = eager.eager_join_aggregate(table(spark, d, "spikes_time_adjusted"), _lengths(spark, d), "recording_id", ["unit", "electrode"], right_once=["duration_s"])
+    return out.where("key_value IS NOT NULL").select("key_column", "key_value", F.col("n_left").alias("n_spikes"), F.col("n_groups").alias("n_recordings"), F.round(F.col("n_left") / F.col("once_duration_s"), 6).alias("rate"))
 
 
 def p5_unit_intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -141,10 +142,16 @@ i AS (SELECT *, sum(first_one) OVER (PARTITION BY recording_id, unit ORDER BY ti
 s AS (SELECT recording_id, unit, CAST(min(time) AS BIGINT) AS start_time, CAST(max(time) AS BIGINT) AS end_time, CAST(max(time) - min(time) AS BIGINT) AS duration, count(*) AS n_events
       FROM i GROUP BY recording_id, unit, session)
 """
+_CLOCKED = SQL.replace("WHERE time IS NOT NULL AND unit IS NOT NULL)", "WHERE time IS NOT NULL)")
+_ALL_SESSIONS = SQL + f""", t AS (SELECT DISTINCT recording_id, unit, time FROM spikes),
+g AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY recording_id, unit ORDER BY time) <= {GAP} THEN 0 ELSE 1 END AS first_one FROM t),
+i AS (SELECT *, sum(first_one) OVER (PARTITION BY recording_id, unit ORDER BY time) AS session FROM g),
+s AS (SELECT recording_id, unit, min(time) AS start_time, max(time) AS end_time, max(time) - min(time) AS duration, count(*) AS n_events FROM i GROUP BY recording_id, unit, session)
+"""
 _ORPHANS = """
 WITH refs AS (
-  SELECT 'spikes_time_adjusted' AS table_name, spike_id AS row_id, CAST(electrode AS BIGINT) AS electrode, loaded_at AS seen FROM spikes_time_adjusted
-  UNION ALL SELECT 'electrode_firing_rates', rate_id, CAST(electrode AS BIGINT), computed_at FROM electrode_firing_rates),
+  SELECT 'spikes_time_adjusted' AS table_name, spike_id AS row_id, CAST(electrode AS DOUBLE) AS electrode, loaded_at AS seen FROM spikes_time_adjusted
+  UNION ALL SELECT 'electrode_firing_rates', rate_id, CAST(electrode AS DOUBLE), computed_at FROM electrode_firing_rates),
 begins AS (SELECT electrode, min(loaded_at) AS begins FROM electrode_cfg GROUP BY electrode),
 orphans AS (
   SELECT r.table_name, r.row_id, r.seen, r.electrode, CASE WHEN b.begins IS NULL THEN 'missing' WHEN r.seen < b.begins THEN 'late' ELSE 'removed' END AS kind
@@ -181,19 +188,17 @@ ORACLES = {
     "p3_found": _UNITS + "SELECT table_name, field_name, row_id, CAST(round(us) AS BIGINT) AS value_us FROM vals WHERE unit <> 'ticks' AND us IS NOT NULL",
     "p3_unit_summary": _UNITS + "SELECT table_name, field_name, unit, count(*) AS n_rows, count(us) AS n_values, round(max(us) / 1e6, 3) AS max_s FROM vals GROUP BY ALL",
     "p1_found": _SESSIONS + "SELECT recording_id, unit, start_time, end_time FROM s WHERE n_events >= 3",
-    "p1_sessions": _SESSIONS + "SELECT * FROM s",
-    "p1_unit_summary": _SESSIONS + "SELECT unit, count(*) AS n_sessions, CAST(sum(n_events) AS BIGINT) AS n_events, max(duration) AS longest, CAST(sum(duration) AS BIGINT) AS total_duration FROM s GROUP BY unit",
+    "p1_sessions": _ALL_SESSIONS + "SELECT * FROM s",
+    "p1_unit_summary": _ALL_SESSIONS + "SELECT unit, count(*) AS n_sessions, CAST(sum(n_events) AS BIGINT) AS n_events, max(duration) AS longest, CAST(sum(duration) AS BIGINT) AS total_duration FROM s GROUP BY unit",
     "p4_found": _ORPHANS + "SELECT table_name, row_id, kind FROM orphans",
     "p4_orphans_by_month": _ORPHANS + "SELECT table_name, CAST(date_trunc('month', seen) AS DATE) AS month, kind, count(*) AS n_rows, count(DISTINCT electrode) AS n_keys FROM orphans GROUP BY ALL",
     "p5_found": _KEYS + "SELECT key_column, CAST(key_value AS INT) AS key_value FROM keys WHERE key_value IS NOT NULL GROUP BY key_column, key_value HAVING count(*) * 40 >= (SELECT count(*) FROM spikes_time_adjusted)",
     "p5_key_rates": _KEYS + """, n AS (SELECT key_column, key_value, recording_id, count(*) AS n FROM keys WHERE key_value IS NOT NULL GROUP BY ALL)
 SELECT key_column, key_value, CAST(sum(n) AS BIGINT) AS n_spikes, count(*) AS n_recordings, round(sum(n) / sum(duration_s), 6) AS rate FROM n JOIN recordings USING (recording_id) GROUP BY key_column, key_value""",
-    "p5_unit_intervals": f"""
-WITH {_TICKS},
-t AS (SELECT recording_id, unit, time FROM spikes WHERE unit IS NOT NULL AND time IS NOT NULL AND recording_id IS NOT NULL),
-d AS (SELECT *, time - lag(time) OVER (PARTITION BY recording_id, unit ORDER BY time) AS d FROM t)
-SELECT unit, count(*) AS n_events, count(DISTINCT recording_id) AS n_trains, count(d) AS n_intervals, CAST(coalesce(sum(d), 0) AS BIGINT) AS sum_interval,
-  CAST(min(d) AS BIGINT) AS min_interval, CAST(max(d) AS BIGINT) AS max_interval, round(avg(d), 6) AS mean_interval FROM d GROUP BY unit""",
+    "p5_unit_intervals": _CLOCKED + """, k AS (SELECT 'unit' AS key_column, CAST(unit AS BIGINT) AS key_value, recording_id, time FROM spikes UNION ALL SELECT 'electrode', CAST(electrode AS BIGINT), recording_id, time FROM spikes),
+d AS (SELECT *, time - lag(time) OVER (PARTITION BY key_column, key_value, recording_id ORDER BY time) AS d FROM k WHERE key_value IS NOT NULL)
+SELECT key_column, key_value, count(*) AS n_events, count(DISTINCT recording_id) AS n_trains, count(d) AS n_intervals, CAST(coalesce(sum(d), 0) AS BIGINT) AS sum_interval,
+  min(d) AS min_interval, max(d) AS max_interval, round(avg(d), 6) AS mean_interval FROM d GROUP BY ALL""",
     "p5_stimulus_pairs": _KEYS + """, p AS (SELECT recording_id, count(*) AS m, sum("End" - "Start") AS span FROM pico GROUP BY recording_id),
 k AS (SELECT key_column, key_value, recording_id, count(*) AS n, sum(time) AS t FROM keys GROUP BY ALL)
 SELECT key_column, key_value, CAST(sum(n * m) AS BIGINT) AS n_pairs, CAST(sum(t * m) AS DOUBLE) AS sum_time, CAST(sum(span * n) AS BIGINT) AS sum_span FROM k JOIN p USING (recording_id) GROUP BY key_column, key_value""",

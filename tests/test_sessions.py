@@ -102,3 +102,10 @@ def test_shares(spark):
     got = {r.key_value: (r.n_total, r.share) for r in shares(eager_join_aggregate(a, b, "j", ["u"], how="left")).collect()}
     assert got == {1: (4, 0.5), 2: (4, 0.25), None: (4, 0.25)}
     assert shares(eager_join_aggregate(a, b, "j", ["u"])).collect() == []
+
+
+def test_sums_once_for_each_join_key_and_keys_of_any_type(spark):
+    a = spark.createDataFrame([(1, "u", 7), (1, "u", 7), (2, "u", None), (2, "v", 7), (3, "v", 7), (None, "u", 7)], "j int, u string, e int")
+    b = spark.createDataFrame([(1, 10.0), (2, 5.0), (None, 1.0)], "j int, s double")
+    got = {(r.key_column, r.key_value): (r.n_left, r.n_groups, r.once_s) for r in eager_join_aggregate(a, b, "j", ["u", "e"], right_once=["s"]).collect()}
+    assert got == {("u", "u"): (3, 2, 15.0), ("u", "v"): (1, 1, 5.0), ("e", "7"): (3, 2, 15.0), ("e", None): (1, 1, 5.0)}
