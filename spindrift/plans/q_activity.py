@@ -14,8 +14,6 @@ from spindrift.sources.tables import table
 
 START, END = "pico_Interval Start", "pico_Interval End"
 TICKS_PER_MS = 30
-#: The SQL of wide_interval_table still has these units only; the query has all.
-UNITS = list(range(16))
 #: Ticks in a bucket of the overlap join: about the length of an interval.
 SPAN = 15_000
 
@@ -146,9 +144,8 @@ bycat AS (SELECT n.category, u.unit, coalesce(q.active_intervals, 0) AS active_i
 """
 
 ORACLES = {
-    "wide_interval_table": SQL + ", pairs AS (SELECT i.interval_id, s.unit, count(*) AS n FROM intervals i JOIN spikes s ON s.recording_id = i.recording_id AND s.time BETWEEN i.a AND i.b WHERE i.b > i.a AND s.unit BETWEEN 0 AND 15 GROUP BY ALL)\nSELECT i.interval_id, any_value(a) AS start_time, any_value(b) AS end_time, any_value(b - a) AS duration, "
-    + ", ".join(f"""CAST(max(CASE WHEN unit = {u} THEN 1 ELSE 0 END) AS INT) AS "spikes_{u}_Event Presence", CAST(coalesce(sum(CASE WHEN unit = {u} THEN n END), 0) AS BIGINT) AS "spikes_{u}_Event Count" """ for u in UNITS)
-    + " FROM intervals i LEFT JOIN pairs p ON p.interval_id = i.interval_id WHERE b > a GROUP BY i.interval_id",
+    "wide_interval_table": SQL + """, pairs AS (SELECT i.interval_id, s.unit, count(*) AS n FROM intervals i JOIN spikes s ON s.recording_id = i.recording_id AND s.time BETWEEN i.a AND i.b WHERE i.b > i.a GROUP BY ALL)
+SELECT i.interval_id, a AS start_time, b AS end_time, b - a AS duration, p.unit, CASE WHEN p.n > 0 THEN 1 ELSE 0 END AS presence, coalesce(p.n, 0) AS count FROM intervals i LEFT JOIN pairs p ON p.interval_id = i.interval_id WHERE b > a""",
     "interval_categories": _LONG + "SELECT semi_id, round(ms, 6) AS duration_ms, category FROM wide",
     "category_share": _LONG + "SELECT category, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM wide), 6) AS percent FROM wide GROUP BY category",
     "duration_counts": f'SELECT duration, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM semi_from_table_designer), 6) AS percent FROM (SELECT "{END}" - "{START}" AS duration FROM semi_from_table_designer) WHERE duration IS NOT NULL GROUP BY duration ORDER BY duration LIMIT 10',

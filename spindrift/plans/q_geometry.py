@@ -247,6 +247,6 @@ c AS (SELECT key_column, key_value, count(*) AS n_spikes FROM k GROUP BY ALL), t
 SELECT key_column, key_value, n_spikes, round(n_spikes * {PER}.0::DOUBLE / ticks, 6) AS rate, CAST(row_number() OVER (PARTITION BY key_column ORDER BY n_spikes DESC, key_value) AS INT) AS rank FROM c, t""",
     "units_and_channels": SQL + "SELECT recording_id, count(DISTINCT unit) AS n_units, count(DISTINCT electrode) AS n_channels, string_agg(DISTINCT unit, ',' ORDER BY unit) AS units, string_agg(DISTINCT electrode, ',' ORDER BY electrode) AS channels FROM spikes GROUP BY recording_id",
     "units_per_channel": SQL + "SELECT electrode, count(DISTINCT unit) AS n_units, string_agg(DISTINCT unit, ',' ORDER BY unit) AS units, count(*) AS n_spikes FROM spikes WHERE electrode IS NOT NULL GROUP BY electrode",
-    "unit_channel_pivot": SQL + "SELECT unit, " + ", ".join(f"CAST(sum(CASE WHEN electrode = {c} THEN 1 ELSE 0 END) AS BIGINT) AS ch_{c}" for c in range(1, 17)) + " FROM spikes GROUP BY unit",
+    "unit_channel_pivot": SQL + "SELECT unit, electrode, count(*) AS n_spikes FROM spikes GROUP BY ALL",
     "unit_spike_counts_topn": SQL + "SELECT unit, n_spikes, CAST(row_number() OVER (ORDER BY n_spikes DESC, unit) AS INT) AS rank FROM (SELECT unit, count(*) AS n_spikes FROM spikes GROUP BY unit ORDER BY 2 DESC, 1 LIMIT 20)",
 }

@@ -18,8 +18,6 @@ PER = TICKS_PER_SECOND
 BEFORE, AFTER, WIDTH = PER // 2, PER, PER // 20
 BINS = (BEFORE + AFTER) // WIDTH
 SMOOTHING = 3
-#: The SQL of the channel correlations still looks at so many channels only; the queries correlate all.
-CHANNELS = 16
 
 
 def psth(spark: SparkSession, d: str, key: str = "unit") -> Psth:
@@ -137,8 +135,8 @@ classes AS (SELECT *, CASE WHEN baseline_rate > 0 THEN CASE WHEN modulation_rati
 """
 
 
-_CORR = _sql("electrode") + f""", busy AS (SELECT key FROM totals ORDER BY total_spikes DESC, key LIMIT {CHANNELS}), r AS (SELECT * FROM rates WHERE key IN (SELECT key FROM busy)),
-c AS (SELECT a.key AS i, b.key AS j, CASE WHEN stddev_pop(a.rate) * stddev_pop(b.rate) > 1e-12 THEN covar_pop(a.rate, b.rate) / (stddev_pop(a.rate) * stddev_pop(b.rate)) END AS corr FROM r a JOIN r b ON a.bin = b.bin AND a.key <= b.key GROUP BY ALL)
+_CORR = _sql("electrode") + """, c AS (SELECT a.key AS i, b.key AS j, CASE WHEN stddev_pop(a.rate) * stddev_pop(b.rate) > 1e-12 THEN covar_pop(a.rate, b.rate) / (stddev_pop(a.rate) * stddev_pop(b.rate)) END AS corr
+  FROM rates a JOIN rates b ON a.bin = b.bin AND a.key <= b.key GROUP BY ALL)
 """
 _FIRST, _LAST = WIDTH // 2 - BEFORE, WIDTH // 2 - BEFORE + (BINS - 1) * WIDTH
 

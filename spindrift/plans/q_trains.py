@@ -163,7 +163,7 @@ SELECT g.unit, CAST(g.bin AS INT) AS bin, round(lo + g.bin * ((hi - lo) / 50), 6
     "bursts": _BURSTS + "SELECT * FROM bursts",
     "burst_stats": _BURSTS + "SELECT recording_id, unit, n_spikes, n_bursts, burst_spikes, round(burst_ratio, 6) AS burst_ratio, round(mean_duration, 6) AS mean_duration, round(mean_spikes, 6) AS mean_spikes FROM burst_stats",
     "sliding_rate": SQL + _SLIDING + "SELECT recording_id, unit, k, time, n, rate FROM sliding",
-    "sliding_rate_stats": SQL + _SLIDING + "SELECT recording_id, unit, sum(n) * 30000.0::DOUBLE / (count(*) * 600000) AS mean_rate, max(rate) AS max_rate, min(rate) AS min_rate FROM sliding GROUP BY ALL",
+    "sliding_rate_stats": SQL + _SLIDING + f"SELECT recording_id, unit, sum(n) * {PER}.0::DOUBLE / (count(*) * {WINDOW}) AS mean_rate, max(rate) AS max_rate, min(rate) AS min_rate FROM sliding GROUP BY ALL",
     "autocorrelogram": _BINS + f""", c AS (SELECT a.unit, a.bin - b.bin AS lag, count(*) AS n FROM bins a JOIN bins b ON a.recording_id = b.recording_id AND a.unit = b.unit AND a.bin - b.bin BETWEEN 0 AND {LAGS - 1} GROUP BY ALL),
 g AS (SELECT unit, n AS n0, unnest(range(0, {LAGS})) AS lag FROM c WHERE lag = 0)
 SELECT g.unit, g.lag, round(coalesce(c.n, 0) / CAST(n0 AS DOUBLE), 6) AS value FROM g LEFT JOIN c ON c.unit = g.unit AND c.lag = g.lag""",
