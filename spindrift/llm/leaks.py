@@ -1,29 +1,27 @@
 """Held-out passages that turn up in a corpus, whole or in part, not always letter by letter.
 
-Texts are folded to letters and digits, so that layout, case, punctuation, accents and markup don't matter. From each passage
-windows of ``WINDOW`` characters are cut, the ones that few passages share; they are the patterns of a Wu-Manber search: a
-shift table over blocks of ``BLOCK`` characters skips what no pattern can end in, suffix and prefix blocks select the
-patterns to try, and direct comparison confirms. The search runs over many lanes of a text at once, one array step moving
-all cursors. Where a document holds some windows of a passage, the passage is laid along the diagonals they lie on, and the
-words inside stretches that it follows closely are counted.
+Texts are folded to letters and digits of any script, so that layout, case, punctuation, accents and markup don't matter. Each
+passage is cut into windows of ``WINDOW`` characters; all of them are patterns of a Wu-Manber search: a shift table over
+hashed blocks of ``BLOCK`` characters skips what no pattern can end in, suffix and prefix blocks select the patterns to try, and
+direct comparison of the letters confirms. The search runs over many lanes of a text at once, one array step moving all
+cursors. Where a document holds some windows of a passage, the passage is laid along the diagonals they lie on, and the
+words inside stretches that it follows closely are counted. A window that many passages share counts for each of them.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, BLOCK = 12, 4
-#: A window is a pattern if at most so many passages hold it; a passage most of whose windows are more common keeps all of them.
-SHARED = 3
 #: Windows that must lie on about one diagonal to count, and the part of a passage's patterns that must count in all, before
 #: the passage is laid along a document. A copy of half a passage with every tenth word changed keeps about a quarter.
 CHAIN, SEEN_PART = 3, 0.12
@@ -34,30 +32,52 @@ DRIFT, GRAM, RUN, SMOOTH, CLOSE = 20, 5, 10, 61, 0.72
 COVERED = 0.5
 #: Folded characters searched at once, and characters of a lane.
 CHUNK, LANE = 4_000_000, 512
-#: Test items searched for in one pass over the corpus.
-ITEMS = 20_000
+#: Test items, and characters of their passages, searched for in one pass over the corpus; pairs of a window in a document and a
+#: passage laid out at once, unless a document has more.
+ITEMS, PASSAGES, PAIRS = 20_000, 20_000_000, 4_000_000
 
 _DROP = bytes(b for b in range(256) if not (48 <= b <= 57 or 97 <= b <= 122))
-_CODE = np.zeros(256, np.uint8)
+_CODE = np.zeros(128, np.uint8)
 _CODE[48:58] = np.arange(1, 11)
 _CODE[97:123] = np.arange(11, 37)
 _BASE = 37
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&#?[A-Za-z0-9]{1,8};")
-_WORD = re.compile(r"[^\W_]+")
+_OTHER = re.compile(r"[^\W\x00-\x7f]")
+_NO_LETTER = re.compile(r"[\W_]+")
+#: Scripts that put no blanks between words; each of their letters counts as a word.
+_UNSPACED = "\u0e00-\u0edf\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
+#: Letters that look like Latin ones, and the micro sign's letter.
+_ALIKE = str.maketrans("\u0430\u0435\u0456\u0458\u043e\u0440\u0441\u0443\u0445\u0455\u03bc\u03bf", "aeijopcyxsuo")
 
 
-def fold(text: str) -> bytes:
-    """The letters and digits of a text, lower case, without accents and markup."""
+def fold(text: str) -> bytes | str:
+    """The letters and digits of a text, lower case, without accents and markup: bytes where all are ASCII, else a text."""
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
+        text = unicodedata.normalize("NFKD", text).casefold().translate(_ALIKE)
+        if _OTHER.search(text):
+            return _NO_LETTER.sub("", text)
     return text.lower().encode("ascii", "ignore").translate(None, _DROP)
 
 
+def letters(folded: bytes | str) -> np.ndarray:
+    """A folded text as numbers: 1..36 for ASCII digits and letters, larger ones for all others."""
+    if isinstance(folded, bytes):
+        return _CODE[np.frombuffer(folded, np.uint8)].astype(np.uint32)
+    points = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < 128, _CODE[np.minimum(points, 127)], points)
+
+
+def codes(letter: np.ndarray) -> np.ndarray:
+    """Letters as codes below ``_BASE`` for the shift table; other than ASCII ones share codes by hash. 0 stays 0."""
+    return np.where(letter < _BASE, letter, letter * np.uint32(2654435761) % np.uint32(_BASE - 1) + np.uint32(1)).astype(np.uint8)
+
+
 def word_places(text: str) -> np.ndarray:
     """The middle of each word of a text in its folded form."""
-    text = _MARKUP.sub(" ", text)
+    text = unicodedata.normalize("NFKC", _MARKUP.sub(" ", text))
     at, out = 0, []
     for word in _WORD.findall(text):
         n = len(fold(word))
@@ -70,9 +90,9 @@ def word_places(text: str) -> np.ndarray:
 class Patterns:
     """Equal-length patterns with the tables of a Wu-Manber search."""
 
-    def __init__(self, patterns: list[bytes]) -> None:
-        self.codes = _CODE[np.frombuffer(b"".join(patterns), np.uint8)].reshape(-1, WINDOW)
-        blocks = self._blocks(self.codes, np.arange(WINDOW - BLOCK + 1))
+    def __init__(self, patterns: np.ndarray) -> None:
+        self.letters = patterns.reshape(-1, WINDOW)
+        blocks = self._blocks(codes(self.letters), np.arange(WINDOW - BLOCK + 1))
         self.shift = np.full(_BASE**BLOCK, WINDOW - BLOCK + 1, np.uint8)
         for j in range(WINDOW - BLOCK + 1):  # later blocks lie nearer the end and shift less
             self.shift[blocks[:, j]] = WINDOW - BLOCK - j
@@ -81,14 +101,15 @@ class Patterns:
         self.key = self.key[self.order]
 
     @staticmethod
-    def _blocks(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(codes), len(starts)), np.int32)
+    def _blocks(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(code), len(starts)), np.int32)
         for i in range(BLOCK):
-            out = out * _BASE + codes[:, starts + i]
+            out = out * _BASE + code[:, starts + i]
         return out
 
-    def search(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, pattern) of every occurrence in ``text`` (codes; 0 separates documents)."""
+    def search(self, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, pattern) of every occurrence in a text of letters (0 separates documents)."""
+        text = codes(letter)
         n = len(text)
         if n < WINDOW:
             return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -119,16 +140,15 @@ class Patterns:
         each = np.repeat(np.arange(len(starts)), count)
         which = self.order[np.repeat(first, count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)]
         at = starts[each]
-        same = (text[at[:, None] + np.arange(WINDOW)] == self.codes[which]).all(axis=1)
+        same = (letter[at[:, None] + np.arange(WINDOW)] == self.letters[which]).all(axis=1)
         return at[same], which[same]
 
 
 @dataclass
 class Passage:
     item: int
-    codes: np.ndarray
+    letters: np.ndarray
     words: np.ndarray
-    n_patterns: int = 0
 
 
 class Matcher:
@@ -136,49 +156,64 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.passages = []
-        windows: list[dict[bytes, list[int]]] = []
-        holders: Counter[bytes] = Counter()
-        for item, text in items:
-            folded = fold(text)
-            if len(folded) < WINDOW:
-                continue
-            self.passages.append(Passage(item, _CODE[np.frombuffer(folded, np.uint8)], word_places(text)))
-            own: dict[bytes, list[int]] = {}
-            for at in [*range(0, len(folded) - WINDOW, WINDOW), len(folded) - WINDOW]:
-                own.setdefault(folded[at : at + WINDOW], []).append(at)
-            windows.append(own)
-            holders.update(own.keys())
         number: dict[bytes, int] = {}
         posts: list[list[tuple[int, int]]] = []
-        for p, own in enumerate(windows):
-            rare = {w: ats for w, ats in own.items() if holders[w] <= SHARED}
-            rare = rare if 2 * len(rare) >= len(own) else own
-            self.passages[p].n_patterns = sum(map(len, rare.values()))
-            for w, ats in rare.items():
-                i = number.setdefault(w, len(number))
+        n_patterns = []
+        for item, text in items:
+            own = letters(fold(text))
+            if len(own) < WINDOW:
+                continue
+            starts = sorted({*range(0, len(own) - WINDOW, WINDOW), len(own) - WINDOW})
+            for at in starts:
+                i = number.setdefault(own[at : at + WINDOW].tobytes(), len(number))
                 if i == len(posts):
                     posts.append([])
-                posts[i] += [(p, at) for at in ats]
-        self.patterns = Patterns(list(number)) if number else None
+                posts[i].append((len(self.passages), at))
+            self.passages.append(Passage(item, own, word_places(text)))
+            n_patterns.append(len(starts))
+        self.patterns = Patterns(np.frombuffer(b"".join(number), np.uint32)) if number else None
         self.post_first = np.cumsum([0, *map(len, posts)])
         flat = np.array([x for post in posts for x in post], np.int64).reshape(-1, 2)
         self.post_passage, self.post_at = flat[:, 0], flat[:, 1]
-        self.least = np.array([max(min(CHAIN, p.n_patterns), int(np.ceil(SEEN_PART * p.n_patterns))) for p in self.passages], np.int64)
-        self.chain = np.array([min(CHAIN, p.n_patterns) for p in self.passages], np.int64)
+        n = np.array(n_patterns, np.int64)
+        self.chain = np.minimum(CHAIN, n)
+        self.least = np.maximum(self.chain, np.ceil(SEEN_PART * n).astype(np.int64))
 
-    def find(self, texts: list[bytes]) -> list[tuple[int, int, float]]:
+    def find(self, texts: list[bytes | str]) -> list[tuple[int, int, float]]:
         """(index of the text, item, part of the passage's words) for every passage a text gives at least ``COVERED`` of."""
         if self.patterns is None or not texts:
             return []
-        text = _CODE[np.frombuffer(b"\0".join(texts), np.uint8)]
-        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        parts = [letters(t) for t in texts]
+        gap = np.zeros(1, np.uint32)
+        text = np.concatenate([x for part in parts for x in (part, gap)])
+        begins = np.cumsum([0, *(len(t) + 1 for t in parts)])
         at, pattern = self.patterns.search(text)
+        order = np.argsort(at, kind="stable")
+        at, pattern = at[order], pattern[order]
         count = np.diff(self.post_first)[pattern]
+        doc = np.searchsorted(begins, at, "right") - 1
+        # whole documents at a time, so that windows many passages share don't pile up
+        laid = np.cumsum(count)
+        ends = np.flatnonzero(np.diff(doc, append=-1)) + 1
+        out: list[tuple[int, int, float]] = []
+        first = 0
+        while first < len(at):
+            reach = np.searchsorted(laid[ends - 1], (laid[first - 1] if first else 0) + PAIRS, "right")
+            last = int(ends[max(reach - 1, np.searchsorted(ends, first, "right"))])
+            out += self._find(text, begins, at[first:last], pattern[first:last], count[first:last], doc[first:last])
+            first = last
+        return out
+
+    def _find(self, text: np.ndarray, begins: np.ndarray, at: np.ndarray, pattern: np.ndarray, count: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, float]]:
         each = np.repeat(np.arange(len(at)), count)
         post = np.repeat(self.post_first[:-1][pattern], count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
         passage, inside = self.post_passage[post], self.post_at[post]
-        diagonal = at[each] - inside
-        doc = np.searchsorted(begins, at[each], "right") - 1
+        diagonal, doc = at[each] - inside, doc[each]
+        # only pairs with as many windows as a passage must show
+        pair = doc * len(self.passages) + passage
+        found, which, n = np.unique(pair, return_inverse=True, return_counts=True)
+        enough = (n >= self.least[found % len(self.passages)])[which]
+        passage, doc, diagonal = passage[enough], doc[enough], diagonal[enough]
         order = np.lexsort((diagonal, passage, doc))
         passage, doc, diagonal = passage[order], doc[order], diagonal[order]
         pair = doc * len(self.passages) + passage
@@ -204,16 +239,16 @@ class Matcher:
     @staticmethod
     def _covered(p: Passage, text: np.ndarray, bands: list[tuple[int, int]]) -> float:
         """The part of the passage's words inside stretches that follow it closely, along bands of diagonals."""
-        grams = _grams(p.codes)
-        inside = np.zeros(len(p.codes), bool)
+        grams = _grams(p.letters)
+        inside = np.zeros(len(p.letters), bool)
         for first, last in bands:
             low, high = first - DRIFT, last + DRIFT
-            a, b = max(0, low), min(len(text), high + len(p.codes))
-            padded = np.zeros(high - low + len(p.codes), np.uint8)
+            a, b = max(0, low), min(len(text), high + len(p.letters))
+            padded = np.zeros(high - low + len(p.letters), np.uint32)
             padded[a - low : b - low] = text[a:b]
             along = np.lib.stride_tricks.sliding_window_view(_grams(padded), len(grams))
             same = (along == grams).any(axis=0)
-            held = np.zeros(len(p.codes) + 1, np.int32)
+            held = np.zeros(len(p.letters) + 1, np.int32)
             np.add.at(held, np.flatnonzero(same), 1)
             np.add.at(held, np.flatnonzero(same) + GRAM, -1)
             held = _long_runs(np.cumsum(held[:-1]) > 0)
@@ -240,18 +275,19 @@ def _long_runs(held: np.ndarray) -> np.ndarray:
     return np.cumsum(out[:-1]) > 0
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
-    out = codes[: len(codes) - GRAM + 1].astype(np.int64)
+def _grams(letter: np.ndarray) -> np.ndarray:
+    """A hash of each ``GRAM`` letters, without collisions among ASCII ones."""
+    out = letter[: len(letter) - GRAM + 1].astype(np.uint64)
     for i in range(1, GRAM):
-        out = out * 64 + codes[i : len(codes) - GRAM + 1 + i]
+        out = out * np.uint64(1_000_003) + letter[i : len(letter) - GRAM + 1 + i]
     return out
 
 
-def _search(items: list[tuple[int, str]]):
+def _search(tables: Broadcast):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items)
+        matcher: Matcher = tables.value
         ids: list[int] = []
-        texts: list[bytes] = []
+        texts: list[bytes | str] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -279,19 +315,23 @@ def _search(items: list[tuple[int, str]]):
 def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
     """(doc_id, item_id, part): each document with each item of whose passage's words it gives at least ``COVERED``.
 
-    * Null ids or texts, and texts of under ``WINDOW`` letters and digits, give nothing; so do such passages.
+    * Null ids or texts, and texts of under ``WINDOW`` letters and digits, give nothing; so do such passages. Letters of all scripts
+      count; where a script has no blanks between words, each letter is a word.
     * Repeated documents or items each count, once per (doc_id, item_id), with the largest part.
     * Whole texts are searched, whatever their length; a stretch may cross any layout. Other columns are ignored.
 
-    The items are held by every task and are therefore taken in blocks of ``ITEMS`` at most, one pass over the corpus each. No
-    row of the corpus is shuffled before the found pairs are.
+    The items' tables are built once and broadcast, in blocks of at most ``ITEMS`` items and about ``PASSAGES`` characters; each
+    block is a pass over the corpus, and the driver holds one at a time. No row of the corpus is shuffled before the found pairs are.
     """
     wanted = items.select(items[item_id].cast("bigint").alias("i"), items[passage].alias("p")).dropna()
-    blocks = max(1, -(-wanted.count() // ITEMS))
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("p")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size.n // ITEMS), -(-size.chars // PASSAGES))
+    context = documents.sparkSession.sparkContext
     corpus = documents.select(documents[doc_id].cast("bigint").alias("d"), documents[text].alias("t")).where("d IS NOT NULL AND t IS NOT NULL")
     out = None
     for block in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()
-        part = corpus.mapInArrow(_search([(r.i, r.p) for r in rows]), "doc_id bigint, item_id bigint, part double")
+        rows = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).orderBy("i", "p").collect()
+        tables = context.broadcast(Matcher([(r.i, r.p) for r in rows]))
+        part = corpus.mapInArrow(_search(tables), "doc_id bigint, item_id bigint, part double")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(F.max("part").alias("part"))
