@@ -80,7 +80,8 @@ class References:
         for child in children:
             part = self._placed(child).select("k", "epoch").distinct()
             distinct = part if distinct is None else distinct.unionByName(part)
-        distinct = distinct.distinct()
+        # written, so that the rows are read once for the joins below, which see the few distinct references only
+        distinct = written(distinct.distinct(), "references")
         ranges = self.parents.join(self.borders, "k").select(
             "k",
             _epoch(F.col("borders"), F.col("valid_from")).alias("first"),
