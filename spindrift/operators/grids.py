@@ -45,26 +45,31 @@ def histogram(rows: DataFrame, value: str, n: int, by: Sequence[str] = ()) -> Da
     return dense(span, n).join(binned, [*keys, "bin"], "left").select(*by, "bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def smooth(rows: DataFrame, value: str, size: int, by: Sequence[str], index: str = "bin") -> DataFrame:
-    """``value`` replaced by the mean over a boxcar of ``size`` bins, the edges reflected (d c b a | a b c d | d c b a).
+def smoothed(series: Column, size: int) -> Column:
+    """An array with each value replaced by the mean over a boxcar of ``size``, the edges reflected (d c b a | a b c d | d c b a).
 
-    The window of bin i is [i - size // 2, i + size - size // 2 - 1]. Series must be dense in ``index`` from 0. A size of 1 or
-    less changes nothing.
+    The window of value i is [i - size // 2, i + size - size // 2 - 1]. A size of 1 or less changes nothing.
     """
     if size <= 1:
-        return rows
-    at = F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("v"))
-    series = rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(at)), lambda s: s["v"]).alias("_a"))
-    n = F.size("_a")
+        return series
+    n = F.size(series)
 
     def fold(i: Column) -> Column:
         m = F.pmod(i, 2 * n)
         return F.when(m < n, m).otherwise(2 * n - 1 - m)
 
-    window = lambda i: F.transform(F.sequence(i - size // 2, i + size - size // 2 - 1), lambda j: F.get("_a", fold(j)))
-    mean = lambda i: F.aggregate(window(i), F.lit(0.0), lambda a, x: a + x) / size
-    out = series.select(*by, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), mean)).alias(index, "_s"))
-    return rows.join(out, [*by, index]).withColumn(value, F.col("_s")).drop("_s")
+    window = lambda i: F.transform(F.sequence(i - size // 2, i + size - size // 2 - 1), lambda j: F.get(series, fold(j)))
+    mean = lambda x, i: F.aggregate(window(i), F.lit(0.0), lambda a, y: a + y) / size
+    return F.transform(series, mean)
+
+
+def smooth(rows: DataFrame, value: str, size: int, by: Sequence[str], index: str = "bin") -> DataFrame:
+    """(*by, index, value) with ``value`` ``smoothed`` along ``index``, in which each series is dense from 0."""
+    if size <= 1:
+        return rows
+    at = F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("v"))
+    series = rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(at)), lambda s: s["v"]).alias("_a"))
+    return series.select(*by, F.posexplode(smoothed(F.col("_a"), size)).alias(index, value))
 
 
 def trapezoid(rows: DataFrame, x: str, y: str, by: Sequence[str], name: str) -> DataFrame:

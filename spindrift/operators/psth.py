@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators.geometry import top
-from spindrift.operators.grids import bin_of, dense, n_bins, smooth
+from spindrift.operators.grids import bin_of, n_bins, smoothed
 from spindrift.operators.ranges import band_join
 
 
@@ -56,27 +56,40 @@ class Psth:
     def _center(self):
         return F.col("bin") * self.width + (self.width / 2 - self.before)
 
+    def series(self) -> DataFrame:
+        """(key, total_spikes, valid_intervals, rates): a row for every key, its rates by bin as an array, smoothed if asked for.
+
+        One pass over the aligned events: the bins of an interval are listed, so that the first of them also counts the interval,
+        and both counts go on by key and bin.
+        """
+        listed = self._states().groupBy(self.key, "interval_id").agg(F.collect_list(F.struct("bin", "n")).alias("_s"))  # at most `bins` of them
+        each = listed.select(self.key, F.posexplode("_s").alias("_at", "_x")).select(self.key, "_at", "_x.*")
+        bins = each.groupBy(self.key, "bin").agg(F.sum("n").alias("n"), F.count_if(F.col("_at") == 0).alias("v"))
+        found = bins.groupBy(self.key).agg(F.sum("n").alias("total_spikes"), F.sum("v").alias("valid_intervals"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_h"))
+        keys = self.spikes.where(F.col(self.key).isNotNull()).select(self.key).distinct()
+        rows = keys.join(found, self.key, "left").fillna(0, ["total_spikes", "valid_intervals"])
+        per = F.lit(self.intervals.count()) if self.all_trials else F.col("valid_intervals")
+        rate = lambda i: F.coalesce(F.try_divide(F.coalesce(F.col("_h")[i.cast("int")], F.lit(0)) * (self.per_second / self.width), per), F.lit(0.0))
+        rows = rows.withColumn("_r", F.transform(F.sequence(F.lit(0), F.lit(self.bins - 1)), rate))
+        return rows.select(self.key, "total_spikes", "valid_intervals", smoothed(F.col("_r"), self.smoothing).alias("rates"))
+
     def totals(self) -> DataFrame:
         """(key, total_spikes, valid_intervals) of every key, 0 where it has no event in a band."""
-        found = self._states().groupBy(self.key, "interval_id").agg(F.sum("n").alias("n")).groupBy(self.key).agg(F.sum("n").alias("total_spikes"), F.count(F.lit(1)).alias("valid_intervals"))
-        keys = self.spikes.where(F.col(self.key).isNotNull()).select(self.key).distinct()
-        return keys.join(found, self.key, "left").fillna(0, ["total_spikes", "valid_intervals"])
+        return self.series().select(self.key, "total_spikes", "valid_intervals")
 
     def rates(self) -> DataFrame:
         """(key, bin, bin_center, firing_rate): dense, smoothed if asked for."""
-        totals = self.totals()
-        per = F.lit(self.intervals.count()) if self.all_trials else F.col("valid_intervals")
-        rate = F.coalesce(F.try_divide(F.coalesce("hist", F.lit(0)) * (self.per_second / self.width), per), F.lit(0.0))
-        rows = dense(totals, self.bins).join(self.hist().drop("bin_center"), [self.key, "bin"], "left").select(self.key, "bin", self._center().alias("bin_center"), rate.alias("firing_rate"))
-        return smooth(rows, "firing_rate", self.smoothing, [self.key])
+        rows = self.series().select(self.key, F.posexplode("rates").alias("bin", "firing_rate"))
+        return rows.select(self.key, "bin", self._center().alias("bin_center"), "firing_rate")
 
     def stats(self) -> DataFrame:
-        """(key, total_spikes, valid_intervals, baseline_rate, peak_rate, modulation_ratio): baseline is the mean of the first
+        """(key, total_spikes, valid_intervals, baseline_rate, peak_rate, mean_rate, modulation_ratio): baseline is the mean of the first
         quarter of the bins (null below four bins), modulation peak / baseline, null where the baseline isn't positive."""
-        base = F.avg(F.when(F.col("bin") < self.bins // 4, F.col("firing_rate")))
-        rows = self.rates().groupBy(self.key).agg(base.alias("baseline_rate"), F.max("firing_rate").alias("peak_rate"))
-        ratio = F.when(F.col("baseline_rate") > 0, F.col("peak_rate") / F.col("baseline_rate"))
-        return self.totals().join(rows, self.key).select(self.key, "total_spikes", "valid_intervals", "baseline_rate", "peak_rate", ratio.alias("modulation_ratio"))
+        mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
+        quarter = self.bins // 4
+        base = mean(F.slice("rates", 1, quarter)) if quarter else F.lit(None).cast("double")
+        rows = self.series().select(self.key, "total_spikes", "valid_intervals", base.alias("baseline_rate"), F.array_max("rates").alias("peak_rate"), mean(F.col("rates")).alias("mean_rate"))
+        return rows.withColumn("modulation_ratio", F.when(F.col("baseline_rate") > 0, F.col("peak_rate") / F.col("baseline_rate")))
 
     def response_classes(self) -> DataFrame:
         """``stats`` with ``response``: above 1.5 times the baseline responsive, below 0.7 suppressed, else non_responsive;

@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.operators.sessions import sessions
-from spindrift.operators.spectra import welch
+from spindrift.functions.scale import written
+from spindrift.operators.spectra import hann
 
 #: Time units of a block: a minute and a half of 30 kHz ticks.
 BLOCK = 2_700_000
@@ -39,49 +39,92 @@ def intervals(spikes: DataFrame, keys: Sequence[str], row_id: str, block: int =
     return joined.select(*keys, row_id, "time", (F.col("time") - F.coalesce("_prev", "_before")).alias("isi"))
 
 
-def interval_stats(spikes: DataFrame, keys: Sequence[str], row_id: str, block: int = BLOCK) -> DataFrame:
-    """(*keys, n_spikes, mean_isi, std_isi, cv_isi, median_isi, p25_isi, p75_isi): population standard deviation, linear
-    interpolation between ranks; all null but the count for a train of one spike, cv null at a mean of 0."""
-    isi = intervals(spikes, keys, row_id, block)
-    mean, std = F.avg("isi"), F.stddev_pop("isi")
-    q = F.percentile("isi", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = isi.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_spikes"), mean.alias("mean_isi"), std.alias("std_isi"), q.alias("_q"))
-    cv = F.when(F.col("mean_isi") > 0, F.col("std_isi") / F.col("mean_isi"))
-    return out.select(*keys, "n_spikes", "mean_isi", "std_isi", cv.alias("cv_isi"), F.col("_q")[1].alias("median_isi"), F.col("_q")[0].alias("p25_isi"), F.col("_q")[2].alias("p75_isi"))
+def times(spikes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(*keys, time, n): the distinct times of each train and how many spikes they have. Rows without a time or a key are left out."""
+    return spikes.select(*keys, "time").dropna().groupBy(*keys, "time").agg(F.count(F.lit(1)).alias("n"))
+
 
+def timed(spikes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``times`` plus lo, hi and total: the first and last time and the number of spikes of the train."""
+    rows = times(spikes, keys)
+    return rows.join(rows.groupBy(*keys).agg(F.min("time").alias("lo"), F.max("time").alias("hi"), F.sum("n").alias("total")), list(keys))
 
-def sum_before(rows: DataFrame, keys: Sequence[str], at: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
-    """``rows`` plus ``name``: the sum of ``value`` over the rows of the same keys with a smaller ``at`` (distinct within keys).
 
-    Sums run within blocks of ``at``; the blocks' totals are summed up by themselves and added.
+def laid_out(spikes: DataFrame, keys: Sequence[str], max_isi: int, block: int = BLOCK) -> DataFrame:
+    """``timed`` plus isi (the time since the train's previous one, null for the first), run_start (the first time of the run of
+    intervals of at most ``max_isi`` it lies in) and idx (spikes of the train before it).
+
+    One row a time is ordered within blocks; what goes on from block to block (last time, open run, number of spikes) is a state
+    of the block, and only these states of a train are ordered together.
     """
     keys = list(keys)
-    cut = rows.withColumn("_b", F.expr(f"({at} - pmod({at}, {block}L)) div {block}L"))
-    whole = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_b").agg(F.sum(value).alias("_n"))
-    before = totals.select(*keys, "_b", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*keys, "_b").orderBy(at).rowsBetween(W.unboundedPreceding, -1)
-    return cut.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(before, [*keys, "_b"]).withColumn(name, F.col(name) + F.col("_before")).drop("_b", "_before")
+    rows = times(spikes, keys).withColumn("_b", _block(block)).repartition(*keys, "_b")
+    inside = W.partitionBy(*keys, "_b").orderBy("time")
+    d = F.col("time") - F.lag("time").over(inside)
+    breaks = F.when(F.col("_d") > max_isi, F.col("time"))
+    rows = rows.withColumn("_d", d).withColumns({
+        "_run": F.max(breaks).over(inside.rowsBetween(W.unboundedPreceding, 0)),
+        "_n": F.coalesce(F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+    })
+    states = rows.groupBy(*keys, "_b").agg(F.min("time").alias("_first"), F.max("time").alias("_last"), F.sum("n").alias("_sum"), F.max("_run").alias("_break"))
+    chain, whole = W.partitionBy(*keys).orderBy("_b"), W.partitionBy(*keys)
+    earlier = chain.rowsBetween(W.unboundedPreceding, -1)
+    states = states.withColumn("_before", F.lag("_last").over(chain))
+    begins = F.when(F.col("_before").isNull() | (F.col("_first") - F.col("_before") > max_isi), F.col("_first"))
+    states = states.withColumn("_begins", begins).withColumn("_open", F.coalesce("_break", "_begins"))
+    borders = states.select(
+        *keys, "_b", "_before", F.coalesce("_begins", F.max("_open").over(earlier)).alias("_goes_on"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_idx"),
+        F.min("_first").over(whole).alias("lo"), F.max("_last").over(whole).alias("hi"), F.sum("_sum").over(whole).alias("total"),
+    )
+    isi = F.coalesce("_d", F.col("time") - F.col("_before"))
+    return rows.join(borders, [*keys, "_b"]).select(*keys, "time", "n", "lo", "hi", "total", isi.alias("isi"), F.coalesce("_run", "_goes_on").alias("run_start"), (F.col("_n") + F.col("_idx")).alias("idx"))
+
+
+def interval_stats(spikes: DataFrame, keys: Sequence[str], row_id: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(*keys, n_spikes, mean_isi, std_isi, cv_isi, median_isi, p25_isi, p75_isi): population standard deviation, linear
+    interpolation between ranks; all null but the count for a train of one spike, cv null at a mean of 0."""
+    return _interval_stats(laid_out(spikes, keys, 0, block), keys).drop("lo", "hi")
+
+
+def _interval_stats(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``interval_stats`` plus lo and hi from ``laid_out`` trains: the mean is known beforehand, repeated times are intervals of 0."""
+    mean = F.try_divide((F.col("hi") - F.col("lo")).cast("double"), F.col("total") - 1)
+    each = F.filter(F.array(F.struct(F.col("isi").alias("d"), F.lit(1).cast("bigint").alias("f")), F.struct(F.lit(0).cast("bigint").alias("d"), (F.col("n") - 1).alias("f"))), lambda x: x["d"].isNotNull() & (x["f"] > 0))
+    weighed = rows.select(*keys, "lo", "hi", "total", F.explode_outer(each).alias("x")).select(*keys, "lo", "hi", "total", "x.*")
+    q = F.percentile("d", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.coalesce("f", F.lit(0).cast("bigint")))
+    squares = F.sum(F.col("f") * (F.col("d") - mean) * (F.col("d") - mean))
+    out = weighed.groupBy(*keys).agg(F.max("total").alias("n_spikes"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max(mean).alias("mean_isi"), squares.alias("_sq"), q.alias("_q"))
+    out = out.withColumn("std_isi", F.sqrt(F.try_divide("_sq", F.col("n_spikes") - 1)))
+    cv = F.when(F.col("mean_isi") > 0, F.col("std_isi") / F.col("mean_isi"))
+    return out.select(*keys, "n_spikes", "lo", "hi", "mean_isi", "std_isi", cv.alias("cv_isi"), F.col("_q")[1].alias("median_isi"), F.col("_q")[0].alias("p25_isi"), F.col("_q")[2].alias("p75_isi"))
 
 
 def bursts(spikes: DataFrame, keys: Sequence[str], max_isi: int, min_spikes: int = 3, block: int = BLOCK) -> DataFrame:
     """(*keys, start_time, end_time, duration, spike_count, start_idx, end_idx): runs of at least ``min_spikes`` spikes no more than
-    ``max_isi`` apart; indices count from 0 in the train.
+    ``max_isi`` apart; indices count from 0 in the train."""
+    return _bursts(laid_out(spikes, keys, max_isi, block), keys, min_spikes)
 
-    Runs are sessions of the train, and a run's first index is the number of spikes in the runs before it.
-    """
-    runs = sessions(spikes, keys, "time", max_isi, distinct_times=False)
-    placed = sum_before(runs, keys, "start_time", "n_events", "start_idx", block)
-    return placed.where(F.col("n_events") >= min_spikes).select(*keys, "start_time", "end_time", "duration", F.col("n_events").alias("spike_count"), "start_idx", (F.col("start_idx") + F.col("n_events") - 1).alias("end_idx"))
+
+def _bursts(rows: DataFrame, keys: Sequence[str], min_spikes: int) -> DataFrame:
+    runs = rows.groupBy(*keys, "run_start").agg(F.max("time").alias("end_time"), F.sum("n").alias("spike_count"), F.min("idx").alias("start_idx"))
+    end = F.col("start_idx") + F.col("spike_count") - 1
+    return runs.where(F.col("spike_count") >= min_spikes).select(*keys, F.col("run_start").alias("start_time"), "end_time", (F.col("end_time") - F.col("run_start")).alias("duration"), "spike_count", "start_idx", end.alias("end_idx"))
 
 
 def burst_stats(spikes: DataFrame, keys: Sequence[str], max_isi: int, min_spikes: int = 3) -> DataFrame:
     """(*keys, n_spikes, n_bursts, burst_spikes, burst_ratio, mean_duration, mean_spikes): the ratio is bursts per spike; the means
     are null for a train without bursts."""
-    found = bursts(spikes, keys, max_isi, min_spikes).groupBy(*keys).agg(F.count(F.lit(1)).alias("b"), F.sum("spike_count").alias("s"), F.avg("duration").alias("mean_duration"), F.avg("spike_count").alias("mean_spikes"))
-    trains = spikes.where("time IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_spikes"))
-    n = F.coalesce("b", F.lit(0))
-    return trains.join(found, list(keys), "left").select(*keys, "n_spikes", n.alias("n_bursts"), F.coalesce("s", F.lit(0)).alias("burst_spikes"), (n / F.col("n_spikes")).alias("burst_ratio"), "mean_duration", "mean_spikes")
+    return _burst_stats(laid_out(spikes, keys, max_isi), keys, min_spikes)
+
+
+def _burst_stats(rows: DataFrame, keys: Sequence[str], min_spikes: int) -> DataFrame:
+    runs = rows.groupBy(*keys, "run_start").agg((F.max("time") - F.min("time")).alias("d"), F.sum("n").alias("n"))
+    long = F.col("n") >= min_spikes
+    out = runs.groupBy(*keys).agg(
+        F.sum("n").alias("n_spikes"), F.count_if(long).alias("n_bursts"), F.coalesce(F.sum(F.when(long, F.col("n"))), F.lit(0)).alias("burst_spikes"),
+        F.avg(F.when(long, F.col("d"))).alias("mean_duration"), F.avg(F.when(long, F.col("n"))).alias("mean_spikes"),
+    )
+    return out.select(*keys, "n_spikes", "n_bursts", "burst_spikes", (F.col("n_bursts") / F.col("n_spikes")).alias("burst_ratio"), "mean_duration", "mean_spikes")
 
 
 def sliding_rate(spikes: DataFrame, keys: Sequence[str], width: int, step: int, per_second: float) -> DataFrame:
@@ -91,31 +134,37 @@ def sliding_rate(spikes: DataFrame, keys: Sequence[str], width: int, step: int,
     A spike is counted where it is heard, at the at most width / step + 1 grid points around it: no order, no wide frame.
     """
     keys = list(keys)
-    span, heard = _heard(spikes, keys, width, step)
+    rows = timed(spikes, keys)
+    heard = _heard(rows, keys, width, step).select(*keys, "k", F.col("n").alias("_n"))
+    span = rows.where("hi > lo").groupBy(*keys).agg(F.max("lo").alias("lo"), F.max(_last(step)).alias("last"))
     grid = span.select(*keys, "lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("k"))
-    return grid.join(heard, [*keys, "k"], "left").select(*keys, "k", (F.col("lo") + F.col("k") * step).alias("time"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) * float(per_second) / float(width)).alias("rate"))
+    n = F.coalesce("_n", F.lit(0))
+    return grid.join(heard, [*keys, "k"], "left").select(*keys, "k", (F.col("lo") + F.col("k") * step).alias("time"), n.alias("n"), (n * float(per_second) / float(width)).alias("rate"))
+
+
+def _last(step: int):
+    """The last grid point of a ``timed`` train, -1 where there is none."""
+    return F.ceil((F.col("hi") - F.col("lo")) / step) - 1
 
 
-def _heard(spikes: DataFrame, keys: list[str], width: int, step: int) -> tuple[DataFrame, DataFrame]:
-    """(*keys, lo, hi, last) of trains with a grid, ``last`` its last point, and (*keys, k, n) of the points at which spikes are heard."""
-    half = width / 2
-    rows = spikes.where("time IS NOT NULL").groupBy(*keys, "time").agg(F.count(F.lit(1)).alias("n"))
-    span = rows.groupBy(*keys).agg(F.min("time").alias("lo"), F.max("time").alias("hi")).where("hi > lo").withColumn("last", F.ceil((F.col("hi") - F.col("lo")) / step) - 1)
-    rel = F.col("time") - F.col("lo")
-    a, b = F.greatest(F.ceil((rel - half) / step), F.lit(0)), F.least(F.floor((rel + half) / step), F.col("last"))
-    heard = rows.join(span, keys).withColumn("a", a).withColumn("b", b).where("a <= b").select(*keys, "n", F.explode(F.sequence("a", "b")).alias("k")).groupBy(*keys, "k").agg(F.sum("n").alias("n"))
-    return span, heard
+def _heard(rows: DataFrame, keys: list[str], width: int, step: int) -> DataFrame:
+    """(*keys, k, n, last): the grid points at which spikes of ``timed`` trains are heard, and the train's last point."""
+    half, rel, last = width / 2, F.col("time") - F.col("lo"), _last(step)
+    points = F.sequence(F.greatest(F.ceil((rel - half) / step), F.lit(0)), F.least(F.floor((rel + half) / step), F.col("last")))
+    near = rows.withColumn("last", last).where(F.greatest(F.ceil((rel - half) / step), F.lit(0)) <= F.least(F.floor((rel + half) / step), F.col("last")))
+    return near.select(*keys, "n", "last", F.explode(points).alias("k")).groupBy(*keys, "k").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
 
 def sliding_rate_stats(spikes: DataFrame, keys: Sequence[str], width: int, step: int, per_second: float) -> DataFrame:
     """``sliding_stats`` of ``sliding_rate`` over the whole grid, without laying out the points at which nothing is heard."""
-    keys = list(keys)
-    span, heard = _heard(spikes, keys, width, step)
-    found = heard.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("points"), F.min("n").alias("least"), F.max("n").alias("most"))
-    points = F.col("last") + 1
-    least = F.when(F.col("points") < points, F.lit(0)).otherwise(F.col("least"))
+    return _rate_stats(timed(spikes, keys), list(keys), width, step, per_second)
+
+
+def _rate_stats(rows: DataFrame, keys: list[str], width: int, step: int, per_second: float) -> DataFrame:
+    found = _heard(rows, keys, width, step).groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("heard"), F.min("n").alias("least"), F.max("n").alias("most"), (F.max("last") + 1).alias("points"))
+    least = F.when(F.col("heard") < F.col("points"), F.lit(0)).otherwise(F.col("least"))
     rate = lambda n: n * float(per_second) / float(width)
-    return span.join(found, keys).select(*keys, (F.col("n") * float(per_second) / (points * float(width))).alias("mean_rate"), rate(F.col("most")).alias("max_rate"), rate(least).alias("min_rate"))
+    return found.select(*keys, (F.col("n") * float(per_second) / (F.col("points") * float(width))).alias("mean_rate"), rate(F.col("most")).alias("max_rate"), rate(least).alias("min_rate"))
 
 
 def sliding_stats(rates: DataFrame, keys: Sequence[str], width: int, per_second: float) -> DataFrame:
@@ -180,32 +229,91 @@ def cross_correlogram(spikes: DataFrame, by: Sequence[str], first: int, second:
     return grid.join(counts, [*to, "lag"], "left").select(*to, "lag", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: The longest segment of a train's spectrum, in bins, and the occupied bins transformed at once.
+SEGMENT, OCCUPIED = 2048, 4096
+
+
 def train_spectra(spikes: DataFrame, keys: Sequence[str], width: int, per_second: float, max_frequency: float = 100.0, least: int = 10, *, whole: bool = True) -> DataFrame:
     """(*keys, dominant_frequency, frequencies, power): the Welch spectrum of a train's bins up to ``max_frequency`` as two arrays, and
-    the frequency above 0 with the most power, the lowest among equals. ``whole=False`` leaves the arrays out.
+    the frequency above 0 with the most power, the lowest among equals (up to 1e-9 of the power: a train whose segments hold
+    one spike each has the same power everywhere). ``whole=False`` leaves the arrays out.
 
-    All null for trains of fewer than ``least`` spikes or too short for a spectrum. Only a train's occupied bins are shuffled; a
-    task lays out one train of n_bins numbers at a time.
+    All null for trains of fewer than ``least`` spikes or too short for a spectrum. An occupied bin goes into the two segments at
+    most that hold it, each segment is transformed by itself from its occupied bins, and the spectra are summed: no task holds
+    a train. Segments without a spike have no power.
     """
     keys = list(keys)
-    trains = spikes.where("time IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    bins = binned(spikes.join(trains.where(F.col("n") >= least), keys, "left_semi"), keys, width)
-    packed = bins.groupBy(*keys, "n_bins").agg(F.collect_list("bin").alias("bins"))
+    rows = timed(spikes, keys)
+    found = _spectra(rows, keys, width, per_second, max_frequency, least, whole)
+    return rows.select(*keys).distinct().join(found, keys, "left")
+
+
+def _spectra(rows: DataFrame, keys: list[str], width: int, per_second: float, max_frequency: float, least: int, whole: bool) -> DataFrame:
+    rate = per_second / width
+    bins = rows.where(F.col("total") >= least).select(*keys, F.expr(f"(time - lo) div {width}L").alias("bin"), F.expr(f"(hi - lo) div {width}L").alias("n_bins")).where("bin < n_bins")
+    sized = bins.withColumn("size", F.expr(f"least({SEGMENT}L, n_bins div 4)")).where("size >= 2").withColumn("step", F.expr("size - size div 2")).withColumn("segments", F.expr("(n_bins - size) div step + 1"))
+    first, last = F.expr("greatest(0L, (bin - size + step) div step)"), F.expr("least(bin div step, segments - 1)")
+    placed = sized.where(first <= last).select(*keys, "size", "segments", "step", "bin", F.explode(F.sequence(first, last)).alias("segment"))
+    packed = placed.groupBy(*keys, "size", "segments", "segment").agg(F.array_sort(F.collect_set(F.col("bin") - F.col("segment") * F.col("step"))).alias("bins"))
     fields = [packed.schema[k] for k in keys]
-    arrays = ["frequencies", "power"] if whole else []
+    partial = T.StructType([*fields, T.StructField("size", T.LongType()), T.StructField("segments", T.LongType()), T.StructField("power", T.ArrayType(T.DoubleType()))])
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def transform(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [_spectrum(np.asarray(b), int(n), per_second / width, max_frequency) for b, n in zip(f["bins"], f["n_bins"], strict=True)]
-            out = f[keys].assign(dominant_frequency=pd.Series([x and x[0] for x in found], dtype=float, index=f.index))
-            for i, name in enumerate(arrays, 1):
-                out[name] = pd.Series([x and x[i] for x in found], dtype=object, index=f.index)
-            yield out
+            for size, mine in f.groupby("size", sort=False):
+                yield _summed(mine.assign(power=list(_segment_powers(mine["bins"].to_list(), int(size), rate, max_frequency))), keys)[[*keys, "size", "segments", "power"]]
 
-    schema = T.StructType([*fields, T.StructField("dominant_frequency", T.DoubleType()), *(T.StructField(a, T.ArrayType(T.DoubleType())) for a in arrays)])
-    found = packed.mapInPandas(task, schema)
-    dominant = F.when(~F.isnan("dominant_frequency"), F.col("dominant_frequency"))
-    return trains.select(*keys).join(found.withColumn("dominant_frequency", dominant), keys, "left")
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry = None
+        for f in frames:
+            if len(f):
+                f = _summed(f if carry is None else pd.concat([carry, f]), keys)
+                carry = f.iloc[-1:]
+                if len(f) > 1:
+                    yield f.iloc[:-1]
+        if carry is not None:
+            yield carry
+
+    sums = packed.mapInPandas(transform, partial).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(add, partial)
+    power = F.transform("power", lambda p: p / F.col("segments"))
+    spectra = sums.select(*keys, "size", power.alias("power")).where(F.size("power") > 1)
+    rest = F.slice("power", F.lit(2), F.size("power") - 1)
+    peak = F.array_position(F.transform(rest, lambda p: p >= F.array_max(rest) * (1 - 1e-9)), True)
+    hertz = lambda k: k * F.lit(float(rate)) / F.col("size")
+    arrays = [F.transform(F.sequence(F.lit(0), F.size("power") - 1), hertz).alias("frequencies"), "power"] if whole else []
+    return spectra.select(*keys, hertz(peak).alias("dominant_frequency"), *arrays)
+
+
+def _summed(f: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """One row for each run of rows with equal keys (rows of equal keys put together), their powers added up."""
+    f = f.sort_values(keys, kind="stable")
+    starts = np.flatnonzero((f[keys] != f[keys].shift()).any(axis=1).to_numpy())
+    powers = f["power"].to_list()
+    same = len({len(p) for p in powers}) == 1
+    sums = list(np.add.reduceat(np.array(powers), starts, axis=0)) if same else [np.sum(powers[a:b], axis=0) for a, b in zip(starts, [*starts[1:], len(f)], strict=True)]
+    return f.iloc[starts].assign(power=sums)
+
+
+def _segment_powers(segments: list[np.ndarray], size: int, rate: float, max_frequency: float) -> Iterator[np.ndarray]:
+    """The one-sided power density up to ``max_frequency`` of each segment of ``size`` bins, from its occupied bins: mean removed, Hann
+    window. The mean's part of the transform is known, the window has three frequencies."""
+    window = hann(size)
+    k = np.arange(int((np.fft.rfftfreq(size, 1 / rate) <= max_frequency).sum()))
+    flat = -size / 4 * ((k == 1).astype(float) + ((k + 1) % size == 0)) + size / 2 * (k == 0)
+    scale = np.where((k == 0) | (2 * k == size), 1.0, 2.0) / (rate * (window * window).sum())
+    table = window[:, None] * np.exp(-2j * np.pi * (np.outer(np.arange(size), k) % size) / size) if sum(map(len, segments)) > size else None
+    begin = 0
+    while begin < len(segments):
+        end, held = begin, 0
+        while end < len(segments) and (end == begin or held + len(segments[end]) <= OCCUPIED):
+            held += len(segments[end])
+            end += 1
+        lengths = np.array([len(s) for s in segments[begin:end]])
+        at = np.concatenate(segments[begin:end]).astype(np.int64)
+        waves = table[at] if table is not None else window[at][:, None] * np.exp(-2j * np.pi * (np.outer(at, k) % size) / size)
+        found = np.add.reduceat(waves, np.cumsum(lengths) - lengths, axis=0) - (lengths / size)[:, None] * flat
+        yield from (found.real**2 + found.imag**2) * scale
+        begin = end
 
 
 def dominant_frequencies(spikes: DataFrame, keys: Sequence[str], width: int, per_second: float, max_frequency: float = 100.0, least: int = 10) -> DataFrame:
@@ -213,18 +321,6 @@ def dominant_frequencies(spikes: DataFrame, keys: Sequence[str], width: int, per
     return train_spectra(spikes, keys, width, per_second, max_frequency, least, whole=False)
 
 
-def _spectrum(bins: np.ndarray, n: int, rate: float, max_frequency: float) -> tuple[float, np.ndarray, np.ndarray] | None:
-    segment = min(2048, n // 4)
-    if segment < 2:
-        return None
-    train = np.zeros(n)
-    train[bins] = 1
-    frequencies, power = welch(train, rate, segment)
-    keep = frequencies <= max_frequency
-    frequencies, power = frequencies[keep], power[keep]
-    return (float(frequencies[np.argmax(power[1:]) + 1]), frequencies, power) if len(power) > 1 else None
-
-
 def classes(features: DataFrame) -> DataFrame:
     """``features`` (n_spikes, burst_ratio, dominant_frequency, cv_isi) plus pattern_type and confidence: the first that holds of too
     few spikes, bursting, rhythmic, regular, irregular; else tonic. A null cv (mean interval 0) counts as infinite."""
@@ -237,36 +333,46 @@ def classes(features: DataFrame) -> DataFrame:
     return features.withColumn("pattern_type", kind).withColumn("confidence", sure)
 
 
-def patterns(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: float, max_isi: int, min_spikes: int = 3, width: int = 30, window: int = 30_000, step: int = 3_000, rhythm: bool = True) -> DataFrame:
+def patterns(spikes: DataFrame, keys: Sequence[str], per_second: float, max_isi: int, min_spikes: int = 3, width: int = 30, window: int = 30_000, step: int = 3_000, max_frequency: float = 100.0) -> DataFrame:
     """One row a train: interval, sliding-rate and burst statistics, dominant frequency, class and confidence, and ``error`` (null,
     or why there is no analysis: fewer than two spikes).
 
-    With ``rhythm=False`` the dominant frequency is null and no train is classed as rhythmic.
+    The trains are laid out and written once; every part is an aggregate over them by train.
     """
-    keys = list(keys)
-    stats = interval_stats(spikes, keys, row_id)
-    span = spikes.where("time IS NOT NULL").groupBy(*keys).agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
-    rates = sliding_rate_stats(spikes, keys, window, step, per_second).withColumnsRenamed({f"{c}_rate": f"{c}_sliding" for c in ("mean", "max", "min")})
-    found = burst_stats(spikes, keys, max_isi, min_spikes).drop("n_spikes")
-    joined = stats.join(span, keys).join(rates, keys, "left").join(found, keys)
-    joined = joined.join(dominant_frequencies(spikes, keys, width, per_second), keys, "left") if rhythm else joined.withColumn("dominant_frequency", F.lit(None).cast("double"))
+    return _patterns(written(laid_out(spikes, keys, max_isi), "trains"), list(keys), per_second, min_spikes, width, window, step, max_frequency)
+
+
+def _patterns(rows: DataFrame, keys: list[str], per_second: float, min_spikes: int, width: int, window: int, step: int, max_frequency: float) -> DataFrame:
+    rates = _rate_stats(rows, keys, window, step, per_second).withColumnsRenamed({f"{c}_rate": f"{c}_sliding" for c in ("mean", "max", "min")})
+    found = _burst_stats(rows, keys, min_spikes).drop("n_spikes")
+    rhythm = _spectra(rows, keys, width, per_second, max_frequency, 10, False)
+    joined = _interval_stats(rows, keys).join(found, keys).join(rates, keys, "left").join(rhythm, keys, "left")
     rate = F.try_divide(F.col("n_spikes") * float(per_second), F.col("hi") - F.col("lo"))
     out = classes(joined.withColumn("mean_rate", rate)).drop("lo", "hi")
     return out.withColumn("error", F.when(F.col("n_spikes") < 2, "Not enough spikes for analysis"))
 
 
-def pattern_records(spikes: DataFrame, keys: Sequence[str], row_id: str, per_second: float, max_isi: int, min_spikes: int = 3, window: int = 30_000, step: int = 3_000, **parameters) -> DataFrame:
-    """``patterns`` with what they were found in, packed by train: isi (array), rates (array of time and rate) and bursts (array of
-    start, end, count and indices), each in order of time and empty where there is none. Made for export, a record a train."""
+def pattern_records(spikes: DataFrame, keys: Sequence[str], per_second: float, max_isi: int, min_spikes: int = 3, width: int = 30, window: int = 30_000, step: int = 3_000, max_frequency: float = 100.0, block: int = BLOCK) -> DataFrame:
+    """``patterns`` with what they were found in, for export: part (block of time, counted from the train's first spike), isi (array of
+    time, isi and n), rates (array of time and rate) and bursts (array of start, end, count and indices; a burst belongs to the part it
+    starts in), each in order of time. A train has a record for every part of it, and a record holds one part's content only.
+    """
     keys = list(keys)
-    base = patterns(spikes, keys, row_id, per_second, max_isi, min_spikes, window=window, step=step, **parameters)
-
-    def packed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
-
-    isi = packed(intervals(spikes, keys, row_id).where("isi IS NOT NULL"), "isi", "time", row_id, "isi").withColumn("isi", F.transform("isi", lambda x: x["isi"]))
-    rates = packed(sliding_rate(spikes, keys, window, step, per_second), "rates", "time", "rate")
-    found = packed(bursts(spikes, keys, max_isi, min_spikes), "bursts", "start_time", "end_time", "duration", "spike_count", "start_idx", "end_idx")
-    for part, name in ((isi, "isi"), (rates, "rates"), (found, "bursts")):
-        base = base.join(part, keys, "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
-    return base
+    rows = written(laid_out(spikes, keys, max_isi), "trains")
+    part = lambda at: F.expr(f"({at} - lo) div {block}L").alias("part")
+
+    def packed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    isi = packed(rows.select(*keys, part("time"), "time", "isi", "n"), "isi", "time", "isi", "n")
+    heard = _heard(rows, keys, window, step).select(*keys, "k", F.col("n").alias("_n"))
+    span = rows.where("hi > lo").groupBy(*keys).agg(F.max("lo").alias("lo"), F.max(_last(step)).alias("last"))
+    grid = span.select(*keys, "lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("k")).join(heard, [*keys, "k"], "left")
+    grid = grid.select(*keys, "lo", (F.col("lo") + F.col("k") * step).alias("time"), (F.coalesce("_n", F.lit(0)) * float(per_second) / float(window)).alias("rate"))
+    rates = packed(grid.select(*keys, part("time"), "time", "rate"), "rates", "time", "rate")
+    runs = rows.groupBy(*keys, "run_start").agg(F.max("lo").alias("lo"), F.max("time").alias("end_time"), F.sum("n").alias("spike_count"), F.min("idx").alias("start_idx")).where(F.col("spike_count") >= min_spikes)
+    runs = runs.select(*keys, part("run_start"), F.col("run_start").alias("start_time"), "end_time", (F.col("end_time") - F.col("run_start")).alias("duration"), "spike_count", "start_idx", (F.col("start_idx") + F.col("spike_count") - 1).alias("end_idx"))
+    found = packed(runs, "bursts", "start_time", "end_time", "duration", "spike_count", "start_idx", "end_idx")
+    parts = isi.join(rates, [*keys, "part"], "full").join(found, [*keys, "part"], "left")
+    parts = parts.withColumns({c: F.coalesce(c, F.array().cast(parts.schema[c].dataType)) for c in ("isi", "rates", "bursts")})
+    return _patterns(rows, keys, per_second, min_spikes, width, window, step, max_frequency).join(parts, keys)

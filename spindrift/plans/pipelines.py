@@ -50,7 +50,7 @@ def pattern_analysis(spikes: DataFrame, per_second: float, max_isi: int, units:
     rows = _one_recording(spikes)
     if units:
         rows = rows.where(F.col("unit").isin(units))
-    patterns = trains.patterns(rows, ["recording_id", "unit"], "spike_id", per_second, max_isi, **parameters)
+    patterns = trains.patterns(rows, ["recording_id", "unit"], per_second, max_isi, **parameters)
     good = patterns.where("error IS NULL")
     return {"patterns": patterns, "classes": good.groupBy("pattern_type").agg(F.count(F.lit(1)).alias("n_trains"), F.avg("confidence").alias("mean_confidence")), "bursts": trains.bursts(rows, ["recording_id", "unit"], max_isi)}
 

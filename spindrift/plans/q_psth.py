@@ -18,11 +18,13 @@ PER = TICKS_PER_SECOND
 BEFORE, AFTER, WIDTH = PER // 2, PER, PER // 20
 BINS = (BEFORE + AFTER) // WIDTH
 SMOOTHING = 3
+#: Half a minute before and after the start by 3 s: wide enough that few units lack a baseline.
+WIDE = {"before": 30 * PER, "after": 30 * PER, "width": 3 * PER}
 
 
-def psth(spark: SparkSession, d: str, key: str = "unit") -> Psth:
+def psth(spark: SparkSession, d: str, key: str = "unit", before: int = BEFORE, after: int = AFTER, width: int = WIDTH) -> Psth:
     r = recording(spark, d)
-    return Psth(r.spikes, r.intervals.where("End > Start"), key, before=BEFORE, after=AFTER, width=WIDTH, per_second=float(PER))
+    return Psth(r.spikes, r.intervals.where("End > Start"), key, before=before, after=after, width=width, per_second=float(PER))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -42,7 +44,7 @@ def psth_rate_smoothed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def psth_unit_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(psth(spark, d).stats(), "baseline_rate", "peak_rate", "modulation_ratio")
+    return _rounded(psth(spark, d).stats().drop("mean_rate"), "baseline_rate", "peak_rate", "modulation_ratio")
 
 
 def psth_response_class(spark: SparkSession, d: str) -> DataFrame:
@@ -69,10 +71,9 @@ def psth_channel(spark: SparkSession, d: str) -> DataFrame:
 
 def psth_channel_stats(spark: SparkSession, d: str) -> DataFrame:
     """Units, aligned spikes, intervals, peak and mean rate of each channel."""
-    p = psth(spark, d, "electrode")
-    rates = p.rates().groupBy("electrode").agg(F.max("firing_rate").alias("peak_rate"), F.avg("firing_rate").alias("mean_rate"))
+    stats = psth(spark, d, "electrode").stats().select("electrode", "total_spikes", "valid_intervals", "peak_rate", "mean_rate")
     units = recording(spark, d).spikes.where("electrode IS NOT NULL").groupBy("electrode", "unit").agg(F.lit(1)).groupBy("electrode").agg(F.count(F.lit(1)).alias("n_units"))
-    return _rounded(p.totals().join(rates, "electrode").join(units, "electrode"), "peak_rate", "mean_rate")
+    return _rounded(stats.join(units, "electrode"), "peak_rate", "mean_rate")
 
 
 def _channel_correlations(spark: SparkSession, d: str) -> DataFrame:
@@ -103,9 +104,10 @@ def modulation_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_modulated_units(spark: SparkSession, d: str) -> DataFrame:
-    """The five most modulated units, unbounded modulation first; of these the ones with a finite ratio."""
+    """The five most modulated units, unbounded modulation first; of these the ones with a finite ratio. Around
+    starts of stimuli by half a minute."""
     unbounded = F.col("modulation_ratio").desc_nulls_first()
-    five = _rounded(psth(spark, d).stats(), "modulation_ratio").orderBy(unbounded, "unit").limit(5)
+    five = _rounded(psth(spark, d, **WIDE).stats(), "modulation_ratio").orderBy(unbounded, "unit").limit(5)
     ranked = five.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(unbounded, "unit")))
     return ranked.where("modulation_ratio IS NOT NULL").select("rank", "unit", "modulation_ratio")
 
@@ -122,14 +124,15 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
-def _sql(key: str = "unit") -> str:
+def _sql(key: str = "unit", before: int = BEFORE, after: int = AFTER, width: int = WIDTH) -> str:
+    bins = (before + after) // width
     return SQL + f""", al AS (SELECT s.{key} AS key, i.interval_id, s.time - i.a AS rel FROM spikes s JOIN intervals i ON s.recording_id = i.recording_id AND i.b > i.a
-  AND s.time >= i.a - {BEFORE} AND s.time <= i.a + {AFTER} WHERE s.{key} IS NOT NULL),
-h AS (SELECT key, CAST(least((rel + {BEFORE}) // {WIDTH}, {BINS - 1}) AS INT) AS bin, count(*) AS hist FROM al GROUP BY ALL),
+  AND s.time >= i.a - {before} AND s.time <= i.a + {after} WHERE s.{key} IS NOT NULL),
+h AS (SELECT key, CAST(least((rel + {before}) // {width}, {bins - 1}) AS INT) AS bin, count(*) AS hist FROM al GROUP BY ALL),
 totals AS (SELECT k.key, count(al.key) AS total_spikes, count(DISTINCT al.interval_id) AS valid_intervals FROM (SELECT DISTINCT {key} AS key FROM spikes WHERE {key} IS NOT NULL) k LEFT JOIN al ON al.key = k.key GROUP BY k.key),
-grid AS (SELECT key, valid_intervals, CAST(unnest(range(0, {BINS})) AS INT) AS bin FROM totals),
-rates AS (SELECT g.key, g.bin, CAST(g.bin * {WIDTH} + {WIDTH / 2 - BEFORE} AS DOUBLE) AS bin_center, coalesce(CAST(coalesce(h.hist, 0) AS DOUBLE) * {PER / WIDTH} / nullif(valid_intervals, 0), 0) AS rate FROM grid g LEFT JOIN h ON h.key = g.key AND h.bin = g.bin),
-base AS (SELECT key, avg(CASE WHEN bin < {BINS // 4} THEN rate END) AS baseline_rate, max(rate) AS peak_rate, avg(rate) AS mean_rate FROM rates GROUP BY key),
+grid AS (SELECT key, valid_intervals, CAST(unnest(range(0, {bins})) AS INT) AS bin FROM totals),
+rates AS (SELECT g.key, g.bin, CAST(g.bin * {width} + {width / 2 - before} AS DOUBLE) AS bin_center, coalesce(CAST(coalesce(h.hist, 0) AS DOUBLE) * {PER / width} / nullif(valid_intervals, 0), 0) AS rate FROM grid g LEFT JOIN h ON h.key = g.key AND h.bin = g.bin),
+base AS (SELECT key, avg(CASE WHEN bin < {bins // 4} THEN rate END) AS baseline_rate, max(rate) AS peak_rate, avg(rate) AS mean_rate FROM rates GROUP BY key),
 stats AS (SELECT t.key, total_spikes, valid_intervals, baseline_rate, peak_rate, mean_rate, CASE WHEN baseline_rate > 0 THEN peak_rate / baseline_rate END AS modulation_ratio FROM totals t JOIN base b ON t.key = b.key),
 classes AS (SELECT *, CASE WHEN baseline_rate > 0 THEN CASE WHEN modulation_ratio > 1.5 THEN 'responsive' WHEN modulation_ratio < 0.7 THEN 'suppressed' ELSE 'non_responsive' END WHEN peak_rate > 0 THEN 'responsive' ELSE 'non_responsive' END AS response FROM stats)
 """
@@ -161,7 +164,7 @@ SELECT f.key AS unit, f.bin, f.bin_center, round(avg(r.rate), 6) AS firing_rate
 SELECT key AS unit, CAST(trial AS INT) AS trial, interval_id, rel FROM t WHERE trial < 50""",
     "modulation_summary": _sql() + """SELECT round(avg(baseline_rate), 6) AS mean_baseline, round(stddev_pop(baseline_rate), 6) AS std_baseline, round(avg(peak_rate), 6) AS mean_peak, round(stddev_pop(peak_rate), 6) AS std_peak,
   round(avg(modulation_ratio), 6) AS mean_modulation, round(stddev_pop(modulation_ratio), 6) AS std_modulation FROM stats""",
-    "top_modulated_units": _sql() + """SELECT rank, unit, modulation_ratio FROM (SELECT CAST(row_number() OVER (ORDER BY round(modulation_ratio, 6) DESC NULLS FIRST, key) AS INT) AS rank, key AS unit, round(modulation_ratio, 6) AS modulation_ratio FROM stats) WHERE rank <= 5 AND modulation_ratio IS NOT NULL""",
+    "top_modulated_units": _sql(**WIDE) + """SELECT rank, unit, modulation_ratio FROM (SELECT CAST(row_number() OVER (ORDER BY round(modulation_ratio, 6) DESC NULLS FIRST, key) AS INT) AS rank, key AS unit, round(modulation_ratio, 6) AS modulation_ratio FROM stats) WHERE rank <= 5 AND modulation_ratio IS NOT NULL""",
     "modulation_histogram": _sql() + """, v AS (SELECT round(modulation_ratio, 6) AS v FROM stats WHERE modulation_ratio < 10), e AS (SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo, CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM v),
 p AS (SELECT least(floor((v - lo) / ((hi - lo) / 20)), 19) AS bin, count(*) AS n FROM v, e GROUP BY ALL), g AS (SELECT lo, hi, unnest(range(0, 20)) AS bin FROM e)
 SELECT CAST(g.bin AS INT) AS bin, round(lo + g.bin * ((hi - lo) / 20), 6) AS low, round(lo + (g.bin + 1) * ((hi - lo) / 20), 6) AS high, coalesce(n, 0) AS count FROM g LEFT JOIN p ON g.bin = p.bin""",

@@ -33,7 +33,7 @@ def isi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def isi_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(T.interval_stats(_spikes(spark, d), TRAIN, "spike_id"), "mean_isi", "std_isi", "cv_isi", "median_isi", "p25_isi", "p75_isi")
+    return _rounded(T.interval_stats(_spikes(spark, d), TRAIN), "mean_isi", "std_isi", "cv_isi", "median_isi", "p25_isi", "p75_isi")
 
 
 def isi_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -82,28 +82,30 @@ def xcorr_peak(spark: SparkSession, d: str) -> DataFrame:
 
 
 def train_dominant_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return T.dominant_frequencies(_spikes(spark, d), TRAIN, BIN, PER, max_frequency=MAX_FREQUENCY)
-
-
-def pattern_features(spark: SparkSession, d: str) -> DataFrame:
-    """The main features of every train and its class, rhythm included."""
-    out = pattern_analysis(spark, d)
-    return _rounded(out.select(*TRAIN, "n_spikes", "cv_isi", "mean_rate", "mean_sliding", "n_bursts", "burst_ratio", "pattern_type", "confidence", "error"), "cv_isi", "mean_rate", "burst_ratio", "confidence")
+    return _rounded(T.dominant_frequencies(_spikes(spark, d), TRAIN, BIN, PER, max_frequency=MAX_FREQUENCY), "dominant_frequency")
 
 
 def pattern_analysis(spark: SparkSession, d: str) -> DataFrame:
     """The analysis of every train, rhythm included."""
-    return T.patterns(_spikes(spark, d), TRAIN, "spike_id", PER, MAX_ISI, MIN_SPIKES, BIN, WINDOW, STEP)
+    out = T.patterns(_spikes(spark, d), TRAIN, PER, MAX_ISI, MIN_SPIKES, BIN, WINDOW, STEP, MAX_FREQUENCY)
+    return _rounded(out, *(f.name for f in out.schema.fields if f.dataType.typeName() == "double"))
+
+
+def pattern_features(spark: SparkSession, d: str) -> DataFrame:
+    """The main features of every train and its class, rhythm included."""
+    return pattern_analysis(spark, d).select(*TRAIN, "n_spikes", "cv_isi", "mean_rate", "mean_sliding", "n_bursts", "burst_ratio", "dominant_frequency", "pattern_type", "confidence", "error")
 
 
 def train_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    """The spectrum of every train as arrays."""
-    return T.train_spectra(_spikes(spark, d), TRAIN, BIN, PER, max_frequency=MAX_FREQUENCY)
+    """The spectrum of every train that has one, a row a frequency, power in thousandths."""
+    out = T.train_spectra(_spikes(spark, d), TRAIN, BIN, PER, max_frequency=MAX_FREQUENCY).where("power IS NOT NULL")
+    rows = out.select(*TRAIN, F.posexplode(F.arrays_zip("frequencies", "power")).alias("k", "x"))
+    return rows.select(*TRAIN, "k", F.round("x.frequencies", 6).alias("frequency"), F.round(F.col("x.power") * 1000, 4).alias("power"))
 
 
 def pattern_records(spark: SparkSession, d: str) -> DataFrame:
-    """The analysis of every train with its intervals, rates and bursts packed for export."""
-    return T.pattern_records(_spikes(spark, d), TRAIN, "spike_id", PER, MAX_ISI, MIN_SPIKES, width=BIN, window=WINDOW, step=STEP)
+    """The analysis of every train with its intervals, rates and bursts packed for export, in parts."""
+    return T.pattern_records(_spikes(spark, d), TRAIN, PER, MAX_ISI, MIN_SPIKES, BIN, WINDOW, STEP, MAX_FREQUENCY)
 
 
 def pattern_class_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -143,14 +145,26 @@ common AS (SELECT recording_id, max(lo) AS lo, min(hi) AS hi FROM span GROUP BY
 bins AS (SELECT DISTINCT p.recording_id, k, (time - lo) // {BIN} AS bin FROM pair p JOIN common c ON c.recording_id = p.recording_id WHERE time BETWEEN lo AND hi AND (time - lo) // {BIN} < (hi - lo) // {BIN}),
 lags AS (SELECT a.recording_id, a.bin - b.bin AS lag, count(*) AS n FROM bins a JOIN bins b ON a.recording_id = b.recording_id AND a.k = 1 AND b.k = 2 AND a.bin - b.bin BETWEEN {-MAX_LAG} AND {MAX_LAG} GROUP BY ALL)
 """
-_FEATURES = _BURSTS + _SLIDING + f""", f AS (SELECT i.recording_id, i.unit, i.n_spikes, i.cv_isi, i.n_spikes * {PER}.0::DOUBLE / nullif(s.hi - s.lo, 0) AS mean_rate, m.mean_sliding, b.n_bursts, b.burst_ratio FROM isi_stats i
-  JOIN span s ON s.recording_id = i.recording_id AND s.unit = i.unit JOIN burst_stats b ON b.recording_id = i.recording_id AND b.unit = i.unit
-  LEFT JOIN (SELECT recording_id, unit, sum(n) * {PER}.0::DOUBLE / (count(*) * {WINDOW}) AS mean_sliding FROM sliding GROUP BY ALL) m ON m.recording_id = i.recording_id AND m.unit = i.unit),
+# Spectra of trains from their occupied bins: the transform of a segment is the sum over these, less the mean's part.
+_SPECTRA = f""", lengths AS (SELECT recording_id, unit, lo, (hi - lo) // {BIN} AS n_bins FROM (SELECT recording_id, unit, min(time) AS lo, max(time) AS hi, count(*) AS n FROM spikes GROUP BY ALL) WHERE n >= 10),
+sized AS (SELECT *, least(2048, n_bins // 4) AS size, least(2048, n_bins // 4) - least(2048, n_bins // 4) // 2 AS step FROM lengths WHERE n_bins // 4 >= 2),
+occupied AS (SELECT DISTINCT s.recording_id, s.unit, size, step, (n_bins - size) // step + 1 AS segments, (time - lo) // {BIN} AS bin FROM spikes s JOIN sized z ON z.recording_id = s.recording_id AND z.unit = s.unit WHERE (time - lo) // {BIN} < n_bins),
+cut AS (SELECT *, unnest(range(greatest(0, (bin - size + step) // step), least(bin // step, segments - 1) + 1)) AS segment FROM occupied),
+waves AS (SELECT recording_id, unit, size, segments, segment, bin - segment * step AS i, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (bin - segment * step) / size) AS w, unnest(range(0, size // {1000 // int(MAX_FREQUENCY)} + 1)) AS k FROM cut),
+parts AS (SELECT recording_id, unit, size, segments, segment, k, sum(w * cos(2 * pi() * ((k * i) % size) / size)) - count(*) / CAST(size AS DOUBLE) * (CASE WHEN k = 0 THEN size / 2.0::DOUBLE ELSE 0 END - size / 4.0::DOUBLE * (CASE WHEN k = 1 THEN 1 ELSE 0 END + CASE WHEN k = size - 1 THEN 1 ELSE 0 END)) AS re,
+  sum(w * sin(2 * pi() * ((k * i) % size) / size)) AS im FROM waves GROUP BY recording_id, unit, size, segments, segment, k),
+spectrum AS (SELECT recording_id, unit, k, k * {PER // BIN}.0::DOUBLE / size AS frequency, sum(re * re + im * im) * CASE WHEN k = 0 OR 2 * k = size THEN 1 ELSE 2 END / ({PER // BIN}.0::DOUBLE * any_value(h)) / any_value(segments) AS power
+  FROM parts JOIN (SELECT size AS s, sum(power(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / size), 2)) AS h FROM (SELECT size, unnest(range(0, size)) AS j FROM (SELECT DISTINCT size FROM sized)) GROUP BY size) ON s = size GROUP BY recording_id, unit, k, size),
+dominant AS (SELECT recording_id, unit, min(frequency) AS dominant_frequency FROM (SELECT *, max(power) OVER (PARTITION BY recording_id, unit) AS top FROM spectrum WHERE k > 0) WHERE power >= top * (1 - 1e-9) GROUP BY ALL)
+"""
+_FEATURES = _BURSTS + _SLIDING + _SPECTRA + f""", f AS (SELECT i.*, i.n_spikes * {PER}.0::DOUBLE / nullif(s.hi - s.lo, 0) AS mean_rate, m.mean_sliding, m.max_sliding, m.min_sliding, b.n_bursts, b.burst_spikes, b.burst_ratio, b.mean_duration, b.mean_spikes, d.dominant_frequency FROM isi_stats i
+  JOIN span s ON s.recording_id = i.recording_id AND s.unit = i.unit JOIN burst_stats b ON b.recording_id = i.recording_id AND b.unit = i.unit LEFT JOIN dominant d ON d.recording_id = i.recording_id AND d.unit = i.unit
+  LEFT JOIN (SELECT recording_id, unit, sum(n) * {PER}.0::DOUBLE / (count(*) * {WINDOW}) AS mean_sliding, max(rate) AS max_sliding, min(rate) AS min_sliding FROM sliding GROUP BY ALL) m ON m.recording_id = i.recording_id AND m.unit = i.unit),
 c AS (SELECT *, coalesce(cv_isi, 'inf'::DOUBLE) AS cv FROM f),
-features AS (SELECT recording_id, unit, n_spikes, round(cv_isi, 6) AS cv_isi, round(mean_rate, 6) AS mean_rate, mean_sliding, n_bursts, round(burst_ratio, 6) AS burst_ratio,
-  CASE WHEN n_spikes < 10 THEN 'insufficient_data' WHEN burst_ratio > 0.1 THEN 'bursting' WHEN cv < 0.5 THEN 'regular' WHEN cv > 1.5 THEN 'irregular' ELSE 'tonic' END AS pattern_type,
-  round(CASE WHEN n_spikes < 10 THEN 0 WHEN burst_ratio > 0.1 THEN least(1.0::DOUBLE, burst_ratio * 2) WHEN cv < 0.5 THEN greatest(0.5::DOUBLE, 1 - cv) WHEN cv > 1.5 THEN least(1.0::DOUBLE, cv / 2) ELSE 0.6::DOUBLE END, 6) AS confidence,
-  CASE WHEN n_spikes < 2 THEN 'Not enough spikes for analysis' END AS error FROM c)
+analysis AS (SELECT * EXCLUDE (cv), CASE WHEN n_spikes < 10 THEN 'insufficient_data' WHEN burst_ratio > 0.1 THEN 'bursting' WHEN dominant_frequency > 10 THEN 'rhythmic' WHEN cv < 0.5 THEN 'regular' WHEN cv > 1.5 THEN 'irregular' ELSE 'tonic' END AS pattern_type,
+  CASE WHEN n_spikes < 10 THEN 0 WHEN burst_ratio > 0.1 THEN least(1.0::DOUBLE, burst_ratio * 2) WHEN dominant_frequency > 10 THEN 0.8::DOUBLE WHEN cv < 0.5 THEN greatest(0.5::DOUBLE, 1 - cv) WHEN cv > 1.5 THEN least(1.0::DOUBLE, cv / 2) ELSE 0.6::DOUBLE END AS confidence,
+  CASE WHEN n_spikes < 2 THEN 'Not enough spikes for analysis' END AS error FROM c),
+rounded AS (SELECT recording_id, unit, n_spikes, n_bursts, burst_spikes, pattern_type, error, {", ".join(f"round({c}, 6) AS {c}" for c in ("mean_isi", "std_isi", "cv_isi", "median_isi", "p25_isi", "p75_isi", "mean_rate", "mean_sliding", "max_sliding", "min_sliding", "burst_ratio", "mean_duration", "mean_spikes", "dominant_frequency", "confidence"))} FROM analysis)
 """
 
 ORACLES = {
@@ -170,7 +184,10 @@ SELECT g.unit, g.lag, round(coalesce(c.n, 0) / CAST(n0 AS DOUBLE), 6) AS value F
     "cross_correlogram": _CROSS + f", g AS (SELECT unnest(range({-MAX_LAG}, {MAX_LAG + 1})) AS lag) SELECT g.lag, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM g LEFT JOIN lags l ON l.lag = g.lag WHERE (SELECT count(*) FROM common) > 0 GROUP BY g.lag",
     "xcorr_peak": _CROSS + f""", g AS (SELECT recording_id, unnest(range({-MAX_LAG}, {MAX_LAG + 1})) AS lag FROM common), r AS (SELECT g.recording_id, g.lag, coalesce(l.n, 0) AS n FROM g LEFT JOIN lags l ON l.recording_id = g.recording_id AND l.lag = g.lag)
 SELECT recording_id, lag AS peak_lag, n AS peak_correlation FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY n DESC, lag) AS k FROM r) WHERE k = 1""",
-    "pattern_features": _FEATURES + "SELECT * FROM features",
+    "train_dominant_frequency": SQL + _SPECTRA + "SELECT t.recording_id, t.unit, round(d.dominant_frequency, 6) AS dominant_frequency FROM (SELECT DISTINCT recording_id, unit FROM spikes) t LEFT JOIN dominant d ON d.recording_id = t.recording_id AND d.unit = t.unit",
+    "train_spectrum": SQL + _SPECTRA + "SELECT recording_id, unit, CAST(k AS INT) AS k, round(frequency, 6) AS frequency, round(power * 1000, 4) AS power FROM spectrum WHERE (SELECT count(*) FROM dominant d WHERE d.recording_id = spectrum.recording_id AND d.unit = spectrum.unit) > 0",
+    "pattern_analysis": _FEATURES + "SELECT * FROM rounded",
+    "pattern_features": _FEATURES + "SELECT recording_id, unit, n_spikes, cv_isi, mean_rate, mean_sliding, n_bursts, burst_ratio, dominant_frequency, pattern_type, confidence, error FROM rounded",
     "pattern_class_counts": _FEATURES + """SELECT pattern_type, count(*) AS n_trains, round(avg(mean_rate), 4) AS mean_rate, round(stddev_pop(mean_rate), 4) AS std_rate, round(avg(cv_isi), 4) AS mean_cv, round(stddev_pop(cv_isi), 4) AS std_cv,
-  CAST(sum(n_bursts) AS BIGINT) AS n_bursts, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM features WHERE error IS NULL), 4) AS percent FROM features WHERE error IS NULL GROUP BY pattern_type""",
+  CAST(sum(n_bursts) AS BIGINT) AS n_bursts, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM rounded WHERE error IS NULL), 4) AS percent FROM rounded WHERE error IS NULL GROUP BY pattern_type""",
 }

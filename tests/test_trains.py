@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -133,12 +134,61 @@ def test_spectra_and_records(spark):
     assert got[2].frequencies is None and max(got[1].frequencies) <= 60 and len(got[1].power) == len(got[1].frequencies)
     assert got[1].frequencies[int(np.argmax(got[1].power[1:])) + 1] == got[1].dominant_frequency
     rows = random_rows(3) + [(7, 5, 1, None)]
-    records = {(r.recording_id, r.unit): r for r in T.pattern_records(spikes(spark, rows), ["recording_id", "unit"], "spike_id", 1000, 9, window=100, step=30, rhythm=False).collect()}
+    records = {(r.recording_id, r.unit): r for r in T.pattern_records(spikes(spark, rows), ["recording_id", "unit"], 1000, 9, window=100, step=30).collect()}
     for k, v in trains(rows).items():
         r = records[k]
-        assert r.isi == np.diff(v).tolist() and [(b.start_time, b.end_time, b.spike_count) for b in r.bursts] == [b[:3] for b in burst_loop(v, 9, 3)]
+        assert [(x.time, x.n) for x in r.isi] == sorted(Counter(v).items()) and [x.isi for x in r.isi] == [None, *np.diff(sorted(set(v))).tolist()] and [(b.start_time, b.end_time, b.spike_count) for b in r.bursts] == [b[:3] for b in burst_loop(v, 9, 3)]
         assert [x.time for x in r.rates] == list(range(v[0], v[-1], 30)) and r.n_bursts == len(r.bursts)
-    assert records[7, 1].error and records[7, 1].isi == [] and records[7, 1].bursts == [] and records[7, 1].pattern_type == "insufficient_data"
+    assert records[7, 1].error and len(records[7, 1].isi) == 1 and records[7, 1].rates == [] and records[7, 1].bursts == [] and records[7, 1].pattern_type == "insufficient_data"
+
+
+def test_records_are_cut_into_parts(spark):
+    rows = random_rows(5)
+    got = {}
+    for r in T.pattern_records(spikes(spark, rows), ["recording_id", "unit"], 1000, 9, window=100, step=30, block=500).collect():
+        got.setdefault((r.recording_id, r.unit), []).append(r)
+    for k, v in trains(rows).items():
+        parts = sorted(got[k], key=lambda r: r.part)
+        assert [r.part for r in parts] == sorted({(t - v[0]) // 500 for t in [*v, *range(v[0], v[-1], 30)]}) and len({r.pattern_type for r in parts}) == 1
+        assert [x.time for r in parts for x in r.isi] == sorted(set(v)) and [x.time for r in parts for x in r.rates] == list(range(v[0], v[-1], 30))
+        assert [b[:3] for r in parts for b in r.bursts] == [(b[0], b[1], b[1] - b[0]) for b in burst_loop(v, 9, 3)]
+
+
+@pytest.mark.parametrize("block", [7, 50, 10**6])
+def test_blocks_of_a_train_go_on(spark, block):
+    rows = random_rows(21, 400)
+    got = {}
+    for r in T.laid_out(spikes(spark, rows), ["recording_id", "unit"], 9, block).collect():
+        got.setdefault((r.recording_id, r.unit), []).append((r.time, r.n, r.lo, r.hi, r.total, r.isi, r.run_start, r.idx))
+    for k, v in trains(rows).items():
+        want, run = [], None
+        for i, t in enumerate(sorted(set(v))):
+            isi = t - want[-1][0] if i else None
+            run = t if isi is None or isi > 9 else run
+            want.append((t, v.count(t), v[0], v[-1], len(v), isi, run, sum(x < t for x in v)))
+        assert sorted(got[k]) == want
+
+
+def dense_spectrum(v, width, rate, top):
+    train = dense_bins(v, width)
+    size = min(2048, len(train) // 4)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    power = np.mean([np.abs(np.fft.rfft((x - x.mean()) * window)) ** 2 for x in (train[i : i + size] for i in range(0, len(train) - size + 1, size - size // 2))], axis=0) / (rate * (window**2).sum())
+    power[1 : None if size % 2 else -1] *= 2
+    frequencies = np.fft.rfftfreq(size, 1 / rate)
+    return frequencies[frequencies <= top], power[frequencies <= top]
+
+
+@pytest.mark.parametrize(("span", "top"), [(200, 500.0), (311, 100.0), (30_000, 100.0), (2_000, 500.0)])
+def test_spectra_of_segments_equal_those_of_whole_trains(spark, span, top, monkeypatch):
+    monkeypatch.setattr(T, "OCCUPIED", 50)
+    rng = random.Random(span)
+    rows = [(1, rng.randrange(span), u, None) for u in range(4) for _ in range(10 + 40 * u)]
+    got = {r.unit: r for r in T.train_spectra(spikes(spark, rows), ["recording_id", "unit"], 2, 2000.0, max_frequency=top).collect()}
+    for (_, u), v in trains(rows).items():
+        frequencies, power = dense_spectrum(v, 2, 1000.0, top)
+        assert got[u].frequencies == pytest.approx(list(frequencies)) and got[u].power == pytest.approx(list(power), abs=1e-12)
+        assert power[1:].max() == pytest.approx(got[u].power[got[u].frequencies.index(got[u].dominant_frequency)])
 
 
 def test_classes(spark):
