@@ -62,16 +62,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     error. The table is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     check_rows(out, seen.get["n"], path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
     return out
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, which is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 def check_rows(table: DataFrame, n: int, path: str) -> None:
     """An error unless ``table`` has ``n`` rows (Parquet files tell theirs without being read)."""
     found = table.count()

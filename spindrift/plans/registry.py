@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["spindrift.plans.problems", *(f"spindrift.plans.q_{part}" for part in ("geometry", "psth", "trains", "activity", "spectra"))]
+MODULES = ["spindrift.plans.problems", *(f"spindrift.plans.q_{part}" for part in ("geometry", "psth", "trains", "activity", "spectra", "files"))]
 
 
 def collect() -> tuple[dict[str, Query], dict[str, str]]:

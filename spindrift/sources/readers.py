@@ -6,8 +6,11 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from spindrift.functions.scale import bounded_broadcast, written
 from spindrift.plans.recording import TICKS_PER_SECOND
 
 SECONDS = "time double, unit int, electrode int"
@@ -28,18 +31,20 @@ def read_spikes(spark: SparkSession, path: str, *, ticks: bool = False, third: s
 
 
 def read_intervals(spark: SparkSession, path: str, *, keep_empty: bool = True) -> DataFrame:
-    """(interval_id, Start, End, and what else the file has): a CSV with a header; interval_id is the row's position in the file.
+    """(interval_id, Start, End, and what else the file has): CSV with a header; interval_id is the row's position, counted from 1
+    through the files in order of their names.
 
-    Positions are taken line by line from one file, so that they hold for any split. ``keep_empty=False`` drops rows of length 0,
-    which stand for the start and the end of the recording.
+    Splits are numbered one after the other from their sizes, rows within a split by their place in it; only one small row a split
+    is ordered. ``keep_empty=False`` drops rows of length 0, which stand for the start and the end of the recording.
     """
     rows = spark.read.csv(path, header=True, inferSchema=False)
-    typed = rows.select(*(F.col(f"`{c}`").cast("bigint").alias(c) if c in ("Start", "End") else F.col(f"`{c}`") for c in rows.columns))
-    # ids that rise with the position; a window over this small side table makes them dense
-    from pyspark.sql import Window as W
-
-    placed = typed.withColumn("_m", F.monotonically_increasing_id())
-    out = placed.withColumn("interval_id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("_m")).cast("bigint")).select("interval_id", *rows.columns)
+    typed = [F.col(f"`{c}`").cast("bigint").alias(c) if c in ("Start", "End") else F.col(f"`{c}`") for c in rows.columns]
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_m")]
+    placed = written(rows.select(*typed, *place), "intervals-read")
+    order = W.partitionBy(F.lit(1)).orderBy("_file", "_split").rowsBetween(W.unboundedPreceding, -1)
+    splits = placed.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    splits = splits.select("_file", "_split", "_first", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    out = placed.join(bounded_broadcast(splits), ["_file", "_split"]).select((F.col("_before") + F.col("_m") - F.col("_first") + 1).alias("interval_id"), *(f"`{c}`" for c in rows.columns))
     return out if keep_empty else out.where("Start <> End")
 
 
@@ -52,9 +57,10 @@ def read_geometry(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(number(0, "int").alias("poly"), number(1, "int").alias("electrode"), number(2, "double").alias("x"), number(3, "double").alias("y")).dropna()
 
 
-def read_wide(spark: SparkSession, path: str) -> DataFrame:
-    """A wide interval table, columns as the header names them and typed by their values."""
-    return spark.read.csv(path, header=True, inferSchema=True)
+def read_wide(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """A wide interval table, columns as the header names them, typed by ``schema`` or, which takes another pass over the file, by
+    their values."""
+    return spark.read.csv(path, header=True, inferSchema=True) if schema is None else spark.read.schema(schema).csv(path, header=True)
 
 
 @dataclass(frozen=True)

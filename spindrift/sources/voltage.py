@@ -3,6 +3,9 @@
     spark.dataSource.register(VoltageSource)
     spark.read.format("voltage").option("channels", 64).option("rate", 30000).load(path)
 
+The path is a file, or a folder whose files (but for those that begin with _ or .) follow each other in order of their names, each of
+whole samples; local, or a URI of a store that Arrow reads (hdfs, s3, gs).
+
 Rows are (sample bigint, time double, channel int, v smallint). The file is cut into ranges of whole samples, one a partition,
 and each task seeks to its own; a time range (options ``start`` and ``duration``, in seconds) and filters on ``sample`` and
 ``time`` narrow the ranges before anything is read, filters on ``channel`` the columns that are unpacked.
@@ -10,11 +13,11 @@ and each task seeks to its own; a time range (options ``start`` and ``duration``
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "sample bigint, time double, channel int, v smallint"
@@ -22,9 +25,16 @@ SCHEMA = "sample bigint, time double, channel int, v smallint"
 PARTITION, BATCH = 2_000_000, 20_000
 
 
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system a path lies on, and its name there."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
 class Range(InputPartition):
-    def __init__(self, path: str, first: int, last: int) -> None:
-        self.path, self.first, self.last = path, first, last
+    """Samples first..last-1 of the recording, which begin at sample ``begin`` of the file."""
+
+    def __init__(self, path: str, first: int, last: int, begin: int) -> None:
+        self.path, self.first, self.last, self.begin = path, first, last, begin
 
 
 class VoltageSource(DataSource):
@@ -45,15 +55,23 @@ class VoltageReader(DataSourceReader):
         self.n = int(options.get("channels", 64))
         self.rate = float(options.get("rate", 30_000))
         start, duration = float(options.get("start", 0)), options.get("duration")
-        if not os.path.exists(self.path):
-            raise FileNotFoundError(f"no such file: {self.path}")
         if self.n < 1 or self.rate <= 0:
             raise ValueError("channels and rate must be positive")
-        total = os.path.getsize(self.path) // (2 * self.n)  # a partial sample at the end isn't read
+        self.files = self._files()
+        total = sum(n for _, n in self.files)
         self.first = min(int(start * self.rate), total)
         self.last = total if duration is None else min(self.first + int(float(duration) * self.rate), total)
         self.channels = list(range(self.n))
 
+    def _files(self) -> list[tuple[str, int]]:
+        """The files in order, with their whole samples; a partial sample at an end isn't read."""
+        store, path = place(self.path)
+        info = store.get_file_info(path)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(f"no such file: {self.path}")
+        found = [info] if info.is_file else sorted((f for f in store.get_file_info(fs.FileSelector(path)) if f.is_file and f.base_name[0] not in "_."), key=lambda f: f.base_name)
+        return [(f.path, f.size // (2 * self.n)) for f in found]
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Narrows samples and channels; every filter is kept, too, and applied to what is read."""
         for f in filters:
@@ -73,15 +91,20 @@ class VoltageReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         step = max(1, PARTITION // self.n)
-        return [Range(self.path, a, min(a + step, self.last)) for a in range(self.first, self.last, step)]
+        out, begin = [], 0
+        for path, n in self.files:
+            low, high = max(self.first, begin), min(self.last, begin + n)
+            out += [Range(path, a, min(a + step, high), a - begin) for a in range(low, high, step)]
+            begin += n
+        return out
 
     def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # no range is left
             return
         step = max(1, BATCH // self.n)
         channels = np.array(self.channels, np.int32)
-        with open(part.path, "rb") as file:
-            file.seek(part.first * 2 * self.n)
+        with place(self.path)[0].open_input_file(part.path) as file:
+            file.seek(part.begin * 2 * self.n)
             for at in range(part.first, part.last, step):
                 rows = min(step, part.last - at)
                 block = np.frombuffer(file.read(rows * 2 * self.n), "<i2").reshape(-1, self.n)[:, channels]
