@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrift.functions.scale import bounded_broadcast
+from spindrift.functions.scale import bounded_broadcast, written
 
 
 def spike_counts(spikes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -79,6 +79,21 @@ def top(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, ran
     return rows.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
 
 
+def rank_all(rows: DataFrame, by: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """``rows`` with their number in their ``by`` group in ``order`` (which should leave no ties), from 1; of any size.
+
+    Rows are cut into ranges of the order, each range is ranked by itself, and the ranges' sizes are added up before it. The
+    ranges are written, so that they are the same in both uses.
+    """
+    cut = rows.repartitionByRange(*(F.col(b) for b in by), *order).withColumn("_range", F.spark_partition_id())
+    cut = written(cut, "ranges")
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = cut.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(*by, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order))
+    return cut.withColumn("_k", inside).join(before, [*by, "_range"]).withColumn(rank, (F.col("_k") + F.col("_before")).cast("bigint")).drop("_k", "_before", "_range")
+
+
 def raster_points(spikes: DataFrame, geometry: DataFrame, by: Sequence[str], start: int, end: int, row_id: str) -> DataFrame:
     """(*by, row_id, time, unit, depth, y): spikes in [start, end] at y = index of their depth + 0.1 x index of their unit among
     the depth's units by first appearance. Depths without a record come last, at a depth of their own (null).

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,3 +96,40 @@ def pearson(rows: DataFrame, item: str, at: str, value: str, by: Sequence[str] =
     cov = F.covar_pop("x", "y")
     spread = F.stddev_pop("x") * F.stddev_pop("y")
     return sums.agg(F.when(spread > 1e-12, F.try_divide(cov, spread)).alias("corr"))
+
+
+def pearson_wide(rows: DataFrame, values: str) -> DataFrame:
+    """(i, j, corr) for positions i <= j of the arrays in column ``values``: Pearson correlation over the rows, null where one is constant.
+
+    Arrays may differ in length; a null, or a position beyond an array's end, leaves the row out of its pairs only. Each batch
+    adds its products of all pairs as one matrix product, and a task passes on the sums, a row a pair.
+    """
+    names = ["n", "x", "y", "xx", "yy", "xy"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | None = None
+        for batch in batches:
+            lists = batch.column(0)
+            offsets = lists.offsets.to_numpy()
+            flat = lists.values.cast(pa.float64())
+            lengths = np.diff(offsets)
+            width = int(lengths.max(initial=0))
+            v, there = np.zeros((len(lengths), width)), np.zeros((len(lengths), width))
+            at = np.repeat(np.arange(len(lengths)), lengths), np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], lengths)
+            held = flat.slice(offsets[0], offsets[-1] - offsets[0])
+            there[at] = held.is_valid().to_numpy(zero_copy_only=False)
+            v[at] = held.fill_null(0.0).to_numpy(zero_copy_only=False)
+            sums = np.stack([there.T @ there, v.T @ there, there.T @ v, (v * v).T @ there, there.T @ (v * v), v.T @ v])
+            if total is None or width > total.shape[1]:
+                old, total = total, np.zeros((6, width, width))
+                if old is not None:
+                    total[:, : old.shape[1], : old.shape[1]] = old
+            total[:, :width, :width] += sums
+        if total is not None:
+            i, j = np.triu_indices(total.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(s[i, j]) for s in total)], names=["i", "j", *names])
+
+    parts = rows.select(values).where(F.col(values).isNotNull()).mapInArrow(task, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+    s = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in names)).where("n > 0")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.expr("xx / n - (x / n) * (x / n)"))) * F.sqrt(F.greatest(F.lit(0.0), F.expr("yy / n - (y / n) * (y / n)")))
+    return s.withColumn("_s", spread).select("i", "j", F.when(F.col("_s") > 1e-12, F.try_divide(F.expr("xy / n - (x / n) * (y / n)"), F.col("_s"))).alias("corr"))

@@ -98,15 +98,20 @@ def activity_histogram(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
-def top_bottom_units(spark: SparkSession, d: str) -> DataFrame:
-    """The five most and the five least active units, ranked from either end."""
+def top_bottom_units(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
+    """The ``n`` most and the ``n`` least active units, ranked from either end."""
     units = A.unit_activity(_long(spark, d)).select("unit", "active_intervals")
     one = W.partitionBy(F.lit(1))
-    most = units.orderBy(F.col("active_intervals").desc(), "unit").limit(5).select(F.lit("most").alias("side"), "*", F.row_number().over(one.orderBy(F.col("active_intervals").desc(), "unit")).alias("rank"))
-    least = units.orderBy("active_intervals", "unit").limit(5).select(F.lit("least").alias("side"), "*", F.row_number().over(one.orderBy("active_intervals", "unit")).alias("rank"))
+    most = units.orderBy(F.col("active_intervals").desc(), "unit").limit(n).select(F.lit("most").alias("side"), "*", F.row_number().over(one.orderBy(F.col("active_intervals").desc(), "unit")).alias("rank"))
+    least = units.orderBy("active_intervals", "unit").limit(n).select(F.lit("least").alias("side"), "*", F.row_number().over(one.orderBy("active_intervals", "unit")).alias("rank"))
     return most.unionByName(least)
 
 
+def summary_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen most and least active units."""
+    return top_bottom_units(spark, d, 15)
+
+
 def unit_explorer(spark: SparkSession, d: str) -> DataFrame:
     """The four most active units, category by category, with their spike counts."""
     long = _long(spark, d)
@@ -127,7 +132,7 @@ def dataset_overview(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     wide_interval_table, interval_categories, category_share, duration_counts, unit_activity, activity_by_duration, spike_count_stats, activity_heatmap, category_summary,
-    presence_corr, activity_vs_count, activity_boxplot, activity_histogram, top_bottom_units, unit_explorer, dataset_overview,
+    presence_corr, activity_vs_count, activity_boxplot, activity_histogram, top_bottom_units, summary_tables, unit_explorer, dataset_overview,
 )}
 
 _CATEGORY = "CASE " + " ".join(f"WHEN ms BETWEEN {lo} AND {hi} THEN '{name}'" for name, (lo, hi) in reversed(A.CATEGORIES.items())) + " ELSE 'other' END"
@@ -143,6 +148,9 @@ bycat AS (SELECT n.category, u.unit, coalesce(q.active_intervals, 0) AS active_i
   LEFT JOIN (SELECT category, unit, CAST(coalesce(sum(presence), 0) AS BIGINT) AS active_intervals, count(*) AS total_intervals, 100.0::DOUBLE * coalesce(sum(presence), 0) / count(*) AS rate_percent FROM long GROUP BY ALL) q ON q.category = n.category AND q.unit = u.unit)
 """
 
+_TOP_BOTTOM = _LONG + """, m AS (SELECT unit, active_intervals, CAST(row_number() OVER (ORDER BY active_intervals DESC, unit) AS INT) AS a, CAST(row_number() OVER (ORDER BY active_intervals, unit) AS INT) AS b FROM act)
+SELECT 'most' AS side, unit, active_intervals, a AS rank FROM m WHERE a <= {n} UNION ALL SELECT 'least', unit, active_intervals, b FROM m WHERE b <= {n}"""
+
 ORACLES = {
     "wide_interval_table": SQL + """, pairs AS (SELECT i.interval_id, s.unit, count(*) AS n FROM intervals i JOIN spikes s ON s.recording_id = i.recording_id AND s.time BETWEEN i.a AND i.b WHERE i.b > i.a GROUP BY ALL)
 SELECT i.interval_id, a AS start_time, b AS end_time, b - a AS duration, p.unit, CASE WHEN p.n > 0 THEN 1 ELSE 0 END AS presence, coalesce(p.n, 0) AS count FROM intervals i LEFT JOIN pairs p ON p.interval_id = i.interval_id WHERE b > a""",
@@ -163,8 +171,8 @@ SELECT a.unit AS i, b.unit AS j, round(CASE WHEN stddev_pop(a.v) * stddev_pop(b.
     "activity_histogram": _LONG + """, v AS (SELECT CAST(active_intervals AS DOUBLE) AS v FROM act), e AS (SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo, CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM v),
 p AS (SELECT least(floor((v - lo) / ((hi - lo) / 20)), 19) AS bin, count(*) AS n FROM v, e GROUP BY ALL), g AS (SELECT lo, hi, unnest(range(0, 20)) AS bin FROM e)
 SELECT CAST(g.bin AS INT) AS bin, round(lo + g.bin * ((hi - lo) / 20), 6) AS low, round(lo + (g.bin + 1) * ((hi - lo) / 20), 6) AS high, coalesce(n, 0) AS count FROM g LEFT JOIN p ON g.bin = p.bin""",
-    "top_bottom_units": _LONG + """, m AS (SELECT unit, active_intervals, CAST(row_number() OVER (ORDER BY active_intervals DESC, unit) AS INT) AS a, CAST(row_number() OVER (ORDER BY active_intervals, unit) AS INT) AS b FROM act)
-SELECT 'most' AS side, unit, active_intervals, a AS rank FROM m WHERE a <= 5 UNION ALL SELECT 'least', unit, active_intervals, b FROM m WHERE b <= 5""",
+    "top_bottom_units": _TOP_BOTTOM.replace("{n}", "5"),
+    "summary_tables": _TOP_BOTTOM.replace("{n}", "15"),
     "unit_explorer": _LONG + "SELECT b.category, b.unit, active_intervals, total_intervals, round(rate_percent, 6) AS rate_percent, total_spikes, max_spikes FROM bycat b JOIN stats s ON s.unit = b.unit WHERE b.unit IN (SELECT unit FROM act ORDER BY active_intervals DESC, unit LIMIT 4)",
     "dataset_overview": _LONG + f"""SELECT (SELECT count(*) FROM wide) AS n_intervals, (SELECT min("{START}") FROM wide) AS min_start, (SELECT max("{END}") FROM wide) AS max_end, (SELECT round(min(ms), 6) FROM wide) AS min_ms, (SELECT round(max(ms), 6) FROM wide) AS max_ms,
   (SELECT count(*) FROM act) AS n_units, (SELECT round(avg(rate_percent), 6) FROM act) AS mean_rate_percent, (SELECT unit FROM act ORDER BY active_intervals DESC, unit LIMIT 1) AS most_active, (SELECT unit FROM act ORDER BY active_intervals, unit LIMIT 1) AS least_active,

@@ -171,7 +171,7 @@ ORACLES = {
     "file_patterns": q_trains._FEATURES + """SELECT r.recording_id, r.unit, pattern_type, n_isi, coalesce(n_rates, 0) AS n_rates, n_bursts FROM rounded r
   JOIN (SELECT recording_id, unit, count(DISTINCT time) AS n_isi FROM spikes GROUP BY ALL) i ON i.recording_id = r.recording_id AND i.unit = r.unit
   LEFT JOIN (SELECT recording_id, unit, count(*) AS n_rates FROM grid GROUP BY ALL) g ON g.recording_id = r.recording_id AND g.unit = r.unit""",
-    "file_spectrum": q_spectra.ORACLES["dft_power"].replace("SELECT channel, k, round(freq, 6) AS freq, round(psd, 6) AS psd FROM psd", "") + q_spectra.ORACLES["peak_frequency"][len(q_spectra._PSD):].replace("SELECT p.channel,", ", peaks AS (SELECT p.channel,").rstrip() + ") SELECT psd.channel, psd.k, round(psd.freq, 6) AS freq, round(psd, 6) AS psd, peak_frequency, shifted_frequency FROM psd JOIN peaks ON peaks.channel = psd.channel",
+    "file_spectrum": q_spectra._PSD + "SELECT psd.channel, psd.k, round(psd.freq, 6) AS freq, round(psd, 6) AS psd, peak_frequency, shifted_frequency FROM psd JOIN peaks ON peaks.channel = psd.channel",
     "file_categories": q_activity.ORACLES["interval_categories"],
     "file_voltage": f"SELECT CAST(vec_id AS BIGINT) AS sample, channel, CAST(floor(CAST(v AS DOUBLE) * 1000) AS SMALLINT) AS v, round(vec_id / {q_spectra.RATE}::DOUBLE, 6) AS time FROM (SELECT vec_id, CAST(unnest(range(0, len(embedding))) AS INT) AS channel, unnest(embedding) AS v FROM embeddings)",
 }

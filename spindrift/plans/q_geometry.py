@@ -149,7 +149,7 @@ def qc_rankings(spark: SparkSession, d: str) -> DataFrame:
     span = s.groupBy("recording_id").agg((F.max("time") - F.min("time")).alias("ticks"))
     counts = eager_join_aggregate(s, span, "recording_id", ["unit", "electrode"]).where("key_value IS NOT NULL")
     rows = counts.select("key_column", "key_value", F.col("n_left").alias("n_spikes"), F.round(F.col("n_left") * float(PER) / span.agg(F.sum("ticks")).scalar(), 6).alias("rate"))
-    return G.top(rows, ["key_column"], [F.col("n_spikes").desc(), F.col("key_value")], 2**31 - 1)
+    return G.rank_all(rows, ["key_column"], [F.col("n_spikes").desc(), F.col("key_value")])
 
 
 def units_and_channels(spark: SparkSession, d: str) -> DataFrame:
@@ -179,6 +179,11 @@ def unit_spike_counts_topn(spark: SparkSession, d: str) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.col("n_spikes").desc(), "unit")))
 
 
+def electrode_schematic(spark: SparkSession, d: str) -> DataFrame:
+    """The probe as it is drawn: each electrode's place and side."""
+    return recording(spark, d).geometry.select("poly", "electrode", "x", "y", F.when(F.col("x") > 0, "right").otherwise("left").alias("side"))
+
+
 def interval_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Display histogram of interval lengths in 50 equal bins by recording."""
     rows = recording(spark, d).intervals.where("End > Start").select(*BY, (F.col("End") - F.col("Start")).alias("span"))
@@ -188,7 +193,7 @@ def interval_histogram(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     electrode_spike_count, electrode_firing_rate, rate_extremes, hemisphere_rates, top_electrodes, electrode_depth_counts, depth_activity, unit_activity_depth, raster_points,
     global_summary, recording_summary, dataset_summary, time_range, spikes_seconds, ticks_adjusted, time_window_summary, interval_overlap_clip, electrode_subset, high_activity_windows,
-    interval_durations, interval_duration_stats, interval_histogram, qc_rankings, units_and_channels, units_per_channel, unit_channel_pivot, unit_spike_counts_topn,
+    interval_durations, interval_duration_stats, interval_histogram, qc_rankings, units_and_channels, units_per_channel, unit_channel_pivot, unit_spike_counts_topn, electrode_schematic,
 )}
 
 _RATES = SQL + f""", span AS (SELECT recording_id, max(time) - min(time) AS span FROM spikes GROUP BY recording_id),
@@ -244,9 +249,10 @@ g AS (SELECT recording_id, lo, hi, unnest(range(0, 50)) AS bin FROM e)
 SELECT g.recording_id, CAST(g.bin AS INT) AS bin, round(lo + g.bin * ((hi - lo) / 50), 6) AS low, round(lo + (g.bin + 1) * ((hi - lo) / 50), 6) AS high, coalesce(n, 0) AS count FROM g LEFT JOIN p ON g.recording_id = p.recording_id AND g.bin = p.bin""",
     "qc_rankings": SQL + f""", k AS (SELECT 'unit' AS key_column, CAST(unit AS BIGINT) AS key_value FROM spikes UNION ALL SELECT 'electrode', CAST(electrode AS BIGINT) FROM spikes WHERE electrode IS NOT NULL),
 c AS (SELECT key_column, key_value, count(*) AS n_spikes FROM k GROUP BY ALL), t AS (SELECT sum(x) AS ticks FROM (SELECT max(time) - min(time) AS x FROM spikes GROUP BY recording_id))
-SELECT key_column, key_value, n_spikes, round(n_spikes * {PER}.0::DOUBLE / ticks, 6) AS rate, CAST(row_number() OVER (PARTITION BY key_column ORDER BY n_spikes DESC, key_value) AS INT) AS rank FROM c, t""",
+SELECT key_column, key_value, n_spikes, round(n_spikes * {PER}.0::DOUBLE / ticks, 6) AS rate, row_number() OVER (PARTITION BY key_column ORDER BY n_spikes DESC, key_value) AS rank FROM c, t""",
     "units_and_channels": SQL + "SELECT recording_id, count(DISTINCT unit) AS n_units, count(DISTINCT electrode) AS n_channels, string_agg(DISTINCT unit, ',' ORDER BY unit) AS units, string_agg(DISTINCT electrode, ',' ORDER BY electrode) AS channels FROM spikes GROUP BY recording_id",
     "units_per_channel": SQL + "SELECT electrode, count(DISTINCT unit) AS n_units, string_agg(DISTINCT unit, ',' ORDER BY unit) AS units, count(*) AS n_spikes FROM spikes WHERE electrode IS NOT NULL GROUP BY electrode",
+    "electrode_schematic": SQL + "SELECT poly, electrode, x, y, CASE WHEN x > 0 THEN 'right' ELSE 'left' END AS side FROM geometry",
     "unit_channel_pivot": SQL + "SELECT unit, electrode, count(*) AS n_spikes FROM spikes GROUP BY ALL",
     "unit_spike_counts_topn": SQL + "SELECT unit, n_spikes, CAST(row_number() OVER (ORDER BY n_spikes DESC, unit) AS INT) AS rank FROM (SELECT unit, count(*) AS n_spikes FROM spikes GROUP BY unit ORDER BY 2 DESC, 1 LIMIT 20)",
 }

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from spindrift.operators import trains as T
-from spindrift.operators.grids import histogram, n_bins, pearson, smooth, trapezoid
+from spindrift.operators.geometry import rank_all
+from spindrift.operators.grids import histogram, n_bins, pearson, pearson_wide, smooth, trapezoid
 from spindrift.operators.psth import Psth
 from spindrift.operators.ranges import band_join, high_activity_windows, in_range, on_electrodes, overlap_join
 
@@ -278,3 +279,25 @@ def test_grids(spark):
     m = spark.createDataFrame([(k, i, v) for k, vs in ((1, (1, 2, 4)), (2, (2, 3, 9)), (3, (5, 5, 5))) for i, v in enumerate(vs)], "k int, i int, v int")
     corr = {(r.i, r.j): r["corr"] for r in pearson(m, "k", "i", "v").collect()}
     assert corr[1, 2] == pytest.approx(np.corrcoef([1, 2, 4], [2, 3, 9])[0, 1]) and corr[1, 3] is None and corr[3, 3] is None and math.isclose(corr[1, 1], 1)
+
+
+def test_correlations_of_arrays(spark):
+    rng = random.Random(31)
+    rows = [[rng.choice([None, *[rng.random()] * 6]), rng.random(), 5.0, rng.random()][: rng.choice([2, 4, 4, 4])] for _ in range(60)] + [None, []]
+    got = {(r.i, r.j): r.corr for r in pearson_wide(spark.createDataFrame([(x,) for x in rows], "v array<double>").repartition(5), "v").collect()}
+    assert set(got) == {(i, j) for i in range(4) for j in range(i, 4)}
+    for (i, j), corr in got.items():
+        both = [(x[i], x[j]) for x in rows if x and len(x) > max(i, j) and None not in (x[i], x[j])]
+        assert corr is None if 2 in (i, j) else corr == pytest.approx(np.corrcoef(np.array(both).T)[0, 1])
+    assert pearson_wide(spark.createDataFrame([], "v array<double>"), "v").collect() == []
+
+
+def test_ranks_of_whole_groups(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b"]), i, rng.randrange(20)) for i in range(500)]
+    got = {(r.k, r.i): r.rank for r in rank_all(spark.createDataFrame(rows, "k string, i int, n int"), ["k"], [F.col("n").desc(), F.col("i")]).collect()}
+    for k in "ab":
+        assert [got[k, i] for _, i in sorted((-n, i) for g, i, n in rows if g == k)] == list(range(1, sum(g == k for g, _, _ in rows) + 1))
+    assert rank_all(spark.createDataFrame([], "k string, i int, n int"), ["k"], [F.col("i")]).collect() == []
