@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrift.functions.scale import written
+from spindrift.functions.scale import bounded_broadcast, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before the merges of that vocabulary (a fixed value).
@@ -78,15 +80,29 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Slots], int]:
     return slots, used
 
 
+@lru_cache(maxsize=4)
+def _parsed(number: int, content: bytes):
+    import tiktoken
+
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
+    return tiktoken.Encoding(f"own-{number}", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _encoding(sent: Broadcast):
+    content = sent.value
+    return _parsed(len(content), content)
+
+
 def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens): tokens of each text; 0 for null and empty ones. Special tokens' strings are ordinary text."""
+    """(doc_id, n_tokens): tokens of each text; 0 for null and empty ones. Special tokens' strings are ordinary text.
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
+    ``vocabulary`` is a file the driver can read; it is sent to the workers, which parse it once each.
+    """
+    with open(vocabulary, "rb") as file:
+        sent = documents.sparkSession.sparkContext.broadcast(file.read())
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = _encoding(sent)
         for batch in batches:
             counts = [len(encoding.encode_ordinary(t.as_py())) if t.is_valid else 0 for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
@@ -125,11 +141,11 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     offsets = counts.select("n_tokens", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = W.partitionBy("n_tokens", "block").orderBy("doc_id", "piece")
     ranked = placed.withColumn("k", F.row_number().over(inside) - 1).join(offsets, ["n_tokens", "block"]).withColumn("rank", F.col("k") + F.col("offset"))
-    # the plan's size is bounded by the number of lengths and of rooms, both at most `capacity`
+    # the plan's size follows the number of lengths and of rooms, both at most `capacity`; it is counted, too
     table = spark.createDataFrame([tuple(s) for s in slots], "length bigint, first bigint, n bigint, start bigint, each bigint")
     mine = (F.col("n_tokens") == F.col("length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
     container = F.col("start") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))
-    return ranked.join(F.broadcast(table), mine).select("doc_id", "piece", "token_start", "n_tokens", container.alias("container_id"))
+    return ranked.join(bounded_broadcast(table), mine).select("doc_id", "piece", "token_start", "n_tokens", container.alias("container_id"))
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
