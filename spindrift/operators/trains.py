@@ -254,7 +254,9 @@ def _spectra(rows: DataFrame, keys: list[str], width: int, per_second: float, ma
     sized = bins.withColumn("size", F.expr(f"least({SEGMENT}L, n_bins div 4)")).where("size >= 2").withColumn("step", F.expr("size - size div 2")).withColumn("segments", F.expr("(n_bins - size) div step + 1"))
     first, last = F.expr("greatest(0L, (bin - size + step) div step)"), F.expr("least(bin div step, segments - 1)")
     placed = sized.where(first <= last).select(*keys, "size", "segments", "step", "bin", F.explode(F.sequence(first, last)).alias("segment"))
-    packed = placed.groupBy(*keys, "size", "segments", "segment").agg(F.array_sort(F.collect_set(F.col("bin") - F.col("segment") * F.col("step"))).alias("bins"))
+    # a number of partitions by name: the work in Python is more than the bytes suggest by which partitions are put together
+    spread = placed.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "segment")
+    packed = spread.groupBy(*keys, "size", "segments", "segment").agg(F.array_sort(F.collect_set(F.col("bin") - F.col("segment") * F.col("step"))).alias("bins"))
     fields = [packed.schema[k] for k in keys]
     partial = T.StructType([*fields, T.StructField("size", T.LongType()), T.StructField("segments", T.LongType()), T.StructField("power", T.ArrayType(T.DoubleType()))])
 
@@ -270,18 +272,20 @@ def _spectra(rows: DataFrame, keys: list[str], width: int, per_second: float, ma
                 f = _summed(f if carry is None else pd.concat([carry, f]), keys)
                 carry = f.iloc[-1:]
                 if len(f) > 1:
-                    yield f.iloc[:-1]
+                    yield done(f.iloc[:-1])
         if carry is not None:
-            yield carry
+            yield done(carry)
 
-    sums = packed.mapInPandas(transform, partial).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(add, partial)
-    power = F.transform("power", lambda p: p / F.col("segments"))
-    spectra = sums.select(*keys, "size", power.alias("power")).where(F.size("power") > 1)
-    rest = F.slice("power", F.lit(2), F.size("power") - 1)
-    peak = F.array_position(F.transform(rest, lambda p: p >= F.array_max(rest) * (1 - 1e-9)), True)
+    def done(f: pd.DataFrame) -> pd.DataFrame:
+        peak = [int(np.argmax(p[1:] >= p[1:].max() * (1 - 1e-9))) + 1 if len(p) > 1 else 0 for p in f["power"]]
+        power = [p / n for p, n in zip(f["power"], f["segments"], strict=True)] if whole else [p[:0] for p in f["power"]]
+        return f.assign(peak=peak, power=power)[[*keys, "size", "peak", "power"]]
+
+    total = T.StructType([*fields, T.StructField("size", T.LongType()), T.StructField("peak", T.LongType()), T.StructField("power", T.ArrayType(T.DoubleType()))])
+    sums = packed.mapInPandas(transform, partial).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(add, total).where("peak > 0")
     hertz = lambda k: k * F.lit(float(rate)) / F.col("size")
     arrays = [F.transform(F.sequence(F.lit(0), F.size("power") - 1), hertz).alias("frequencies"), "power"] if whole else []
-    return spectra.select(*keys, hertz(peak).alias("dominant_frequency"), *arrays)
+    return sums.select(*keys, hertz(F.col("peak")).alias("dominant_frequency"), *arrays)
 
 
 def _summed(f: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
