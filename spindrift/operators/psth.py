@@ -12,6 +12,10 @@ from spindrift.operators.grids import bin_of, n_bins, smoothed
 from spindrift.operators.ranges import band_join
 
 
+# Modulation above and below which a key responds or is suppressed.
+RESPONSIVE, SUPPRESSED = 1.5, 0.7
+
+
 @dataclass(frozen=True)
 class Psth:
     """A histogram around interval starts: bins of ``width`` from ``before`` ahead of the start to ``after`` it.
@@ -96,7 +100,7 @@ class Psth:
         without a baseline responsive where there is any peak. (A peak is never below the mean of some bins, so that
         ``suppressed`` only comes up with smoothing or other baselines.)"""
         m = F.col("modulation_ratio")
-        with_base = F.when(m > 1.5, "responsive").when(m < 0.7, "suppressed").otherwise("non_responsive")
+        with_base = F.when(m > RESPONSIVE, "responsive").when(m < SUPPRESSED, "suppressed").otherwise("non_responsive")
         without = F.when(F.col("peak_rate") > 0, "responsive").otherwise("non_responsive")
         return self.stats().withColumn("response", F.when(F.col("baseline_rate") > 0, with_base).otherwise(without))
 

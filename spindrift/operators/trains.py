@@ -325,15 +325,19 @@ def dominant_frequencies(spikes: DataFrame, keys: Sequence[str], width: int, per
     return train_spectra(spikes, keys, width, per_second, max_frequency, least, whole=False)
 
 
+# Thresholds of the classes.
+LEAST_SPIKES, BURSTING, RHYTHMIC_HZ, REGULAR_CV, IRREGULAR_CV = 10, 0.1, 10, 0.5, 1.5
+
+
 def classes(features: DataFrame) -> DataFrame:
     """``features`` (n_spikes, burst_ratio, dominant_frequency, cv_isi) plus pattern_type and confidence: the first that holds of too
     few spikes, bursting, rhythmic, regular, irregular; else tonic. A null cv (mean interval 0) counts as infinite."""
     f = F.col
-    few, burst = f("n_spikes") < 10, f("burst_ratio") > 0.1
-    rhythmic = f("dominant_frequency") > 10
+    few, burst = f("n_spikes") < LEAST_SPIKES, f("burst_ratio") > BURSTING
+    rhythmic = f("dominant_frequency") > RHYTHMIC_HZ
     cv = F.coalesce("cv_isi", F.lit(float("inf")))
-    kind = F.when(few, "insufficient_data").when(burst, "bursting").when(rhythmic, "rhythmic").when(cv < 0.5, "regular").when(cv > 1.5, "irregular").otherwise("tonic")
-    sure = F.when(few, 0.0).when(burst, F.least(F.lit(1.0), f("burst_ratio") * 2)).when(rhythmic, 0.8).when(cv < 0.5, F.greatest(F.lit(0.5), 1 - cv)).when(cv > 1.5, F.least(F.lit(1.0), cv / 2)).otherwise(0.6)
+    kind = F.when(few, "insufficient_data").when(burst, "bursting").when(rhythmic, "rhythmic").when(cv < REGULAR_CV, "regular").when(cv > IRREGULAR_CV, "irregular").otherwise("tonic")
+    sure = F.when(few, 0.0).when(burst, F.least(F.lit(1.0), f("burst_ratio") * 2)).when(rhythmic, 0.8).when(cv < REGULAR_CV, F.greatest(F.lit(0.5), 1 - cv)).when(cv > IRREGULAR_CV, F.least(F.lit(1.0), cv / 2)).otherwise(0.6)
     return features.withColumn("pattern_type", kind).withColumn("confidence", sure)
 
 
@@ -349,7 +353,7 @@ def patterns(spikes: DataFrame, keys: Sequence[str], per_second: float, max_isi:
 def _patterns(rows: DataFrame, keys: list[str], per_second: float, min_spikes: int, width: int, window: int, step: int, max_frequency: float) -> DataFrame:
     rates = _rate_stats(rows, keys, window, step, per_second).withColumnsRenamed({f"{c}_rate": f"{c}_sliding" for c in ("mean", "max", "min")})
     found = _burst_stats(rows, keys, min_spikes).drop("n_spikes")
-    rhythm = _spectra(rows, keys, width, per_second, max_frequency, 10, False)
+    rhythm = _spectra(rows, keys, width, per_second, max_frequency, LEAST_SPIKES, False)
     joined = _interval_stats(rows, keys).join(found, keys).join(rates, keys, "left").join(rhythm, keys, "left")
     rate = F.try_divide(F.col("n_spikes") * float(per_second), F.col("hi") - F.col("lo"))
     out = classes(joined.withColumn("mean_rate", rate)).drop("lo", "hi")
