@@ -68,7 +68,8 @@ def recording_units(recordings: DataFrame, entry: str, field: str, values: DataF
     nearest = F.array_min(F.array(*(F.struct(F.abs(F.log(rate / per)).alias("far"), F.lit(unit).alias("unit")) for unit, per in sorted(U.PER_SECOND.items()) if unit != "s")))
     guessed = largest.select("recording_id", F.when(rate.isNotNull(), nearest["unit"]).alias("guess"))
     unit = F.coalesce("unit", "guess")
-    return told.join(guessed, "recording_id", "left").select("recording_id", unit.alias("unit"), _factor(unit, 0).alias("num"), _factor(unit, 1).alias("den"))
+    out = told.join(guessed, "recording_id", "left").select("recording_id", unit.alias("unit"), _factor(unit, 0).alias("num"), _factor(unit, 1).alias("den"))
+    return written(out, "units")  # a row a recording; the values aren't read again to count it or to join it
 
 
 def to_microseconds(values: DataFrame, units: DataFrame) -> DataFrame:
