@@ -118,10 +118,13 @@ def p5_key_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_unit_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Intervals between the spikes of each unit and of each electrode within recordings, all recordings in ticks."""
-    keyed = F.explode(F.array(*(F.struct(F.lit(c).alias("key_column"), F.col(c).cast("bigint").alias("key_value")) for c in ("unit", "electrode"))))
+    columns = ("unit", "electrode")
+    # the key column travels as its number
+    keyed = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("c"), F.col(c).cast("int").alias("key_value")) for i, c in enumerate(columns))))
     rows = clocked_spikes(spark, d).select("recording_id", "time", keyed.alias("x")).select("recording_id", "time", "x.*")
-    out = eager.interval_states(rows, ["key_column", "key_value"], ["recording_id"], "time", INTERVAL_BLOCK)
-    return out.select("key_column", "key_value", "n_events", "n_trains", "n_intervals", "sum_interval", "min_interval", "max_interval", F.round("mean_interval", 6).alias("mean_interval"))
+    out = eager.interval_states(rows, ["c", "key_value"], ["recording_id"], "time", INTERVAL_BLOCK)
+    name = F.element_at(F.array(*map(F.lit, columns)), F.col("c").cast("int") + 1)
+    return out.select(name.alias("key_column"), F.col("key_value").cast("bigint").alias("key_value"), "n_events", "n_trains", "n_intervals", "sum_interval", "min_interval", "max_interval", F.round("mean_interval", 6).alias("mean_interval"))
 
 
 def p5_stimulus_pairs(spark: SparkSession, d: str) -> DataFrame:
