@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.functions.scale import written
+from spindrift.operators import packed as P
 from spindrift.operators.spectra import hann
 
 #: Time units of a block: a minute and a half of 30 kHz ticks.
@@ -341,46 +341,32 @@ def classes(features: DataFrame) -> DataFrame:
     return features.withColumn("pattern_type", kind).withColumn("confidence", sure)
 
 
-def patterns(spikes: DataFrame, keys: Sequence[str], per_second: float, max_isi: int, min_spikes: int = 3, width: int = 30, window: int = 30_000, step: int = 3_000, max_frequency: float = 100.0) -> DataFrame:
+#: Time units of a stretch: the part of a train a task holds, an hour and a half; a quarter of an hour with its records.
+STRETCH, RECORDED = 64 * BLOCK, 10 * BLOCK
+
+
+def patterns(spikes: DataFrame, keys: Sequence[str], per_second: float, max_isi: int, min_spikes: int = 3, width: int = 30, window: int = 30_000, step: int = 3_000, max_frequency: float = 100.0, block: int = BLOCK, stretch: int = STRETCH) -> DataFrame:
     """One row a train: interval, sliding-rate and burst statistics, dominant frequency, class and confidence, and ``error`` (null,
     or why there is no analysis: fewer than two spikes).
 
-    The trains are laid out and written once; every part is an aggregate over them by train.
+    The trains are packed and written once; all parts come from one pass over them.
     """
-    return _patterns(written(laid_out(spikes, keys, max_isi), "trains"), list(keys), per_second, min_spikes, width, window, step, max_frequency)
+    return _patterns(P.pieces(spikes, keys, max_isi, block), list(keys), per_second, max_isi, min_spikes, width, window, step, max_frequency, stretch)
 
 
-def _patterns(rows: DataFrame, keys: list[str], per_second: float, min_spikes: int, width: int, window: int, step: int, max_frequency: float) -> DataFrame:
-    rates = _rate_stats(rows, keys, window, step, per_second).withColumnsRenamed({f"{c}_rate": f"{c}_sliding" for c in ("mean", "max", "min")})
-    found = _burst_stats(rows, keys, min_spikes).drop("n_spikes")
-    rhythm = _spectra(rows, keys, width, per_second, max_frequency, LEAST_SPIKES, False)
-    joined = _interval_stats(rows, keys).join(found, keys).join(rates, keys, "left").join(rhythm, keys, "left")
+def _patterns(packed: DataFrame, keys: list[str], per_second: float, max_isi: int, min_spikes: int, width: int, window: int, step: int, max_frequency: float, stretch: int) -> DataFrame:
+    found = P.features(packed, keys, per_second, max_isi, min_spikes, width, window, step, max_frequency, LEAST_SPIKES, SEGMENT, stretch)
     rate = F.try_divide(F.col("n_spikes") * float(per_second), F.col("hi") - F.col("lo"))
-    out = classes(joined.withColumn("mean_rate", rate)).drop("lo", "hi")
+    out = classes(found.withColumn("mean_rate", rate)).drop("lo", "hi")
     return out.withColumn("error", F.when(F.col("n_spikes") < 2, "Not enough spikes for analysis"))
 
 
-def pattern_records(spikes: DataFrame, keys: Sequence[str], per_second: float, max_isi: int, min_spikes: int = 3, width: int = 30, window: int = 30_000, step: int = 3_000, max_frequency: float = 100.0, block: int = BLOCK) -> DataFrame:
+def pattern_records(spikes: DataFrame, keys: Sequence[str], per_second: float, max_isi: int, min_spikes: int = 3, width: int = 30, window: int = 30_000, step: int = 3_000, max_frequency: float = 100.0, block: int = BLOCK, stretch: int = RECORDED) -> DataFrame:
     """``patterns`` with what they were found in, for export: part (block of time, counted from the train's first spike), isi (array of
     time, isi and n), rates (array of time and rate) and bursts (array of start, end, count and indices; a burst belongs to the part it
     starts in), each in order of time. A train has a record for every part of it, and a record holds one part's content only.
     """
     keys = list(keys)
-    rows = written(laid_out(spikes, keys, max_isi), "trains")
-    part = lambda at: F.expr(f"({at} - lo) div {block}L").alias("part")
-
-    def packed(df: DataFrame, name: str, *columns: str) -> DataFrame:
-        return df.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
-
-    isi = packed(rows.select(*keys, part("time"), "time", "isi", "n"), "isi", "time", "isi", "n")
-    heard = _heard(rows, keys, window, step).select(*keys, "k", F.col("n").alias("_n"))
-    span = rows.where("hi > lo").groupBy(*keys).agg(F.max("lo").alias("lo"), F.max(_last(step)).alias("last"))
-    grid = span.select(*keys, "lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("k")).join(heard, [*keys, "k"], "left")
-    grid = grid.select(*keys, "lo", (F.col("lo") + F.col("k") * step).alias("time"), (F.coalesce("_n", F.lit(0)) * float(per_second) / float(window)).alias("rate"))
-    rates = packed(grid.select(*keys, part("time"), "time", "rate"), "rates", "time", "rate")
-    runs = rows.groupBy(*keys, "run_start").agg(F.max("lo").alias("lo"), F.max("time").alias("end_time"), F.sum("n").alias("spike_count"), F.min("idx").alias("start_idx")).where(F.col("spike_count") >= min_spikes)
-    runs = runs.select(*keys, part("run_start"), F.col("run_start").alias("start_time"), "end_time", (F.col("end_time") - F.col("run_start")).alias("duration"), "spike_count", "start_idx", (F.col("start_idx") + F.col("spike_count") - 1).alias("end_idx"))
-    found = packed(runs, "bursts", "start_time", "end_time", "duration", "spike_count", "start_idx", "end_idx")
-    parts = isi.join(rates, [*keys, "part"], "full").join(found, [*keys, "part"], "left")
-    parts = parts.withColumns({c: F.coalesce(c, F.array().cast(parts.schema[c].dataType)) for c in ("isi", "rates", "bursts")})
-    return _patterns(rows, keys, per_second, min_spikes, width, window, step, max_frequency).join(parts, keys)
+    packed = P.pieces(spikes, keys, max_isi, block)
+    found = _patterns(packed, keys, per_second, max_isi, min_spikes, width, window, step, max_frequency, max(stretch, STRETCH))
+    return P.records(packed, found, keys, per_second, max_isi, min_spikes, window, step, block, stretch)
