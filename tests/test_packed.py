@@ -58,3 +58,25 @@ def test_patterns_of_pieces_equal_those_of_whole_trains(spark, monkeypatch, bloc
         assert {c: got[k][c] for c in row} == {c: pytest.approx(v, rel=1e-9) if isinstance(v, float) else v for c, v in row.items()}
         if "mean_sliding" not in row:
             assert (got[k].mean_sliding, got[k].max_sliding, got[k].min_sliding) == (None, None, None)
+
+
+@pytest.mark.parametrize(("block", "stretch", "piece"), [(50, 400, 3), (500, 700, 7)])
+def test_records_of_pieces_are_whole(spark, monkeypatch, block, stretch, piece):
+    monkeypatch.setattr(P, "PIECE", piece)
+    monkeypatch.setattr(P, "POINTS", 40)
+    rows = random_rows(42, 400) + [(9, t, 1, None) for t in (-700, 3, 3, 1900, 1905, 1909, 5000)] + [(8, 1000 + 4 * i, 1, None) for i in range(400)]
+    got = {}
+    for r in T.pattern_records(spikes(spark, rows), KEYS, 1000, 9, window=100, step=30, block=block, stretch=stretch).collect():
+        got.setdefault((r.recording_id, r.unit), []).append(r)
+    for k, v in trains(rows).items():
+        parts, grid, times = sorted(got[k], key=lambda r: r.part), range(v[0], v[-1], 30), sorted(set(v))
+        assert [r.part for r in parts] == sorted({(t - v[0]) // block for t in [*v, *grid]})
+        assert [tuple(x) for r in parts for x in r.isi] == [(t, t - times[i - 1] if i else None, v.count(t)) for i, t in enumerate(times)]
+        assert [tuple(x) for r in parts for x in r.rates] == [(g, sum(g - 50 <= t <= g + 50 for t in v) * 10.0) for g in grid]
+        assert [(b[0], b[1], b[3], b[4], b[5]) for r in parts for b in r.bursts] == burst_loop(v, 9, 3)
+
+
+def test_little_is_shuffled_for_records(spark, monkeypatch):
+    df = spikes(spark, sparse_rows())
+    monkeypatch.setattr(q_trains, "_spikes", lambda spark, d: df)
+    assert shuffled(spark, lambda: q_trains.pattern_records(spark, "").write.format("noop").mode("overwrite").save()) < 120 * 30_000
