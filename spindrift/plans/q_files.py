@@ -121,7 +121,7 @@ def file_patterns(spark: SparkSession, d: str) -> DataFrame:
     rows = q_trains.pattern_records(spark, d)
     sinks.write_patterns(rows, path)
     sizes = [F.sum(F.size(c)).alias(f"n_{c}") for c in ("isi", "rates", "bursts")]
-    return spark.read.schema(rows.schema).json(path).groupBy(*q_trains.TRAIN, "pattern_type").agg(*sizes)
+    return readers.read_patterns(spark, path, rows.schema).groupBy(*q_trains.TRAIN, "pattern_type").agg(*sizes)
 
 
 def file_spectrum(spark: SparkSession, d: str) -> DataFrame:

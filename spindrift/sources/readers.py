@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from spindrift.functions.scale import bounded_broadcast, written
 from spindrift.plans.recording import TICKS_PER_SECOND
@@ -81,3 +81,13 @@ def read_bundle(spark: SparkSession, spikes: str, intervals: str, geometry: str)
 def adjust_to_ticks(spikes: DataFrame, per_second: int = TICKS_PER_SECOND) -> DataFrame:
     """``spikes`` with times in seconds brought to whole ticks, halves to even; null times stay null."""
     return spikes.withColumn("time", F.rint(F.col("time") * per_second).cast("bigint"))
+
+
+def read_patterns(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Records of trains that ``sinks.write_patterns`` wrote, as rows of ``schema`` (that of what was written)."""
+    if "rates" not in schema.names:
+        return spark.read.schema(schema).json(path)
+    grid = StructType([StructField("start", LongType()), StructField("step", LongType()), StructField("rate", ArrayType(DoubleType()))])
+    fields = [StructField(f.name, grid if f.name == "rates" else f.dataType) for f in schema.fields]
+    point = lambda x, i: F.struct((F.col("rates.start") + i * F.coalesce("rates.step", F.lit(0))).alias("time"), x.alias("rate"))
+    return spark.read.schema(StructType(fields)).json(path).withColumn("rates", F.transform("rates.rate", point))

@@ -30,8 +30,14 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def write_patterns(patterns: DataFrame, path: str) -> None:
-    """One JSON object a train, nested values included; nulls are left out."""
-    patterns.write.mode("overwrite").json(path)
+    """One JSON object a record, nested values included; nulls are left out. ``rates`` (array of time and rate on an even grid), if there, become
+    start, step and rate (array), and the files are compressed; ``readers.read_patterns`` gives the rows back."""
+    out = patterns
+    if "rates" in patterns.columns:
+        start = F.get("rates", F.lit(0))["time"]
+        step = F.get("rates", F.lit(1))["time"] - start
+        out = patterns.withColumn("rates", F.struct(start.alias("start"), step.alias("step"), F.col("rates.rate").alias("rate")))
+    out.write.mode("overwrite").option("compression", "gzip" if "rates" in patterns.columns else "none").json(path)
 
 
 def as_json(rows: DataFrame, *keys: str) -> DataFrame:

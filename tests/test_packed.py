@@ -80,3 +80,16 @@ def test_little_is_shuffled_for_records(spark, monkeypatch):
     df = spikes(spark, sparse_rows())
     monkeypatch.setattr(q_trains, "_spikes", lambda spark, d: df)
     assert shuffled(spark, lambda: q_trains.pattern_records(spark, "").write.format("noop").mode("overwrite").save()) < 120 * 30_000
+
+
+def test_records_come_back_from_small_files(spark, tmp_path):
+    from spindrift.sources import readers, sinks
+
+    rows = [(1, t, 1, None) for t in (3, 3, 50, 55, 2000, 2500)] + [(1, 5, 2, None), (1, 7, 3, None), (1, 20, 3, None)]
+    records = T.pattern_records(spikes(spark, rows), KEYS, 1000, 9, window=100, step=1, block=700)
+    sinks.write_patterns(records, str(tmp_path / "json"))
+    back = readers.read_patterns(spark, str(tmp_path / "json"), records.schema)
+    assert back.schema["rates"].dataType.simpleString() == records.schema["rates"].dataType.simpleString()
+    assert sorted(map(str, back.collect())) == sorted(map(str, records.collect()))
+    # 2,510 rates: 24 bytes each as plain text of time and rate
+    assert sum(p.stat().st_size for p in (tmp_path / "json").glob("part*")) < 4 * 2_510
