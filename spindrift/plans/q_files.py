@@ -120,8 +120,8 @@ def file_patterns(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "file-patterns")
     rows = q_trains.pattern_records(spark, d)
     sinks.write_patterns(rows, path)
-    sizes = [F.sum(F.size(c)).alias(f"n_{c}") for c in ("isi", "rates", "bursts")]
-    return readers.read_patterns(spark, path, rows.schema).groupBy(*q_trains.TRAIN, "pattern_type").agg(*sizes)
+    sizes = [F.sum(F.size(c)).alias(f"n_{n}") for n, c in (("isi", "isi"), ("rates", "rates.rate"), ("bursts", "bursts"))]
+    return readers.read_patterns(spark, path, rows.schema, compact=True).groupBy(*q_trains.TRAIN, "pattern_type").agg(*sizes)
 
 
 def file_spectrum(spark: SparkSession, d: str) -> DataFrame:

@@ -83,11 +83,13 @@ def adjust_to_ticks(spikes: DataFrame, per_second: int = TICKS_PER_SECOND) -> Da
     return spikes.withColumn("time", F.rint(F.col("time") * per_second).cast("bigint"))
 
 
-def read_patterns(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Records of trains that ``sinks.write_patterns`` wrote, as rows of ``schema`` (that of what was written)."""
+def read_patterns(spark: SparkSession, path: str, schema: StructType, compact: bool = False) -> DataFrame:
+    """Records of trains that ``sinks.write_patterns`` wrote, as rows of ``schema`` (that of what was written); ``compact`` leaves rates as they
+    are in the files: start, step and rate (array)."""
     if "rates" not in schema.names:
         return spark.read.schema(schema).json(path)
     grid = StructType([StructField("start", LongType()), StructField("step", LongType()), StructField("rate", ArrayType(DoubleType()))])
     fields = [StructField(f.name, grid if f.name == "rates" else f.dataType) for f in schema.fields]
     point = lambda x, i: F.struct((F.col("rates.start") + i * F.coalesce("rates.step", F.lit(0))).alias("time"), x.alias("rate"))
-    return spark.read.schema(StructType(fields)).json(path).withColumn("rates", F.transform("rates.rate", point))
+    rows = spark.read.schema(StructType(fields)).json(path)
+    return rows if compact else rows.withColumn("rates", F.transform("rates.rate", point))
