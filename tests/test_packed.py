@@ -93,3 +93,9 @@ def test_records_come_back_from_small_files(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, records.collect()))
     # 2,510 rates: 24 bytes each as plain text of time and rate
     assert sum(p.stat().st_size for p in (tmp_path / "json").glob("part*")) < 4 * 2_510
+
+
+def test_little_is_shuffled_for_features(spark, monkeypatch):
+    df = spikes(spark, sparse_rows())
+    monkeypatch.setattr(q_trains, "_spikes", lambda spark, d: df)
+    assert shuffled(spark, lambda: q_trains.pattern_features(spark, "").collect()) < 60 * 30_000
