@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrift.functions.scale import written
+from spindrift.functions.scale import CODEC, written
 from spindrift.operators.spectra import hann
 
 #: Times of a piece at most; grid points laid out at once; trains whose lags are transformed at once; bins a segment from which it is transformed whole.
@@ -108,7 +108,7 @@ def pieces(spikes: DataFrame, keys: Sequence[str], max_isi: int, block: int) ->
     combined = rows.mapInArrow(combine, f"{fields}, n bigint").withColumn("_b", F.expr(f"(time - pmod(time, {block}L)) div {block}L"))
     sorted_rows = combined.repartition(*names).sortWithinPartitions(*names, "time")
     packed = sorted_rows.mapInArrow(pack, f"{kinds}, first bigint, last bigint, size bigint, head_last bigint, head_size bigint, broken boolean, times array<bigint>, counts array<bigint>")
-    return written(packed, "trains")
+    return written(packed, "trains", CODEC)
 
 
 def stretches(packed: DataFrame, keys: list[str], max_isi: int, length: int, align: int, reach: int, facts: DataFrame | None = None) -> DataFrame:
@@ -361,7 +361,7 @@ def features(packed: DataFrame, keys: list[str], per_second: float, max_isi: int
             yield from pa.table([*s.rows.select(keys).columns, *values], names=[*keys, *columns]).to_batches(max_chunksize=2_000)
 
     numbers = "alone boolean, lo bigint, hi bigint, n_spikes bigint, squares double, p25 double, p50 double, p75 double, n_bursts bigint, burst_spikes bigint, burst_time bigint, s_n bigint, heard bigint, least bigint, most bigint, top double, bins bigint, power array<double>, d array<bigint>, f array<bigint>"
-    units = written(rows.mapInArrow(task, f"{kinds}, {numbers}"), "patterns")
+    units = written(rows.mapInArrow(task, f"{kinds}, {numbers}"), "patterns", CODEC)
     total = lambda *names: [F.sum(c).alias(c) for c in names]
     most = lambda *names: [F.max(c).alias(c) for c in names]
     out = units.groupBy(*keys).agg(*most("alone", "lo", "hi", "n_spikes", "p25", "p50", "p75", "most", "top"), *total("squares", "n_bursts", "burst_spikes", "burst_time", "s_n", "heard"), F.min("least").alias("least"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrift.functions.scale import bounded_broadcast, state_of, written
+from spindrift.functions.scale import CODEC, bounded_broadcast, state_of, written
 from spindrift.operators.units import recording_units
 from spindrift.sources.tables import table
 
@@ -66,7 +66,7 @@ def recording(spark: SparkSession, d: str, refresh: bool = False) -> Recording:
         pico = table(spark, d, "pico").select("interval_id", "recording_id", F.least("Start", "End").alias("a"), F.greatest("Start", "End").alias("b")).where("Start IS NOT NULL AND End IS NOT NULL")
         units = recording_units(recordings, "pico_time_unit", "pico", pico.select("recording_id", F.col("b").alias("value")))
         intervals = pico.join(bounded_broadcast(units), "recording_id").select("interval_id", "recording_id", in_ticks(F.col("a"), F.col("unit")).alias("Start"), in_ticks(F.col("b"), F.col("unit")).alias("End")).where("Start IS NOT NULL")
-        _kept[key] = state, Recording(written(spikes, "spikes"), written(intervals, "intervals"), geometry(spark, d))
+        _kept[key] = state, Recording(written(spikes, "spikes", CODEC), written(intervals, "intervals"), geometry(spark, d))
     return _kept[key][1]
 
 

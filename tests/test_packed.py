@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from test_trains import burst_loop, random_rows, spikes, trains
 
+from spindrift.functions import scale
 from spindrift.operators import packed as P
 from spindrift.operators import trains as T
 from spindrift.plans import q_trains
@@ -99,3 +101,20 @@ def test_little_is_shuffled_for_features(spark, monkeypatch):
     df = spikes(spark, sparse_rows())
     monkeypatch.setattr(q_trains, "_spikes", lambda spark, d: df)
     assert shuffled(spark, lambda: q_trains.pattern_features(spark, "").collect()) < 60 * 30_000
+
+
+def test_little_is_written_for_features(spark, monkeypatch, tmp_path):
+    df = spikes(spark, sparse_rows())
+    monkeypatch.setattr(q_trains, "_spikes", lambda spark, d: df)
+    monkeypatch.setattr(scale, "shared_dir", lambda spark: f"file:{tmp_path}")
+    q_trains.pattern_features(spark, "").collect()
+    # the packed trains and a row a train; 8 bytes a time as they are
+    assert 0 < sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 5 * 30_000
+
+
+def test_spikes_on_the_common_clock_are_written_densely(spark, small):
+    from spindrift.plans.recording import recording
+
+    files = [f.removeprefix("file:") for f in recording(spark, small, refresh=True).spikes.inputFiles()]
+    groups = [pq.ParquetFile(f).metadata.row_group(0) for f in files]
+    assert {g.column(i).compression for g in groups for i in range(g.num_columns)} == {"ZSTD"}
